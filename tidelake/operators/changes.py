@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.operators import skew
+from tidelake.session import materialize
 
 
 def insert_if_absent(target: DataFrame, source: DataFrame, key: str, order_col: str):
@@ -118,5 +119,7 @@ def list_snapshots(log: DataFrame, keys, version_col: str, op: str, order_col: s
     versions = seen.groupBy(version_col).agg(
         total(~gone & ~live).alias("inserts"), total(~gone & live).alias("updates"),
         total(gone & live).alias("deletes"))
+    # one small row per version, read several times below
+    versions = materialize(versions, "versions")
     return skew.scan(versions, [], [version_col], sums={"live_rows": F.col("inserts") - F.col("deletes")},
                      min_rows=min_rows)

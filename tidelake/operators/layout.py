@@ -53,8 +53,13 @@ def _folder_bytes(spark, path: str) -> int:
     return files.getContentSummary(place).getLength()
 
 
+def files_for(spark, path: str, target_bytes: int = 256 << 20) -> int:
+    """How many files of ``target_bytes`` hold what lies under ``path``."""
+    return max(1, math.ceil(_folder_bytes(spark, path) / target_bytes))
+
+
 def compact(spark, src: str, dst: str, target_bytes: int = 256 << 20) -> int:
     """Rewrite the Parquet files under ``src`` as about equal ones at ``dst``; gives their number."""
-    n = max(1, math.ceil(_folder_bytes(spark, src) / target_bytes))
+    n = files_for(spark, src, target_bytes)
     spark.read.parquet(src).repartition(n).write.mode("errorifexists").parquet(dst)
     return n

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelake.functions import kernels, vector
+from tidelake.session import materialize
 
 METRICS = {"dot": vector.dot, "cosine": vector.cosine, "l2": vector.l2}
 
@@ -64,7 +65,7 @@ def topk(queries: DataFrame, corpus: DataFrame, id_col, vec_col: str, k: int, me
     ``query_id``, ``rank``, the id column(s), the corpus columns listed in
     ``carry`` and ``score`` (for l2 a distance).
     Every task returns at most ``k`` rows per query, so the corpus is not shuffled
-    unless the queries exceed ``block_bytes``. Sizes the query side eagerly.
+    unless the queries exceed ``block_bytes``. Computes the query side eagerly, once.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -72,7 +73,7 @@ def topk(queries: DataFrame, corpus: DataFrame, id_col, vec_col: str, k: int, me
     if where is not None:
         corpus = corpus.filter(where)
     asked = queries.select(query_id, F.col(query_vec or vec_col).cast("array<double>").alias("_v"))
-    asked = asked.filter(F.col("_v").isNotNull())
+    asked = materialize(asked.filter(F.col("_v").isNotNull()), "queries")
     kept = [*ids, *carry]
     rows = corpus.select(*kept, F.col(vec_col).alias("_v")).filter(F.col("_v").isNotNull())
     query_type = asked.schema[query_id].dataType
@@ -153,10 +154,12 @@ def topk_within(queries: DataFrame, corpus: DataFrame, on: str, id_col: str, vec
                 query_vec: str, metric: str = "cosine") -> DataFrame:
     """Top k among the corpus rows that share ``on`` with the query.
 
-    ``queries`` has one row per value of ``on``. Each corpus row is scored once,
-    and each task keeps k rows per value before the shuffle.
+    ``queries`` has one row per value of ``on``; it is computed once, so Spark knows
+    its size and broadcasts it when it is small. Each corpus row is scored once, and
+    each task keeps k rows per value before the shuffle.
     """
-    joined = corpus.join(queries.select(on, F.col(query_vec).alias("_q")), on)
+    asked = materialize(queries.select(on, F.col(query_vec).alias("_q")), "queries")
+    joined = corpus.join(asked, on)
     score = F.round(METRICS[metric]("_q", vec_col), 6)
     scored = joined.select(on, id_col, score.alias("score"))
     nearest = F.asc("score") if metric == "l2" else F.desc("score")
@@ -172,7 +175,8 @@ def ann_topk(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, k
     Only rows sharing a hash bucket with the query and within ``max_distance`` are
     candidates, so a query can get fewer than ``k`` rows.
     """
-    asked = queries.select(query_id, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    asked = materialize(queries.select(query_id, F.col(vec_col).cast("array<double>").alias("_v")), "queries")
+    asked = asked.select(query_id, array_to_vector("_v").alias("features"))
     rows = corpus.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=seed,
                                       numHashTables=tables, bucketLength=bucket_length)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake.operators import changes, layout
 from tidelake.plans.registry import query, table
 from tidelake.session import run_dir
-from tidelake.sources import tables
+from tidelake.sources import catalog, tables
 
 
 @query("SELECT * FROM part")
@@ -108,13 +109,14 @@ def hidden_partition(spark, sf):
 
 @query("SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def bucketed_write(spark, sf):
-    tag = uuid.uuid4().hex
-    buckets = 16
-    tables.write_bucketed(table(spark, sf, "customer").select("c_custkey", "c_name"), f"customer_{tag}", buckets,
-                          "c_custkey", run_dir(spark, "customer_buckets"))
-    tables.write_bucketed(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), f"orders_{tag}", buckets,
-                          "o_custkey", run_dir(spark, "orders_buckets"))
-    joined = spark.table(f"customer_{tag}").join(spark.table(f"orders_{tag}"), F.col("c_custkey") == F.col("o_custkey"))
+    orders_at = f"{sf}/orders.parquet"
+    buckets = max(8, layout.files_for(spark, orders_at, 512 << 20))
+    sides = []
+    for name, key, other in (("customer", "c_custkey", "c_name"), ("orders", "o_custkey", "o_orderkey")):
+        side = (f"{name}_{uuid.uuid4().hex}", run_dir(spark, f"{name}-buckets"))
+        tables.write_bucketed(table(spark, sf, name).select(key, other), side[0], buckets, key, side[1])
+        sides.append(side)
+    joined = tables.join_bucketed(spark, *sides, "c_custkey", "o_custkey")
     return joined.groupBy("c_custkey").agg(F.count("*").alias("n"))
 
 
@@ -239,3 +241,43 @@ def as_of_version(spark, sf):
 def list_snapshots(spark, sf):
     log = _log(spark, sf).withColumn("version", F.floor(F.col("event_id") / 1000))
     return changes.list_snapshots(log, "user_id", "version", "op", order_col="event_id")
+
+
+@query("SELECT * FROM orders")
+def external_table_write(spark, sf):
+    schema, path = f"hive.ext_{uuid.uuid4().hex}", run_dir(spark, "external")
+    catalog.create_schema(spark, schema, location=run_dir(spark, "schema"))
+    orders = table(spark, sf, "orders")
+    catalog.create_table(spark, f"{schema}.orders", orders.schema.toDDL(), location=path)
+    orders.write.insertInto(catalog.table_name(spark, f"{schema}.orders"))
+    return spark.read.parquet(path)
+
+
+@query("""SELECT CAST(event_id AS BIGINT) AS event_id, user_id, ts AS event_time,
+                 MAP(['action'], [event_type])['action'] AS action FROM events""")
+def create_table(spark, sf):
+    name = f"iceberg.analytics_{uuid.uuid4().hex}"
+    catalog.create_schema(spark, name, if_not_exists=True, location=run_dir(spark, "schema"))
+    catalog.create_table(spark, f"{name}.events", "event_id BIGINT, user_id BIGINT, event_time TIMESTAMP_NTZ, "
+                         "properties MAP<STRING, STRING>", if_not_exists=True)
+    properties = F.map_from_arrays(F.array(F.lit("action")), F.array("event_type"))
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").alias("event_time"),
+                                             properties.alias("properties"))
+    full = catalog.table_name(spark, f"{name}.events")
+    rows.write.insertInto(full)
+    before = spark.catalog.currentDatabase()
+    catalog.use(spark, name)
+    try:
+        found = spark.table("events")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+    return found.select("event_id", "user_id", "event_time",
+                        F.try_element_at("properties", F.lit("action")).alias("action"))
+
+
+@query("SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size FROM part")
+def schema_enforce(spark, sf):
+    rows = table(spark, sf, "part").select("p_size", "p_name", "p_partkey")
+    want = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()),
+                         T.StructField("p_size", T.LongType())])
+    return tables.enforce(rows, want)

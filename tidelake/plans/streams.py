@@ -208,8 +208,7 @@ def fresh_table_query(spark, sf):
           FROM events LEFT JOIN customer ON user_id = c_custkey GROUP BY c_mktsegment""")
 def stream_static_join(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    stream = event_stream(spark, sf)
-    joined = windows.enrich(stream, customers, stream.user_id == customers.c_custkey)
+    joined = windows.enrich(event_stream(spark, sf), customers, "user_id", "c_custkey")
     return last_result(joined.groupBy("c_mktsegment").agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), "segments")
 
@@ -332,6 +331,20 @@ def threshold_alerts(spark, sf):
     return landed(windows.alerts(daily, "total", limit), "alerts")
 
 
+@query("SELECT count(*) AS messages FROM events")
+def consumer_progress(spark, sf):
+    seen = jobs.ConsumerProgress(every=10, report=lambda text: None)
+    spark.streams.addListener(seen)
+    try:
+        landed(event_stream(spark, sf), "consumed")
+        seen.wait()
+    finally:
+        spark.streams.removeListener(seen)
+    # the listener's total next to a count of the topic itself: equal, or no row
+    sent = topics.read_topic(spark, "events", events_topic(spark, sf), streaming=False)
+    return sent.agg(F.count("*").alias("messages")).filter(F.col("messages") == seen.messages)
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE value > 10 GROUP BY event_type")
 def stream_sql(spark, sf):
     text = "SELECT event_type, count(*) AS n FROM live_events WHERE value > :least GROUP BY event_type"

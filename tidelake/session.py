@@ -12,6 +12,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # long texts: an Arrow batch is bounded by bytes, not only by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     # sessions are merged inside each task first, so a hot key shuffles
     # sessions rather than events
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
@@ -70,3 +72,14 @@ def shared_dir(spark):
 def run_dir(spark, name):
     """A new folder name for one run of one operator."""
     return f"{shared_dir(spark)}/tidelake/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name):
+    """Write a frame once to the shared folder and read it back.
+
+    Cuts the lineage of a result that is read more than once, and lets Spark know
+    its size, so that a small one is broadcast and a large one is not.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

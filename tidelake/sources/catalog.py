@@ -42,10 +42,11 @@ def show_schemas(spark, catalog: str | None = None) -> DataFrame:
         f"substring(namespace, {len(prefix) + 1}) AS namespace")
 
 
-def create_schema(spark, name: str, if_not_exists: bool = False) -> None:
+def create_schema(spark, name: str, if_not_exists: bool = False, location: str | None = None) -> None:
     """``name`` is ``catalog.schema``; an existing schema raises unless told otherwise."""
     guard = "IF NOT EXISTS " if if_not_exists else ""
-    spark.sql(f"CREATE SCHEMA {guard}{database(spark, *name.split('.'))}")
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE SCHEMA {guard}{database(spark, *name.split('.'))}{place}")
 
 
 def create_table(spark, name: str, columns: str, if_not_exists: bool = False, fmt: str = "parquet",

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelake.operators import skew
+
 BUILT_IN = ("parquet", "orc", "csv", "json", "text")
 
 
@@ -60,10 +62,27 @@ def _explained(error, fmt):
     return FormatUnavailable(f"no connector for format {fmt!r} on the class path: {error}")
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, column: str, path: str | None = None) -> None:
-    """Hash-bucketed table: joins on ``column`` between tables of equal buckets need no shuffle."""
-    writer = df.write.format("parquet").mode("overwrite").bucketBy(buckets, column).sortBy(column)
-    (writer.option("path", path) if path else writer).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int, column: str, path: str) -> None:
+    """Hash-bucketed table at ``path``: equal buckets join on ``column`` without a shuffle."""
+    df.write.format("parquet").mode("overwrite").bucketBy(buckets, column).sortBy(column).option(
+        "path", path).saveAsTable(table)
+
+
+def join_bucketed(spark, left, right, left_key: str, right_key: str, min_rows=None) -> DataFrame:
+    """Inner join of two bucketed tables, each given as (table, path), on their bucket columns.
+
+    A bucket is read by one task, so the hot keys of ``right`` are joined apart from
+    the rest: read as plain files, which split, and shuffled with skew handling.
+    Files are sorted by key, so either part skips the row groups of the other.
+    """
+    plain = spark.read.parquet(right[1])
+    hot = [row[right_key] for row in skew.hot_groups(plain, [right_key], min_rows) if row[right_key] is not None]
+    if not hot:
+        return spark.table(left[0]).join(spark.table(right[0]), F.col(left_key) == F.col(right_key))
+    cold = spark.table(left[0]).filter(~F.col(left_key).isin(hot)).join(
+        spark.table(right[0]).filter(~F.col(right_key).isin(hot)), F.col(left_key) == F.col(right_key))
+    few = spark.read.parquet(left[1]).filter(F.col(left_key).isin(hot))
+    return cold.unionByName(few.join(plain.filter(F.col(right_key).isin(hot)), F.col(left_key) == F.col(right_key)))
 
 
 CSV_TEXT = dict(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",

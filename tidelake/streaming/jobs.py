@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -78,7 +79,11 @@ class ConsumerProgress(StreamingQueryListener):
     def __init__(self, every: int = 10, report=print):
         self.every, self.report = every, report
         self.polls = self.messages = 0
-        self.done = False
+        self._ended = threading.Event()
+
+    def wait(self, seconds: float = 60.0) -> bool:
+        """Wait until the end of a query has been reported."""
+        return self._ended.wait(seconds)
 
     def onQueryStarted(self, event):
         pass
@@ -93,8 +98,8 @@ class ConsumerProgress(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event):
-        self.done = True
         self.report(f"total messages {self.messages}")
+        self._ended.set()
 
 
 def to_console(df: DataFrame, checkpoint: str, rows: int = 20) -> StreamingQuery:

@@ -62,9 +62,24 @@ def late_rows(df: DataFrame, ts_col: str, newest, delay: str) -> DataFrame:
     return df.filter(F.col(ts_col).cast("timestamp") < F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}"))
 
 
-def enrich(stream: DataFrame, dimension: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a stream with a static table."""
-    return stream.join(dimension, on, how)
+# a dimension up to this many rows is sent to every task
+SMALL_ROWS = 100_000
+
+
+def enrich(stream: DataFrame, dimension: DataFrame, key: str, dimension_key: str, how: str = "left",
+           small_rows: int = SMALL_ROWS, salts: int = 32) -> DataFrame:
+    """Join a stream with a static table on one key.
+
+    A dimension counted as small is broadcast. Otherwise its rows are repeated
+    ``salts`` times and the stream is spread over the copies, because a running
+    query cannot split the task of a hot key.
+    """
+    if dimension.limit(small_rows + 1).count() <= small_rows:
+        return stream.join(F.broadcast(dimension), stream[key] == dimension[dimension_key], how)
+    spread = stream.withColumn("_salt", F.pmod(F.xxhash64(*stream.columns), F.lit(salts)).cast("int"))
+    copies = dimension.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = (F.col(key) == F.col(dimension_key)) & (F.col("_salt") == F.col("_copy"))
+    return spread.join(copies, on, how).drop("_salt", "_copy")
 
 
 def match_stream(df: DataFrame, key: str, ts_col: str, type_col: str, a: str, b: str, within: str, tie: str,
