@@ -5,10 +5,13 @@ They are pickled by value, so workers need no copy of this package.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -62,15 +65,28 @@ def chunk_text(text, size, overlap):
     return merge_pieces(split_pieces(text, size), size, overlap)
 
 
-def bucket_counts(buckets, dim):
-    """L2-normalised bucket counts of each row of a series of bucket lists."""
-    sizes = np.fromiter((0 if b is None else len(b) for b in buckets), dtype=np.int64, count=len(buckets))
-    filled = [np.asarray(b, dtype=np.int64) for b in buckets if b is not None and len(b)]
-    flat = np.concatenate(filled) if filled else np.empty(0, dtype=np.int64)
-    cells = np.repeat(np.arange(len(buckets), dtype=np.int64) * dim, sizes) + flat
-    grid = np.bincount(cells, minlength=len(buckets) * dim).reshape(len(buckets), dim).astype(np.float64)
+def token_bucket(token, dim):
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+
+
+def hashed_texts(texts, dim):
+    """Unit vectors of hashed token counts for an Arrow array of texts; NULL stays NULL.
+
+    Tokens are split, numbered and counted by Arrow and numpy; only distinct tokens
+    of a batch are hashed one by one.
+    """
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts), "[ \\t\\r\\n]+")
+    coded = lists.flatten().dictionary_encode()
+    buckets = np.array([token_bucket(w, dim) if w else -1 for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    bucket = buckets[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, dtype=np.int64)
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    used = bucket >= 0
+    grid = np.bincount(row[used] * dim + bucket[used], minlength=len(texts) * dim).astype(np.float64)
+    grid = grid.reshape(len(texts), dim)
     length = np.sqrt((grid * grid).sum(axis=1, keepdims=True))
-    return grid / np.where(length > 0, length, 1.0)
+    flat = (grid / np.where(length > 0, length, 1.0)).ravel()
+    starts = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
+    return pa.ListArray.from_arrays(starts, pa.array(flat), mask=texts.is_null())
 
 
 def stack_vectors(column):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +35,11 @@ def split_text(df: DataFrame, id_col: str, text_col: str, chunk_size: int, overl
     return df.select(id_col, text_col).mapInPandas(chunks, schema)
 
 
-def token_buckets(text_col: str, dim: int):
-    """Hash buckets of the lower-cased, blank-separated tokens of a text."""
-    tokens = F.filter(F.split(F.lower(F.col(text_col)), "[ \t\r\n]+"), lambda t: t != "")
-    return F.transform(
-        tokens, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long")
-                           % F.lit(dim)).cast("int"))
-
-
 def embed_text(df: DataFrame, id_cols, text_col: str, dim: int = 64, model=None) -> DataFrame:
-    """A unit vector per text, as column ``embedding``.
+    """A unit vector per text, as column ``embedding``; a NULL text has a NULL vector.
 
-    The default hashes tokens into ``dim`` buckets and needs no shuffle. A
+    The default counts the lower-cased, blank-separated tokens in ``dim`` hash
+    buckets (first 8 hex digits of MD5, modulo ``dim``) and needs no shuffle. A
     ``model`` is a function from a pandas series of texts to a matrix.
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
@@ -53,12 +47,15 @@ def embed_text(df: DataFrame, id_cols, text_col: str, dim: int = 64, model=None)
         def encode(texts: pd.Series) -> pd.Series:
             return pd.Series(list(np.asarray(model(texts), dtype=np.float64)))
 
-        return df.select(*ids, F.pandas_udf(encode, "array<double>")(text_col).alias("embedding"))
-
-    def count(buckets: pd.Series) -> pd.Series:
-        return pd.Series(list(kernels.bucket_counts(buckets, dim)))
+        encoder = F.pandas_udf(encode, "array<double>")
+    else:
+        def count(texts: pa.Array) -> pa.Array:
+            return kernels.hashed_texts(texts, dim)
 
-    return df.select(*ids, F.pandas_udf(count, "array<double>")(token_buckets(text_col, dim)).alias("embedding"))
+        encoder = F.arrow_udf(count, "array<double>")
+    # not marked as deterministic: otherwise a filter on the vector is pushed below
+    # and encodes every text a second time
+    return df.select(*ids, encoder.asNondeterministic()(text_col).alias("embedding"))
 
 
 def retrieve_context(questions: DataFrame, chunks: DataFrame, k: int, max_chars: int, question_id: str,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.times import micros
 from tidelake.operators import features, retrieval, vectors
 from tidelake.plans.registry import query, table
+from tidelake.session import spread
 
 DOT = """round(list_sum(list_transform(range(1, len(a.embedding) + 1),
              lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6)"""
@@ -114,15 +115,19 @@ def ann_topk(spark, sf):
 CHUNK, OVERLAP = 500, 50
 
 
+def documents(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query()
 def split_text(spark, sf):
-    return retrieval.split_text(table(spark, sf, "documents"), "doc_id", "text", CHUNK, OVERLAP)
+    return retrieval.split_text(documents(spark, sf), "doc_id", "text", CHUNK, OVERLAP)
 
 
 @query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM documents")
 def split_text_rejoined(spark, sf):
     # without overlap the chunks of a document, put together again, are its text
-    chunks = retrieval.split_text(table(spark, sf, "documents"), "doc_id", "text", CHUNK)
+    chunks = retrieval.split_text(documents(spark, sf), "doc_id", "text", CHUNK)
     parts = F.array_sort(F.collect_list(F.struct("chunk_no", "text")))
     whole = chunks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("t"))
     return whole.select("doc_id", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
@@ -138,7 +143,7 @@ def _embedding_sql(name, key, source, dim=64):
 @query(f"""WITH {_embedding_sql('v', 'doc_id', 'documents')}
            SELECT doc_id, CAST(pos + 1 AS INTEGER) AS position, round(w, 6) AS weight FROM v""")
 def embed_text(spark, sf):
-    docs = retrieval.embed_text(table(spark, sf, "documents"), "doc_id", "text", 64)
+    docs = retrieval.embed_text(documents(spark, sf), "doc_id", "text", 64)
     return docs.select("doc_id", F.posexplode("embedding")).filter("col > 0").select(
         "doc_id", (F.col("pos") + 1).alias("position"), F.round("col", 6).alias("weight"))
 
@@ -149,14 +154,14 @@ def embed_text(spark, sf):
            SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 5""")
 def retrieve_documents(spark, sf):
     asked = retrieval.embed_text(table(spark, sf, "benchmark"), "item_id", "text", 64)
-    docs = retrieval.embed_text(table(spark, sf, "documents"), "doc_id", "text", 64)
+    docs = retrieval.embed_text(documents(spark, sf), "doc_id", "text", 64)
     found = vectors.topk(asked, docs, "doc_id", "embedding", 5, "dot", query_id="item_id")
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
 def retrieve_context(spark, sf):
-    chunks = retrieval.split_text(table(spark, sf, "documents"), "doc_id", "text", CHUNK, OVERLAP)
+    chunks = retrieval.split_text(documents(spark, sf), "doc_id", "text", CHUNK, OVERLAP)
     return retrieval.retrieve_context(table(spark, sf, "benchmark"), chunks, 4, 1500, "item_id", ["doc_id", "chunk_no"])
 
 

@@ -83,3 +83,16 @@ def materialize(df, name):
     path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# an input estimated below this size may be shuffled just to use all cores
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df):
+    """Spread a small input over the cores before per-row Python work.
+
+    A table of ordinary size comes in many splits and stays as it is.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df

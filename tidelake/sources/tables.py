@@ -144,18 +144,19 @@ def retain(df: DataFrame, ts_col: str, hours: int = 168) -> DataFrame:
 
 
 def profile(df: DataFrame, cols=None) -> DataFrame:
-    """Per column: rows, nulls, distinct values, min and max (as text), in one pass."""
-    cols = list(cols or df.columns)
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"),
-                 F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
-    wide = df.agg(F.count("*").alias("n"), *aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"),
-                              (F.col("n") - F.col(f"n{i}")).alias("n_nulls"), F.col(f"d{i}").alias("n_distinct"),
-                              F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value"))
-                     for i, c in enumerate(cols)])
-    return wide.select(F.inline(rows))
+    """Per column: rows, nulls, exact distinct values, min and max (as text).
+
+    Every column is counted by value on its own column-pruned scan, so only
+    distinct values are shuffled and a frequent value is one row per task.
+    """
+    parts = []
+    for c in cols or df.columns:
+        values = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
+        parts.append(values.agg(
+            F.sum("n").alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("n_nulls"),
+            F.count("v").alias("n_distinct"), F.min("v").cast("string").alias("min_value"),
+            F.max("v").cast("string").alias("max_value")).select(F.lit(c).alias("column_name"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def analyze(spark, table: str) -> None:
