@@ -27,8 +27,8 @@ def interleave(ranks, bits: int) -> Column:
 def zorder(df: DataFrame, cols, bits: int = 8, partitions: int | None = None) -> DataFrame:
     """The same rows, clustered on several columns by interleaved range ranks.
 
-    Ranges hold about equally many rows. Rows of one rank combination that hold
-    too much for a task are spread by the columns themselves.
+    Ranges hold about equally many rows. Rows that share all ranks are ordered by the
+    columns themselves, so a frequent combination is cut further.
     """
     cols = list(cols)
     numbers = {f"_n_{c}": as_number(df, c) for c in cols}
@@ -39,8 +39,10 @@ def zorder(df: DataFrame, cols, bits: int = 8, partitions: int | None = None) ->
     splits = [[-math.inf, *sorted({b for b in found if math.isfinite(b)}), math.inf] for found in bounds]
     bucket = Bucketizer(splitsArray=splits, inputCols=list(numbers), outputCols=names, handleInvalid="keep")
     ranked = bucket.transform(ranked)
-    for name in names:
-        ranked = ranked.withColumn(name, F.least(F.col(name).cast("int"), F.lit(2 ** bits - 1)))
+    for name, edges in zip(names, splits):
+        # few ranges are spread over all bits, so that every column weighs the same
+        scaled = F.floor(F.col(name) * 2 ** bits / (len(edges) - 1)).cast("int")
+        ranked = ranked.withColumn(name, F.least(scaled, F.lit(2 ** bits - 1)))
     ranked = ranked.withColumn("_z", interleave(names, bits))
     by = ["_z", *cols]
     spread = ranked.repartitionByRange(partitions, *by) if partitions else ranked.repartitionByRange(*by)

@@ -57,7 +57,7 @@ def write_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "app
 
 
 def _explained(error, fmt):
-    if fmt in BUILT_IN or "DATA_SOURCE" not in (error.getCondition() or ""):
+    if fmt in BUILT_IN or not ("DATA_SOURCE" in (error.getCondition() or "") or "data source" in str(error)):
         return error
     return FormatUnavailable(f"no connector for format {fmt!r} on the class path: {error}")
 
