@@ -38,7 +38,7 @@ def compare(spark, connection, folder, query, sql):
     seconds = time.time() - started
     if sql is None:
         return None if have.num_rows else "no rows", seconds, have.num_rows
-    want = connection.execute(sql).to_arrow_table()
+    want = connection.sql(sql).to_arrow_table()
     a, b = normal(have), normal(want)
     for label, x, y in zip(("columns", "types"), a, b):
         if x != y:

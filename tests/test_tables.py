@@ -42,7 +42,7 @@ def test_catalog_statements(spark, tmp_path):
     with pytest.raises(AnalysisException):
         catalog.create_schema(spark, "iceberg.ic_test")
     catalog.create_schema(spark, "iceberg.ic_test", if_not_exists=True)
-    assert [r[0] for r in catalog.show_schemas(spark, "iceberg").collect()] == ["ic_test"]
+    assert "ic_test" in {r[0] for r in catalog.show_schemas(spark, "iceberg").collect()}
     assert catalog.show_schemas(spark).count() >= 2
     columns = "order_id INT, customer_id INT, order_date DATE, amount DECIMAL(10,2)"
     for _ in range(2):
