@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidelake.functions import vector
+from tidelake.functions import kernels, vector
 from tidelake.operators import vectors
 
 ROWS = [(1, "doc1.txt", [0.1, 0.2, 0.3, 0.4, 0.5]), (2, "doc2.txt", [0.2, 0.3, 0.1, 0.5, 0.4]),
@@ -83,6 +84,26 @@ def test_topk_equals_brute_force(embeddings, metric, block):
     assert got == brute(embeddings, metric, 4)
 
 
+def test_results_of_many_tasks_are_merged_in_two_rounds(embeddings, monkeypatch):
+    queries = embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    plain = vectors.topk(queries, embeddings.repartition(9), "vec_id", "embedding", 3)
+    monkeypatch.setattr(vectors, "MERGE_BYTES", 0)
+    monkeypatch.setattr(vectors, "MERGE_SALTS", 2)
+    merged = vectors.topk(queries, embeddings.repartition(9), "vec_id", "embedding", 3)
+    assert plain.exceptAll(merged).isEmpty() and merged.exceptAll(plain).isEmpty() and plain.count() == 1500
+
+
+def test_scores_are_computed_in_bounded_blocks(monkeypatch):
+    rng = np.random.default_rng(1)
+    questions, corpus = rng.normal(size=(7, 4)), rng.normal(size=(300, 4))
+    ids = pd.Series(range(300))
+    part = [(ids, corpus, lambda at: pd.DataFrame({"id": np.asarray(at)}))]
+    whole = kernels.top_rows(part, questions, list(range(7)), 4, "dot", ["id"], False)
+    monkeypatch.setattr(kernels, "SCORE_CELLS", 100)
+    cut = kernels.top_rows(part, questions, list(range(7)), 4, "dot", ["id"], False)
+    assert whole.reset_index(drop=True).equals(cut.reset_index(drop=True)) and len(cut) == 28
+
+
 def test_topk_with_fewer_rows_than_k_and_no_queries(spark, docs):
     queries = docs.select(F.col("id").alias("query_id"), "embedding")
     assert vectors.topk(queries, docs, "id", "embedding", 10).count() == 9

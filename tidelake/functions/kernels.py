@@ -127,28 +127,42 @@ def keep_top(frame, k, question, ids):
     return frame.groupby(question, sort=False).head(k)
 
 
+# scores held in memory at once
+SCORE_CELLS = 8_000_000
+
+
 def top_rows(batches, questions, names, k, metric, ids, exclude_self):
     """Best k rows per question over an iterator of (first id column, matrix, take).
 
     ``take`` gives the frame of the rows at the listed positions.
     """
-    best = None
+    best, pending, waiting = None, [], 0
     floor = np.full(len(names), -np.inf)
-    for keys, matrix, take in batches:
-        scores = score_matrix(questions, matrix, metric)
-        if exclude_self:
-            own = pd.Index(names).get_indexer(keys)
-            rows = np.nonzero(own >= 0)[0]
-            scores[own[rows], rows] = -np.inf
-        q, r = better_rows(scores, floor, k)
-        if not len(r):
-            continue
-        found = take(r)
-        found.insert(0, "_q", q)
-        found["score"] = scores[q, r]
-        best = found if best is None else pd.concat([best, found], ignore_index=True)
-        best = keep_top(best, k, "_q", ids)
-        full = best.groupby("_q")["score"].agg(["size", "min"])
+    step = max(1, SCORE_CELLS // max(1, len(names)))
+    places = pd.Index(names) if exclude_self else None
+
+    def merged():
+        found = keep_top(pd.concat([*pending] if best is None else [best, *pending], ignore_index=True), k, "_q", ids)
+        full = found.groupby("_q")["score"].agg(["size", "min"])
         full = full[full["size"] >= k]
         floor[full.index.to_numpy()] = full["min"].to_numpy()
-    return best
+        return found
+
+    for keys, matrix, take in batches:
+        for low in range(0, len(matrix), step):
+            scores = score_matrix(questions, matrix[low:low + step], metric)
+            if exclude_self:
+                own = places.get_indexer(keys[low:low + step])
+                rows = np.nonzero(own >= 0)[0]
+                scores[own[rows], rows] = -np.inf
+            q, r = better_rows(scores, floor, k)
+            if not len(r):
+                continue
+            found = take(r + low)
+            found.insert(0, "_q", q)
+            found["score"] = scores[q, r]
+            pending.append(found)
+            waiting += len(found)
+            if best is None or waiting > 2 * len(best):
+                best, pending, waiting = merged(), [], 0
+    return merged() if pending else best

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake.functions.times import micros
 from tidelake.operators import skew
@@ -41,16 +42,20 @@ def rolling_features(df: DataFrame, key: str, ts_col: str, value: str, horizons:
     ``horizons`` maps a name to seconds; a row exactly one horizon old still
     counts. Every row is added to a running total at its time and taken out again
     after the horizon, so the work is linear however many rows a horizon holds.
-    Totals are exact decimals of ``scale`` places.
+    Values are counted in units of ``10 ** -scale`` as whole numbers, so totals are
+    exact; one that does not fit a long raises.
     """
-    amount = f"decimal(38,{scale})"
-    at = micros(ts_col)
-    base = df.select("*", at.alias("_at"))
-    zero = F.lit(0).cast(amount)
+    unit = 10 ** scale
+    if isinstance(df.schema[value].dataType, T.DecimalType):
+        amount = (F.col(value).cast(f"decimal(38,{scale})") * unit).cast("long")
+    else:
+        amount = F.round(F.col(value).cast("double") * unit).cast("long")
+    amount = F.coalesce(amount, F.lit(0).cast("long"))
+    base = df.select("*", micros(ts_col).alias("_at"))
     enter = base.select(
         "*", F.lit(0).alias("_kind"), F.col(tie).alias("_tie"),
         *[c for name in horizons for c in (F.lit(1).cast("long").alias(f"_n_{name}"),
-                                           F.coalesce(F.col(value).cast(amount), zero).alias(f"_v_{name}"))])
+                                           amount.alias(f"_v_{name}"))])
     leaves = []
     for name, seconds in horizons.items():
         # leaves just after the horizon has passed, before the rows of that microsecond
@@ -59,8 +64,7 @@ def rolling_features(df: DataFrame, key: str, ts_col: str, value: str, horizons:
             F.col(tie).alias("_tie"),
             *[c for other in horizons for c in (
                 F.lit(-1 if other == name else 0).cast("long").alias(f"_n_{other}"),
-                (-F.coalesce(F.col(value).cast(amount), zero) if other == name else zero)
-                .cast(amount).alias(f"_v_{other}"))])
+                (-amount if other == name else F.lit(0).cast("long")).alias(f"_v_{other}"))])
         leaves.append(gone)
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [enter, *leaves])
     sums = {f"{kind}_{name}": F.col(f"_{short}_{name}") for name in horizons
@@ -70,7 +74,7 @@ def rolling_features(df: DataFrame, key: str, ts_col: str, value: str, horizons:
     kept = walked.filter(F.col("_kind") == 0)
     return kept.select(
         *df.columns,
-        *[c for name in horizons for c in (F.col(f"count_{name}"), F.col(f"sum_{name}").cast("double").alias(
+        *[c for name in horizons for c in (F.col(f"count_{name}"), (F.col(f"sum_{name}") / unit).alias(
             f"sum_{name}"))],
         ((F.col("_at") - F.col("_last")) / F.lit(1e6)).alias("seconds_since_previous"))
 

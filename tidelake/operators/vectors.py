@@ -15,10 +15,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelake.functions import kernels, vector
-from tidelake.session import materialize
+from tidelake.session import estimated_bytes, materialize
 
 METRICS = {"dot": vector.dot, "cosine": vector.cosine, "l2": vector.l2}
 
+# above this corpus size the tasks' results are merged in two rounds
+MERGE_BYTES = 64 << 30
+MERGE_SALTS = 1024
+
 # questions up to this many bytes are sent to every task; beyond it both sides
 # are cut into blocks of at most this size
 BLOCK_BYTES = 32 << 20
@@ -84,8 +88,14 @@ def topk(queries: DataFrame, corpus: DataFrame, id_col, vec_col: str, k: int, me
         part = _broadcast_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_self)
     else:
         part = _grid_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_self, size, block_bytes)
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), *ids)
-    ranked = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    nearest = [F.desc("score"), *ids]
+    if estimated_bytes(rows) > MERGE_BYTES:
+        # very many tasks return k rows each: groups of tasks are merged first
+        salted = part.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_SALTS)))
+        first = Window.partitionBy(query_id, "_salt").orderBy(*nearest)
+        part = salted.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= k).drop("_rank", "_salt")
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*nearest)))
+    ranked = ranked.filter(F.col("rank") <= k)
     score = -F.col("score") if metric == "l2" else F.col("score")
     return ranked.select(query_id, "rank", *kept, (score + F.lit(0.0)).alias("score"))
 

@@ -175,10 +175,10 @@ def window_analytic(spark, sf):
           FROM events""")
 def window_frames(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    amount = F.col("value").cast("decimal(38,6)")
-    walked = skew.scan(events, ["user_id"], ["ts", "event_id"], sums={"running_sum": amount})
+    cents = F.round(F.col("value") * 100).cast("long")
+    walked = skew.scan(events, ["user_id"], ["ts", "event_id"], sums={"running_sum": cents})
     rolled = features.rolling_features(walked, "user_id", "ts", "value", {"hour": 3600}, "event_id")
-    return rolled.select("event_id", "user_id", F.round(F.col("running_sum").cast("double"), 2).alias("running_sum"),
+    return rolled.select("event_id", "user_id", (F.col("running_sum") / 100).alias("running_sum"),
                          F.round("sum_hour", 2).alias("hour_sum"))
 
 

@@ -21,6 +21,8 @@ RUNTIME_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 
 def object_store_conf(endpoint, access_key, secret_key, path_style=True, tls=False):
     """Spark settings that address an S3-compatible store at a custom endpoint."""
@@ -49,8 +51,12 @@ def prepare(spark):
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     context = spark.sparkContext
-    if context.master.startswith("local") and context.getConf().get("spark.sql.shuffle.partitions") is None:
-        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
+    if context.master.startswith("local"):
+        if context.getConf().get("spark.sql.shuffle.partitions") is None:
+            spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
+    elif spark.conf.get(FIRST_PARTITIONS, None) is None:
+        # shuffles start with many partitions, adaptive execution joins small ones
+        spark.conf.set(FIRST_PARTITIONS, str(max(2000, 8 * context.defaultParallelism)))
     return spark
 
 
@@ -85,6 +91,11 @@ def materialize(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df):
+    """The planner's size estimate; far too large rather than too small when unknown."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 # an input estimated below this size may be shuffled just to use all cores
 SPREAD_BYTES = 1 << 30
 
@@ -94,5 +105,6 @@ def spread(df):
 
     A table of ordinary size comes in many splits and stays as it is.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
+    if estimated_bytes(df) >= SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
