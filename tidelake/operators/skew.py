@@ -20,12 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelake.session import estimated_bytes
+
 # A group up to MIN_ROWS is left to one task. At most MAX_HOT groups are listed,
 # so an unlisted group holds at most 1/MAX_HOT of all rows, and a slice at most
 # about 1/MAX_SLICES of the hot rows.
 MIN_ROWS = 2_000_000
 MAX_HOT = 1000
 MAX_SLICES = 4096
+# An input the planner estimates below this size has no group worth looking for.
+SMALL_BYTES = 16 << 20
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -66,6 +70,8 @@ def hot_groups(df: DataFrame, keys, min_rows=None) -> list:
 def slice_groups(df: DataFrame, keys, by: str, descending=False, min_rows=None) -> Sliced:
     """Cut the hot groups of ``df`` into ranges of ``by``, numbered in scan order."""
     keys = list(keys)
+    if min_rows is None and estimated_bytes(df) < SMALL_BYTES:
+        return Sliced(df, False, keys)
     limit = MIN_ROWS if min_rows is None else min_rows
     if keys:
         found = hot_groups(df, keys, limit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.functions.times import parse_event_time
+from tidelake.plans.lake import LOG
 from tidelake.plans.registry import query, table
 from tidelake.session import run_dir
 from tidelake.sources import topics
@@ -122,6 +123,12 @@ def decode_messages(spark, sf):
     return decoded(raw, zone_less=True)
 
 
+@query("SELECT event_id, ts FROM events ORDER BY ts LIMIT 10")
+def first_messages(spark, sf):
+    raw = topics.read_topic(spark, "events", events_topic(spark, sf), streaming=False)
+    return decoded(raw.orderBy("timestamp").limit(10), zone_less=True).select("event_id", "ts")
+
+
 @query(SAME)
 def topic_passthrough(spark, sf):
     backend = events_topic(spark, sf)
@@ -366,3 +373,43 @@ def sensor_stats(spark, sf):
     return landed(windows.window_agg(
         timed, "at", [], [F.count("*").alias("n"), F.round(F.avg("temperature"), 6).alias("temperature"),
                           F.round(F.avg("humidity"), 6).alias("humidity")], size="10 minutes", delay="1 minute"), "sensors")
+
+
+# -- tables carried from batch to batch ----------------------------------------
+
+def newest_version(spark, path: str) -> DataFrame:
+    written = spark.read.parquet(path)
+    return written.filter(F.col("batch") == written.agg(F.max("batch").alias("b")).scalar()).drop("batch")
+
+
+@query(f"""WITH last AS (SELECT * FROM {LOG} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+           SELECT user_id, value FROM last WHERE op <> 'delete'
+           UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM last)""")
+def apply_changes_stream(spark, sf):
+    events, state, mark = table(spark, sf, "events"), run_dir(spark, "applied"), run_dir(spark, "applied-state")
+    target = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    op = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
+
+    def run(backend):
+        changes = decoded(topics.read_topic(spark, "events", backend)).withColumn("op", op)
+        return jobs.apply_changes_stream(changes, target, state, mark, "user_id", "event_id", "op")
+
+    staged(spark, [days(events, 1, 15), days(events, 16, 31)], run)
+    return newest_version(spark, state)
+
+
+@query("""SELECT event_id, user_id, round(m, 6) AS mean_before, round(s, 6) AS sd_before,
+                 coalesce(n >= 2 AND abs(value - m) > 2.5 * s, false) AS is_anomaly
+          FROM (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s, count(value) OVER w AS n FROM events
+                WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""")
+def anomaly_stream(spark, sf):
+    events = table(spark, sf, "events")
+    out, state, mark = (run_dir(spark, name) for name in ("flagged", "flagged-tails", "flagged-state"))
+
+    def run(backend):
+        rows = decoded(topics.read_topic(spark, "events", backend)).select("event_id", "user_id", "ts", "value")
+        return jobs.anomaly_stream(rows, out, state, mark, "user_id", "ts", "value", 20, 2.5, "event_id")
+
+    staged(spark, [days(events, 1, 15), days(events, 16, 31)], run)
+    return spark.read.parquet(out).select("event_id", "user_id", F.round("mean_before", 6).alias("mean_before"),
+                                          F.round("sd_before", 6).alias("sd_before"), "is_anomaly")

@@ -6,9 +6,12 @@ import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from tidelake.operators.changes import apply_changes
+from tidelake.operators.features import flag_anomalies
 from tidelake.sources.topics import read_topic, write_topic
 
 
@@ -73,6 +76,63 @@ def start_exactly_once(df: DataFrame, path: str, checkpoint: str, mode: str = "f
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def fold_batches(df: DataFrame, state: str, checkpoint: str, step, out: str | None = None) -> StreamingQuery:
+    """Carry a table from batch to batch: ``step(before, rows)`` gives (after, output).
+
+    ``before`` is None in the first batch. Versions of the table are kept as
+    ``state/batch=n``, outputs as ``out/batch=n``; a repeated batch starts from the same
+    version and replaces what it wrote. A version is removed two batches later.
+    """
+
+    def run(rows, number):
+        spark = rows.sparkSession
+        before = spark.read.parquet(f"{state}/batch={number - 1}") if number else None
+        after, output = step(before, rows)
+        if out and output is not None:
+            output.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        after.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/batch={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return (df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def apply_changes_stream(changes: DataFrame, target: DataFrame, state: str, checkpoint: str, keys, seq: str,
+                         op: str) -> StreamingQuery:
+    """Keep ``target`` up to date with a stream of changes; ``state/batch=n`` is its content.
+
+    Sequences must not go back from one batch to the next.
+    """
+
+    def step(before, rows):
+        return apply_changes(target if before is None else before, rows, keys, seq, op), None
+
+    return fold_batches(changes, state, checkpoint, step)
+
+
+def anomaly_stream(df: DataFrame, out: str, state: str, checkpoint: str, key: str, ts_col: str, value: str, n: int,
+                   k: float, tie: str) -> StreamingQuery:
+    """Flag anomalies in a stream as the batch operator does over all of its rows.
+
+    The last ``n`` rows of every key are carried into the next batch, whose rows of
+    that key must be newer.
+    """
+
+    def step(before, rows):
+        names = rows.columns
+        known = rows.withColumn("_new", F.lit(True))
+        if before is not None:
+            known = known.unionByName(before.select(*names).withColumn("_new", F.lit(False)))
+        flagged = flag_anomalies(known, key, ts_col, value, n, k, tie)
+        newest = Window.partitionBy(key).orderBy(F.desc(ts_col), F.desc(tie))
+        tail = known.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).select(*names)
+        return tail, flagged.filter("_new").drop("_new")
+
+    return fold_batches(df, state, checkpoint, step, out)
+
+
 class ConsumerProgress(StreamingQueryListener):
     """Counts polls (batches) and messages; calls ``report`` every ``every`` polls and at the end."""
 
