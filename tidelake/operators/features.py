@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelake.functions.exact import whole_units
 from tidelake.functions.times import micros
 from tidelake.operators import skew
 
@@ -49,7 +50,7 @@ def rolling_features(df: DataFrame, key: str, ts_col: str, value: str, horizons:
     if isinstance(df.schema[value].dataType, T.DecimalType):
         amount = (F.col(value).cast(f"decimal(38,{scale})") * unit).cast("long")
     else:
-        amount = F.round(F.col(value).cast("double") * unit).cast("long")
+        amount = whole_units(value, scale)
     amount = F.coalesce(amount, F.lit(0).cast("long"))
     base = df.select("*", micros(ts_col).alias("_at"))
     enter = base.select(
@@ -84,12 +85,9 @@ def latest_per_key(df: DataFrame, key: str, ts_col: str, tie: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct("*"), F.struct(ts_col, tie)).alias("_r")).select("_r.*")
 
 
-def match_sequence(df: DataFrame, key: str, ts_col: str, type_col: str, a: str, b: str, within: str, tie: str,
-                   min_rows=None) -> DataFrame:
-    """Each ``a`` with the first strictly later ``b`` of its key, when at most ``within`` apart.
-
-    Gives the rows of type ``a`` with ``next_ts`` and ``next_id`` of that ``b``.
-    """
+def followed(df: DataFrame, key: str, ts_col: str, type_col: str, a: str, b: str, tie: str,
+             min_rows=None) -> DataFrame:
+    """Each ``a`` with the first strictly later ``b`` of its key as ``next_ts`` and ``next_id``, or NULL."""
     rows = df.filter(F.col(type_col).isin(a, b))
     # at equal times b comes first, so that the walk from an a meets only later ones
     rows = rows.withColumn("_side", (F.col(type_col) == a).cast("int"))
@@ -97,9 +95,18 @@ def match_sequence(df: DataFrame, key: str, ts_col: str, type_col: str, a: str,
         rows, [key], [ts_col, "_side", tie],
         following={"_b": F.when(F.col(type_col) == b, F.struct(F.col(ts_col).alias("ts"), F.col(tie).alias("id")))},
         min_rows=min_rows)
-    hit = found.filter((F.col(type_col) == a) & F.col("_b").isNotNull()
-                       & (F.col("_b.ts") <= F.col(ts_col) + F.expr(f"INTERVAL {within}")))
-    return hit.select(*df.columns, F.col("_b.ts").alias("next_ts"), F.col("_b.id").alias("next_id"))
+    return found.filter(F.col(type_col) == a).select(
+        *df.columns, F.col("_b.ts").alias("next_ts"), F.col("_b.id").alias("next_id"))
+
+
+def match_sequence(df: DataFrame, key: str, ts_col: str, type_col: str, a: str, b: str, within: str, tie: str,
+                   min_rows=None) -> DataFrame:
+    """Each ``a`` with the first strictly later ``b`` of its key, when at most ``within`` apart.
+
+    Gives the rows of type ``a`` with ``next_ts`` and ``next_id`` of that ``b``.
+    """
+    pairs = followed(df, key, ts_col, type_col, a, b, tie, min_rows)
+    return pairs.filter(F.col("next_ts") <= F.col(ts_col) + F.expr(f"INTERVAL {within}"))
 
 
 def flag_anomalies(df: DataFrame, key: str, ts_col: str, value: str, n: int, k: float, tie: str,

@@ -7,16 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.functions.exact import exact_sum, whole_units
 from tidelake.functions.times import iso_text, micros, parse_event_time
 from tidelake.operators import features, skew
 from tidelake.plans.registry import query, table, views
 
 
-def exact_sum(column):
-    """A total of amounts with two places that does not depend on the order of partial sums."""
-    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
-
-
 @query("SELECT * FROM orders")
 def table_scan(spark, sf):
     return table(spark, sf, "orders")
@@ -175,8 +171,7 @@ def window_analytic(spark, sf):
           FROM events""")
 def window_frames(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    cents = F.round(F.col("value") * 100).cast("long")
-    walked = skew.scan(events, ["user_id"], ["ts", "event_id"], sums={"running_sum": cents})
+    walked = skew.scan(events, ["user_id"], ["ts", "event_id"], sums={"running_sum": whole_units("value", 2)})
     rolled = features.rolling_features(walked, "user_id", "ts", "value", {"hour": 3600}, "event_id")
     return rolled.select("event_id", "user_id", (F.col("running_sum") / 100).alias("running_sum"),
                          F.round("sum_hour", 2).alias("hour_sum"))

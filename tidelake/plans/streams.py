@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelake.functions.exact import exact_sum
 from tidelake.functions.times import parse_event_time
 from tidelake.plans.lake import LOG
 from tidelake.plans.registry import query, table
@@ -248,8 +249,7 @@ def resume_from_checkpoint(spark, sf):
 # -- event time ---------------------------------------------------------------
 
 def _measures():
-    # exact totals: the result does not depend on the order of partial sums
-    total = F.sum(F.col("value").cast("decimal(18,2)")).cast("double")
+    total = exact_sum("value")
     return [F.count("*").alias("n"), total.alias("total"), (total / F.count("*")).alias("mean")]
 
 
@@ -413,3 +413,20 @@ def anomaly_stream(spark, sf):
     staged(spark, [days(events, 1, 15), days(events, 16, 31)], run)
     return spark.read.parquet(out).select("event_id", "user_id", F.round("mean_before", 6).alias("mean_before"),
                                           F.round("sd_before", 6).alias("sd_before"), "is_anomaly")
+
+
+@query("""SELECT a.user_id, a.event_id, min(b.ts) AS next_ts, arg_min(b.event_id, b.ts) AS next_id
+          FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR
+          WHERE a.event_type = 'view' AND b.event_type = 'purchase' GROUP BY 1, 2""")
+def pattern_stream(spark, sf):
+    events = table(spark, sf, "events")
+    out, state, mark = (run_dir(spark, name) for name in ("matched", "matched-open", "matched-state"))
+
+    def run(backend):
+        rows = decoded(topics.read_topic(spark, "events", backend)).select("event_id", "user_id", "ts", "event_type")
+        return jobs.match_stream(rows, out, state, mark, "user_id", "ts", "event_type", "view", "purchase", "6 HOURS",
+                                 "event_id")
+
+    staged(spark, [days(events, 1, 15), days(events, 16, 31)], run)
+    return spark.read.parquet(out).select("user_id", "event_id", F.col("next_ts").cast("timestamp_ntz").alias("next_ts"),
+                                          "next_id")

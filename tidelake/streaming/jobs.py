@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidelake.operators.changes import apply_changes
-from tidelake.operators.features import flag_anomalies
+from tidelake.operators.features import flag_anomalies, followed
 from tidelake.sources.topics import read_topic, write_topic
 
 
@@ -133,6 +133,26 @@ def anomaly_stream(df: DataFrame, out: str, state: str, checkpoint: str, key: st
     return fold_batches(df, state, checkpoint, step, out)
 
 
+def match_stream(df: DataFrame, out: str, state: str, checkpoint: str, key: str, ts_col: str, type_col: str, a: str,
+                 b: str, within: str, tie: str) -> StreamingQuery:
+    """Match a two-step sequence in a stream as the batch operator does over all of its rows.
+
+    Rows of type ``a`` that still wait for a ``b`` are carried into the next batch,
+    whose rows must be newer, and are forgotten after ``within``. Work is linear in
+    rows: the pairs of a key are never built.
+    """
+
+    def step(before, rows):
+        names, reach = rows.columns, F.col(ts_col) + F.expr(f"INTERVAL {within}")
+        known = rows if before is None else rows.unionByName(before.select(*names))
+        pairs = followed(known, key, ts_col, type_col, a, b, tie)
+        newest = known.agg(F.max(ts_col).alias("t")).scalar()
+        waiting = pairs.filter(F.col("next_ts").isNull() & (reach >= newest)).select(*names)
+        return waiting, pairs.filter(F.col("next_ts") <= reach)
+
+    return fold_batches(df, state, checkpoint, step, out)
+
+
 class ConsumerProgress(StreamingQueryListener):
     """Counts polls (batches) and messages; calls ``report`` every ``every`` polls and at the end."""
 

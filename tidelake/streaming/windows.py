@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelake.operators import skew
+
 
 def with_event_time(df: DataFrame, ts_col: str, delay: str | None) -> DataFrame:
     """``ts_col`` as a zoned timestamp, with a watermark when the frame streams."""
@@ -13,7 +15,7 @@ def with_event_time(df: DataFrame, ts_col: str, delay: str | None) -> DataFrame:
 
 
 def window_agg(df: DataFrame, ts_col: str, keys, aggs, size: str | None = None, slide: str | None = None,
-               gap: str | None = None, delay: str | None = None) -> DataFrame:
+               gap: str | None = None, delay: str | None = None, min_rows=None) -> DataFrame:
     """Aggregate per key and tumbling (``size``), hopping (``size``, ``slide``) or session
     (``gap``) window. Gives window_start, window_end (zone-less), the keys and the aggregates.
 
@@ -22,6 +24,8 @@ def window_agg(df: DataFrame, ts_col: str, keys, aggs, size: str | None = None,
     if (size is None) == (gap is None):
         raise ValueError("give either size or gap")
     timed = with_event_time(df, ts_col, delay)
+    if gap and not timed.isStreaming:
+        return _batch_sessions(timed, ts_col, keys, aggs, gap, min_rows)
     span = F.session_window(ts_col, gap) if gap else F.window(ts_col, size, slide or size)
     grouped = timed.groupBy(span.alias("w"), *keys).agg(*aggs)
     return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
@@ -29,6 +33,21 @@ def window_agg(df: DataFrame, ts_col: str, keys, aggs, size: str | None = None,
                           *keys, *[c for c in grouped.columns if c not in ("w", *keys)])
 
 
+def _batch_sessions(df, ts_col, keys, aggs, gap, min_rows):
+    """Sessions numbered along each key's rows, then grouped: a hot key is no hot task."""
+    keys, reach = list(keys), F.expr(f"INTERVAL {gap}")
+    seen = skew.scan(df, keys, [ts_col], prev={"_before": F.col(ts_col)}, min_rows=min_rows)
+    joins = F.coalesce(F.col(ts_col) <= F.col("_before") + reach, F.lit(False)).cast("int")
+    # at equal times the row that opens the session comes first
+    numbered = skew.scan(seen.withColumn("_joins", joins), keys, [ts_col, "_joins"],
+                         sums={"_session": 1 - F.col("_joins")}, min_rows=min_rows)
+    grouped = numbered.groupBy(*keys, "_session").agg(
+        F.min(ts_col).alias("_first"), F.max(ts_col).alias("_last"), *aggs)
+    return grouped.select(F.col("_first").cast("timestamp_ntz").alias("window_start"),
+                          (F.col("_last") + reach).cast("timestamp_ntz").alias("window_end"),
+                          *keys, *[c for c in grouped.columns if c not in ("_session", "_first", "_last", *keys)])
+
+
 def dedup(df: DataFrame, keys, ts_col: str, within: str) -> DataFrame:
     """One row per key; in a stream copies arriving within ``within`` of each other are dropped.
 
@@ -82,22 +101,6 @@ def enrich(stream: DataFrame, dimension: DataFrame, key: str, dimension_key: str
     return spread.join(copies, on, how).drop("_salt", "_copy")
 
 
-def match_stream(df: DataFrame, key: str, ts_col: str, type_col: str, a: str, b: str, within: str, tie: str,
-                 delay: str) -> DataFrame:
-    """Stream form of a two-step pattern: an interval join of two watermarked sides,
-    then the first ``b`` of every ``a``. Rows appear once both watermarks have passed."""
-    timed = with_event_time(df, ts_col, delay)
-    # the key columns come from the left side, whose watermark the aggregate keeps
-    left = timed.filter(F.col(type_col) == a).alias("a")
-    right = timed.filter(F.col(type_col) == b).select(
-        F.col(key).alias("_bk"), F.col(ts_col).alias("_bts"), F.col(tie).alias("_bid"))
-    joined = left.join(right, (F.col(key) == F.col("_bk")) & (F.col("_bts") > F.col(ts_col))
-                       & (F.col("_bts") <= F.col(ts_col) + F.expr(f"INTERVAL {within}")))
-    first = F.min(F.struct(F.col("_bts").alias("ts"), F.col("_bid").alias("id"))).alias("_b")
-    return joined.groupBy(key, tie, ts_col).agg(first).select(
-        key, tie, ts_col, F.col("_b.ts").alias("next_ts"), F.col("_b.id").alias("next_id"))
-
-
 def alerts(windowed: DataFrame, column: str, threshold) -> DataFrame:
     """Windows whose aggregate is above a threshold."""
     return windowed.filter(F.col(column) > threshold)
