@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions import kernels, vector
 from tidelake.operators import vectors
+from tidelake.session import run_dir
 
 ROWS = [(1, "doc1.txt", [0.1, 0.2, 0.3, 0.4, 0.5]), (2, "doc2.txt", [0.2, 0.3, 0.1, 0.5, 0.4]),
         (3, "doc3.txt", [0.15, 0.25, 0.2, 0.45, 0.42])]
@@ -123,8 +124,22 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r["id"] for r in found.orderBy("rank").collect()] == [0, 1, 2]
 
 
-def test_ann_recall(embeddings):
+def test_index_holds_every_row_and_all_probes_are_exact(spark, embeddings):
+    path = run_dir(spark, "index")
+    assert vectors.build_index(embeddings, "vec_id", "embedding", path, cells=8) == 8
+    assert spark.read.parquet(f"{path}/rows").select("vec_id").distinct().count() == embeddings.count()
     queries = embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = vectors.topk(queries, embeddings, "vec_id", "embedding", 5, "l2").select("query_id", "vec_id")
-    near = vectors.ann_topk(queries, embeddings, "vec_id", "embedding", 5).select("query_id", "vec_id")
-    assert exact.intersect(near).count() / exact.count() > 0.8
+    exact = vectors.topk(queries, embeddings, "vec_id", "embedding", 5, "l2").select("query_id", "vec_id", "score")
+    full = vectors.ann_topk(queries, path, "vec_id", "embedding", 5, probes=8).select("query_id", "vec_id", "score")
+    assert exact.select("query_id", "vec_id").exceptAll(full.select("query_id", "vec_id")).isEmpty()
+    some = vectors.ann_topk(queries, path, "vec_id", "embedding", 5, probes=4).select("query_id", "vec_id")
+    assert some.intersect(exact.select("query_id", "vec_id")).count() / exact.count() > 0.6
+
+
+def test_only_probed_cells_are_read(spark, embeddings):
+    path = run_dir(spark, "index")
+    vectors.build_index(embeddings, "vec_id", "embedding", path, cells=10)
+    query = embeddings.filter("vec_id = 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vectors.ann_topk(query, path, "vec_id", "embedding", 3, probes=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan and plan.count("cell#") and found.first()["vec_id"] == 3

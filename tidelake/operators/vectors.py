@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelake.functions import kernels, vector
 from tidelake.session import estimated_bytes, materialize
+from tidelake.sources.tables import write_table
 
 METRICS = {"dot": vector.dot, "cosine": vector.cosine, "l2": vector.l2}
 
@@ -177,22 +178,42 @@ def topk_within(queries: DataFrame, corpus: DataFrame, on: str, id_col: str, vec
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def ann_topk(queries: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, k: int, tables: int = 8,
-             bucket_length: float = 0.8, max_distance: float = 1.2, seed: int = 7,
+def build_index(corpus: DataFrame, id_col: str, vec_col: str, path: str, cells: int | None = None,
+                train_rows: int = 20_000, seed: int = 7) -> int:
+    """Write the corpus as ``path/rows``, partitioned by the nearest of ``cells`` centres; gives their number.
+
+    The centres (``path/centres``) are learnt by k-means from about ``train_rows``
+    rows, at least 40 per cell; every row of the corpus is stored. Hot cells are split
+    over several files.
+    """
+    spark, n = corpus.sparkSession, corpus.count()
+    cells = cells or max(4, min(4096, int(math.sqrt(n) / 2)))
+    vectors = corpus.withColumn("_features", array_to_vector(F.col(vec_col).cast("array<double>")))
+    sample = vectors.select("_features").sample(min(1.0, max(train_rows, 40 * cells) / max(1, n)), seed=seed)
+    model = KMeans(k=cells, seed=seed, maxIter=5, initMode="random", featuresCol="_features", predictionCol="cell").fit(sample)
+    write_table(model.transform(vectors).drop("_features"), f"{path}/rows", partition_by=["cell"], mode="overwrite")
+    centres = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
+    spark.createDataFrame(centres, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+    return len(centres)
+
+
+def ann_topk(queries: DataFrame, index: str, id_col: str, vec_col: str, k: int, probes: int = 8, metric: str = "l2",
              query_id: str = "query_id") -> DataFrame:
-    """Approximate top k by random-projection hashing, re-ranked by exact distance.
+    """Approximate top k: exact within the ``probes`` cells nearest to each query.
 
-    Only rows sharing a hash bucket with the query and within ``max_distance`` are
-    candidates, so a query can get fewer than ``k`` rows.
+    Only the folders of those cells are read, and a row is scored only against
+    the queries that probe its cell. With as many probes as cells it is exact.
     """
-    asked = materialize(queries.select(query_id, F.col(vec_col).cast("array<double>").alias("_v")), "queries")
-    asked = asked.select(query_id, array_to_vector("_v").alias("features"))
-    rows = corpus.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=seed,
-                                      numHashTables=tables, bucketLength=bucket_length)
-    model = lsh.fit(rows)
-    near = model.approxSimilarityJoin(asked, rows, max_distance, distCol="distance")
-    found = near.select(F.col(f"datasetA.{query_id}").alias(query_id), F.col(f"datasetB.{id_col}").alias(id_col),
-                        F.round("distance", 6).alias("distance"))
-    order = Window.partitionBy(query_id).orderBy("distance", id_col)
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    spark = queries.sparkSession
+    asked = materialize(queries.select(query_id, F.col(vec_col).cast("array<double>").alias("_q")), "queries")
+    centres = spark.read.parquet(f"{index}/centres")
+    near = topk(asked, centres, "cell", "centre", probes, "l2", query_id=query_id, query_vec="_q")
+    visits = materialize(asked.join(near.select(query_id, "cell"), query_id), "visits")
+    # at most as many values as there are cells
+    wanted = [row["cell"] for row in visits.select("cell").distinct().collect()]
+    rows = spark.read.parquet(f"{index}/rows").filter(F.col("cell").isin(wanted))
+    score = F.round(METRICS[metric]("_q", vec_col), 6)
+    scored = rows.select("cell", id_col, vec_col).join(visits, "cell").select(query_id, id_col, score.alias("score"))
+    nearest = F.asc("score") if metric == "l2" else F.desc("score")
+    order = Window.partitionBy(query_id).orderBy(nearest, id_col)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.times import micros
 from tidelake.operators import features, retrieval, vectors
 from tidelake.plans.registry import query, table
-from tidelake.session import spread
+from tidelake.session import run_dir, spread
 
 DOT = """round(list_sum(list_transform(range(1, len(a.embedding) + 1),
              lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6)"""
@@ -106,10 +106,11 @@ def semantic_topk_filtered(spark, sf):
 
 @query()
 def ann_topk(spark, sf):
-    rows = table(spark, sf, "embeddings")
+    rows, path = table(spark, sf, "embeddings"), run_dir(spark, "index")
+    cells = vectors.build_index(rows, "vec_id", "embedding", path)
     centres = vectors.centroids(rows, "label", "embedding").select(
         F.col("label").alias("query_id"), F.col("centroid").alias("embedding"))
-    return vectors.ann_topk(centres, rows, "vec_id", "embedding", 5)
+    return vectors.ann_topk(centres, path, "vec_id", "embedding", 5, probes=max(2, cells // 4))
 
 
 CHUNK, OVERLAP = 500, 50

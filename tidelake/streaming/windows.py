@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +62,10 @@ def dedup(df: DataFrame, keys, ts_col: str, within: str) -> DataFrame:
 
     def local(batches):
         for batch in batches:
-            yield batch.drop_duplicates(keys)
+            yield batch.filter(pa.array(~batch.select(keys).to_pandas().duplicated().to_numpy()))
 
     timed = df.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
-    thinned = timed.mapInPandas(local, timed.schema)
+    thinned = timed.mapInArrow(local, timed.schema)
     return thinned.withWatermark(ts_col, within).dropDuplicatesWithinWatermark(keys)
 
 
