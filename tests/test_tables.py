@@ -46,19 +46,19 @@ def test_catalog_statements(spark, tmp_path):
     assert catalog.show_schemas(spark).count() >= 2
     columns = "order_id INT, customer_id INT, order_date DATE, amount DECIMAL(10,2)"
     for _ in range(2):
-        catalog.create_table(spark, "iceberg.ic_test.orders", columns, if_not_exists=True)
+        catalog.create_table(spark, "iceberg.ic_test.ic_orders", columns, if_not_exists=True)
     with pytest.raises(AnalysisException):
-        catalog.create_table(spark, "iceberg.ic_test.orders", columns)
+        catalog.create_table(spark, "iceberg.ic_test.ic_orders", columns)
     catalog.use(spark, "iceberg.ic_test")
     try:
-        spark.sql("INSERT INTO orders VALUES (1, 101, DATE '2025-01-15', 99.99), (2, 102, DATE '2025-01-16', 149.50)")
-        assert [str(r["amount"]) for r in spark.table("orders").orderBy("order_id").collect()] == ["99.99", "149.50"]
-        catalog.add_columns(spark, "iceberg.ic_test.orders", "note STRING")
-        assert spark.table("orders").filter("note IS NULL").count() == 2
-        tables.analyze(spark, "orders")
+        spark.sql("INSERT INTO ic_orders VALUES (1, 101, DATE '2025-01-15', 99.99), (2, 102, DATE '2025-01-16', 149.50)")
+        assert [str(r["amount"]) for r in spark.table("ic_orders").orderBy("order_id").collect()] == ["99.99", "149.50"]
+        catalog.add_columns(spark, "iceberg.ic_test.ic_orders", "note STRING")
+        assert spark.table("ic_orders").filter("note IS NULL").count() == 2
+        tables.analyze(spark, "ic_orders")
         # out of range for DECIMAL(10,2)
         with pytest.raises(PySparkException):
-            spark.sql("INSERT INTO orders VALUES (3, 1, DATE '2025-01-15', 123456789012.00, 'x')")
+            spark.sql("INSERT INTO ic_orders VALUES (3, 1, DATE '2025-01-15', 123456789012.00, 'x')")
     finally:
         spark.catalog.setCurrentDatabase("default")
     place = str(tmp_path / "outside")

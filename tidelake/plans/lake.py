@@ -258,17 +258,17 @@ def external_table_write(spark, sf):
 def create_table(spark, sf):
     name = f"iceberg.analytics_{uuid.uuid4().hex}"
     catalog.create_schema(spark, name, if_not_exists=True, location=run_dir(spark, "schema"))
-    catalog.create_table(spark, f"{name}.events", "event_id BIGINT, user_id BIGINT, event_time TIMESTAMP_NTZ, "
+    catalog.create_table(spark, f"{name}.user_events", "event_id BIGINT, user_id BIGINT, event_time TIMESTAMP_NTZ, "
                          "properties MAP<STRING, STRING>", if_not_exists=True)
     properties = F.map_from_arrays(F.array(F.lit("action")), F.array("event_type"))
     rows = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").alias("event_time"),
                                              properties.alias("properties"))
-    full = catalog.table_name(spark, f"{name}.events")
+    full = catalog.table_name(spark, f"{name}.user_events")
     rows.write.insertInto(full)
     before = spark.catalog.currentDatabase()
     catalog.use(spark, name)
     try:
-        found = spark.table("events")
+        found = spark.table("user_events")
     finally:
         spark.catalog.setCurrentDatabase(before)
     return found.select("event_id", "user_id", "event_time",
