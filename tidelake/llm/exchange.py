@@ -37,8 +37,13 @@ ARROW = pa.schema([("key", pa.int64()), ("src", pa.int64()), ("kind", pa.int32()
                    ("h", pa.binary()), ("x", pa.binary()), ("y", pa.binary())])
 
 
+def block_of(column, count):
+    """Number of the block that holds a document id."""
+    return F.pmod(F.xxhash64(column), F.lit(count))
+
+
 def blocks(docs, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES, keep=()):
-    """(frame of block, doc_id, text and ``keep``, number of buckets) of a document table.
+    """(frame of block, doc_id, text and ``keep``; number of buckets; number of blocks) of a document table.
 
     Only the named columns are read, so others may have any name. Documents without an
     id are spread by their text.
@@ -46,9 +51,9 @@ def blocks(docs, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES, keep
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     count = max(1, math.ceil(size / block_bytes))
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))
-    frame = docs.select(F.pmod(F.xxhash64(key), F.lit(count)).alias("block"),
-                        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
-    return frame, max(MIN_BUCKETS, math.ceil(size / BUCKET_BYTES))
+    frame = docs.select(block_of(key, count).alias("block"), F.col(id_col).cast("long").alias("doc_id"),
+                        F.col(text_col).cast("string").alias("text"), *keep)
+    return frame, max(MIN_BUCKETS, math.ceil(size / BUCKET_BYTES)), count
 
 
 def in_order(table):

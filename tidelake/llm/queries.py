@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelake.llm import op2_substring, op3_suffixes
+from tidelake.llm import (op1_licenses, op2_substring, op3_suffixes, op4_rules, op5_classes, op6_mixture, op7_jaccard,
+                          op8_lines, op9_decontaminate, op10_forest)
 from tidelake.plans.registry import table
-from tidelake.session import prepare
 
 QUERIES, SQL = {}, {}
 
@@ -12,7 +12,9 @@ QUERIES, SQL = {}, {}
 def query(sql=None):
     def register(fn):
         def run(spark, sf_dir):
-            return fn(prepare(spark), sf_dir)
+            # long texts: an Arrow batch is bounded by bytes, not only by rows
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+            return fn(spark, sf_dir)
 
         run.__name__ = fn.__name__
         QUERIES[fn.__name__] = run
@@ -44,3 +46,75 @@ def op2_substring_dedup(spark, sf_dir):
 @query()
 def op3_suffix_dedup(spark, sf_dir):
     return op3_suffixes.dedup_bytes(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+@query()
+def op1_license_scan(spark, sf_dir):
+    return op1_licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_rule_ensemble(spark, sf_dir):
+    return op4_rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_class_bigrams(spark, sf_dir):
+    return op5_classes.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_source_mix(spark, sf_dir):
+    return op6_mixture.mix(table(spark, sf_dir, "documents"))[0].drop("source")
+
+
+@query()
+def op7_jaccard_join(spark, sf_dir):
+    return op7_jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("representative")
+
+
+@query("""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+keyed AS (SELECT doc_id, n, line,
+                 translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+           GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, n, line, keeper IS NOT NULL AND doc_id < keeper AS gone
+           FROM keyed LEFT JOIN common ON keyed.key = common.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op8_line_dedup(spark, sf_dir):
+    return op8_lines.dedup_lines(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text", "keep")
+
+
+@query("""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+tests AS (SELECT DISTINCT item_id, len(key) AS size, key FROM (
+          SELECT item_id, list_slice(words, p, p + least(len(words), 10) - 1) AS key
+          FROM b, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS t(p) WHERE len(words) > 0)),
+spans AS (SELECT DISTINCT size FROM tests),
+spots AS (SELECT doc_id, p, size, list_slice(words, p, p + size - 1) AS key
+          FROM d, spans, unnest(range(1, len(words) - size + 2)) AS t(p)),
+hits AS (SELECT doc_id, p, spots.size, item_id FROM spots JOIN tests ON spots.key = tests.key),
+hit_words AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS k FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(w.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(w.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words w ON d.doc_id = w.doc_id LEFT JOIN hit_items i ON d.doc_id = i.doc_id
+""")
+def op9_decontamination(spark, sf_dir):
+    found = op9_decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_text=False)
+    return found.drop("spans", "clean_text")
+
+
+@query()
+def op10_isolation_forest(spark, sf_dir):
+    return op10_forest.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -179,7 +179,7 @@ def remove_repeats(docs, read, sampler, finish, schema, window, id_col="doc_id",
 
     ``read(table, window)`` gives (texts, Items): how texts are cut into items.
     """
-    frame, buckets = X.blocks(docs, id_col, text_col, **sizes)
+    frame, buckets, _ = X.blocks(docs, id_col, text_col, **sizes)
 
     def first(block, table):
         _, items = read(table, window)
