@@ -15,7 +15,13 @@ from tidelake.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FEATURES = ["word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "marks", "bangs", "distinct"]
+# shares of text statistics, drawn towards 0 in short texts, where they vary by chance
+FEATURES = {
+    "symbols": "n_symbols / (n_words + 20)", "upper": "n_upper / (n_letters + 100)", "bangs": "n_bangs / (n_words + 20)",
+    "repeats": "n_repeat_words / (n_words + 20)", "dup_lines": "n_dup_lines / (n_lines + 10)",
+    "marks": "n_marks / (n_words + 20)", "word_length": "word_chars / (n_words + 1)",
+    "digits": "n_digits / (n_chars + 100)", "distinct": "n_distinct / (n_words + 1)",
+}
 # labelled rows the forest is grown on and its threshold set by: those with the smallest hashed ids
 TRAIN_ROWS = 20_000
 
@@ -75,45 +81,63 @@ def grow_tree(rows, rng):
 class Forest:
     trees: list
     sample: int
+    low: np.ndarray  # usual range of each feature
+    high: np.ndarray
     threshold: float = np.inf
 
+    def excess(self, rows):
+        """How far values lie outside their usual range."""
+        return np.maximum(rows - self.high, 0) - np.maximum(self.low - rows, 0)
+
     def scores(self, rows):
         """2 ** (- mean path / expected path): near 1 for rows that few splits set apart."""
         if not self.trees:
             return np.zeros(len(rows))
+        rows = self.excess(rows)
         mean = sum(t.lengths(rows) for t in self.trees) / len(self.trees)
         return 2.0 ** (-mean / max(float(average_path(self.sample)), 1e-9))
 
 
-def best_threshold(scores, good, lost):
-    """The limit with the most bad rows above it while at most a share ``lost`` of good rows is."""
-    if not good.any():
+def best_threshold(scores, good, lost, price):
+    """The limit with the most bad rows above it, less ``price`` times the good rows above it.
+
+    Both count as shares; never more than a share ``lost`` of the good rows.
+    """
+    if not good.any() or good.all():
         return np.inf
-    ordered = np.sort(scores[good])
-    limit = ordered[min(len(ordered) - 1, int(np.ceil((1 - lost) * len(ordered))))]
-    # among the limits that are no lower, the middle of the widest gap that loses no further bad row
-    bad = scores[~good & (scores > limit)]
-    return float((limit + bad.min()) / 2) if len(bad) else float(limit)
-
-
-def fit_forest(rows, good, trees=200, sample=256, lost=0.01, seed=10):
-    """A forest on labelled rows; the threshold keeps all but a share ``lost`` of the good ones."""
-    if not len(rows):
-        return Forest([], sample)
-    rng = np.random.default_rng(seed)
-    grown = [grow_tree(rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)], rng) for _ in range(trees)]
-    forest = Forest(grown, min(sample, len(rows)))
-    forest.threshold = best_threshold(forest.scores(rows), good, lost)
+    values = np.unique(scores)
+    limits = np.append((values[1:] + values[:-1]) / 2, np.inf)
+    good_above = 1 - np.searchsorted(np.sort(scores[good]), limits, side="right") / good.sum()
+    bad_above = 1 - np.searchsorted(np.sort(scores[~good]), limits, side="right") / (~good).sum()
+    worth = np.where(good_above <= lost, bad_above - price * good_above, -np.inf)
+    return float(limits[np.flatnonzero(worth == worth.max())[-1]])
+
+
+def fit_forest(rows, good, trees=100, sample=256, tail=0.001, lost=0.01, price=2.0, seed=10):
+    """A forest on labelled rows, by how far they exceed the range of good ones.
+
+    The usual range of a feature leaves out a share ``tail`` of good rows at both ends.
+    """
+    none = np.zeros(rows.shape[1])
+    if not good.any():
+        return Forest([], sample, none, none)
+    forest = Forest([], min(sample, len(rows)), np.quantile(rows[good], tail, axis=0), np.quantile(rows[good], 1 - tail, axis=0))
+    rng, far = np.random.default_rng(seed), forest.excess(rows)
+    forest.trees = [grow_tree(far[rng.choice(len(far), forest.sample, replace=False)], rng) for _ in range(trees)]
+    forest.threshold = best_threshold(forest.scores(rows), good, lost, price)
     return forest
 
 
 def training_rows(stats, labels, label_col="quality", limit=TRAIN_ROWS, id_col="doc_id"):
-    """(feature rows, mask of good rows) of at most ``limit`` labelled documents, by hashed id."""
+    """(feature rows, mask of good rows) of ``limit`` labelled documents at most, by hashed id.
+
+    ``stats`` holds the documents that pass the base rule.
+    """
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good"))
     marks = marks.where("doc_id IS NOT NULL AND good IS NOT NULL")
     chosen = marks.groupBy("doc_id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = stats.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *FEATURES).select("good", *FEATURES).toPandas()
-    return rows[FEATURES].to_numpy(float), rows["good"].to_numpy() > 0
+    return rows[list(FEATURES)].to_numpy(float), rows["good"].to_numpy() > 0
 
 
 def quality_rules(docs, labels, id_col="doc_id", text_col="text", label_col="quality", min_words=10, max_repeats=20,
@@ -123,24 +147,24 @@ def quality_rules(docs, labels, id_col="doc_id", text_col="text", label_col="qua
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (fewer than ``min_words`` words, or more than ``max_repeats`` percent of
     them in repeated 5-word windows), anomaly (0 to 1) and kept: false if the base rule
-    failed or the anomaly is above the threshold. The forest is grown on the FEATURES of at
-    most ``train_rows`` labelled rows, and its threshold is the one that rejects at most 1
-    percent of their good ones; without labels it rejects nothing. Null and empty texts have
-    no words, so the base rule fails. One row per input row, also without an id. Other
-    columns are not read.
+    failed or the anomaly is above the threshold. The forest is grown on the FEATURES of those
+    of ``train_rows`` labelled rows that pass the base rule; its threshold sets bad rows apart
+    from good ones and rejects at most 1 percent of the good ones. Without labels of both
+    kinds it rejects nothing. Null and empty texts have no words, so the base rule fails. One
+    row per input row, also without an id. Other columns are not read.
     """
-    stats = materialize(S.with_features(S.statistics(docs, id_col, text_col)), "rules")
-    forest = fit_forest(*training_rows(stats, labels, label_col, train_rows), **forest)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    stats = materialize(S.statistics(docs, id_col, text_col), "rules")
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeats * F.col("n_words"))
+    stats = stats.withColumns({name: F.expr(e).cast("double") for name, e in FEATURES.items()})
+    forest = fit_forest(*training_rows(stats.where(~failed), labels, label_col, train_rows), **forest)
     shown = ["doc_id", *S.COUNTS[:5]]
 
     def judge(batches):
         for batch in batches:
             rows = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in shown), pa.array(shared.value.scores(rows))],
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in shown), pa.array(forest.scores(rows))],
                                              names=[*shown, "anomaly"])
 
     judged = stats.select(*shown, *FEATURES).mapInArrow(judge, ", ".join(f"{c} long" for c in shown) + ", anomaly double")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeats * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(forest.threshold)))

@@ -160,10 +160,9 @@ def scan_licenses(docs, templates=None, min_coverage=0.8, gram=GRAM, size=WINNOW
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not templates:
         return spark.createDataFrame([], SCHEMA)
-    shared = spark.sparkContext.broadcast(Index(templates, gram, size))
+    index = Index(templates, gram, size)  # goes to every task with the function
 
     def run(batches):
-        index = shared.value
         lengths = [len(w) for w in index.words]
         # narrower for short templates, so that notices one after the other stay apart
         bands = np.minimum(band, (np.array(lengths) - 1) // 2)

@@ -59,7 +59,8 @@ def targets(sized, weights=(1, 2, 3), most=3):
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     rows = rows.withColumn("common", (F.sum("source_size").over(everything) - F.coalesce(F.sum("full").over(before), F.lit(0)))
                            / F.sum("weight").over(after))
-    rows = rows.withColumn("common", F.min(F.when(F.col("common") <= F.col("level"), F.col("common"))).over(everything))
+    first = F.min(F.when(F.col("common") <= F.col("level"), F.struct("level", "sid", "common"))).over(everything)
+    rows = rows.withColumn("common", first["common"])
     return rows.select("sid", "source", "source_size", F.least(F.col("full").cast("double"), F.col("common") * F.col("weight")).alias("target"))
 
 

@@ -91,10 +91,9 @@ def merged(spans):
 
 def scan(frame, items, size):
     """Add the spans (word numbers) and items that one slice of the test set hits."""
-    shared = frame.sparkSession.sparkContext.broadcast(Grams(items, size))
+    grams = Grams(items, size)  # goes to every task with the function
 
     def run(batches):
-        grams = shared.value
         for batch in pieces(batches):
             data, offsets = K.text_bytes(batch.column("text"), lower=True)
             starts, ends, first = K.words(data, offsets, K.ALNUM)
