@@ -37,6 +37,14 @@ ARROW = pa.schema([("key", pa.int64()), ("src", pa.int64()), ("kind", pa.int32()
                    ("h", pa.binary()), ("x", pa.binary()), ("y", pa.binary())])
 
 
+def carried(docs, names):
+    """The named columns as one struct ``carried``, with its schema text; nothing if there are none."""
+    if not names:
+        return [], ""
+    row = F.struct(*(F.col(f"`{n}`") for n in names)).alias("carried")
+    return [row], f", carried {docs.select(row).schema[0].dataType.simpleString()}"
+
+
 def block_of(column, count):
     """Number of the block that holds a document id."""
     return F.pmod(F.xxhash64(column), F.lit(count))

@@ -11,16 +11,18 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidelake.llm import stats as S
+from tidelake.llm.op9_decontaminate import pieces
 from tidelake.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # shares of text statistics, drawn towards 0 in short texts, where they vary by chance
+# as (count, of, added to ``of``)
 FEATURES = {
-    "symbols": "n_symbols / (n_words + 20)", "upper": "n_upper / (n_letters + 100)", "bangs": "n_bangs / (n_words + 20)",
-    "repeats": "n_repeat_words / (n_words + 20)", "dup_lines": "n_dup_lines / (n_lines + 10)",
-    "marks": "n_marks / (n_words + 20)", "word_length": "word_chars / (n_words + 1)",
-    "digits": "n_digits / (n_chars + 100)", "distinct": "n_distinct / (n_words + 1)",
+    "symbols": ("n_symbols", "n_words", 20), "upper": ("n_upper", "n_letters", 100), "bangs": ("n_bangs", "n_words", 20),
+    "repeats": ("n_repeat_words", "n_words", 20), "dup_lines": ("n_dup_lines", "n_lines", 10),
+    "marks": ("n_marks", "n_words", 20), "word_length": ("word_chars", "n_words", 1),
+    "digits": ("n_digits", "n_chars", 100), "distinct": ("n_distinct", "n_words", 1),
 }
 # labelled rows the forest is grown on and its threshold set by: those with the smallest hashed ids
 TRAIN_ROWS = 20_000
@@ -128,18 +130,32 @@ def fit_forest(rows, good, trees=100, sample=256, tail=0.001, lost=0.01, price=2
     return forest
 
 
+def chosen_labels(labels, label_col, limit, id_col):
+    """(labelled_id, good) of ``limit`` labelled documents at most, by hashed id."""
+    marks = labels.select(F.col(id_col).cast("long").alias("labelled_id"), F.col(label_col).cast("int").alias("good"))
+    marks = marks.where("labelled_id IS NOT NULL AND good IS NOT NULL").groupBy("labelled_id").agg(F.max("good").alias("good"))
+    return marks.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(limit)
+
+
 def training_rows(stats, labels, label_col="quality", limit=TRAIN_ROWS, id_col="doc_id"):
-    """(feature rows, mask of good rows) of ``limit`` labelled documents at most, by hashed id.
+    """(feature rows, mask of good rows) of the chosen labelled documents.
 
     ``stats`` holds the documents that pass the base rule.
     """
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good"))
-    marks = marks.where("doc_id IS NOT NULL AND good IS NOT NULL")
-    chosen = marks.groupBy("doc_id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = stats.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *FEATURES).select("good", *FEATURES).toPandas()
+    chosen = chosen_labels(labels, label_col, limit, id_col)
+    rows = stats.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
+    rows = rows.orderBy("doc_id", *FEATURES).select("good", *FEATURES).toPandas()
     return rows[list(FEATURES)].to_numpy(float), rows["good"].to_numpy() > 0
 
 
+def base_rule(min_words, max_repeats):
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeats * F.col("n_words"))
+
+
+def with_features(stats):
+    return stats.withColumns({name: F.col(part) / (F.col(of) + more) for name, (part, of, more) in FEATURES.items()})
+
+
 def quality_rules(docs, labels, id_col="doc_id", text_col="text", label_col="quality", min_words=10, max_repeats=20,
                   train_rows=TRAIN_ROWS, **forest):
     """Statistics, base rule and isolation forest verdict of every document.
@@ -154,9 +170,8 @@ def quality_rules(docs, labels, id_col="doc_id", text_col="text", label_col="qua
     row per input row, also without an id. Other columns are not read.
     """
     stats = materialize(S.statistics(docs, id_col, text_col), "rules")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeats * F.col("n_words"))
-    stats = stats.withColumns({name: F.expr(e).cast("double") for name, e in FEATURES.items()})
-    forest = fit_forest(*training_rows(stats.where(~failed), labels, label_col, train_rows), **forest)
+    failed, stats = base_rule(min_words, max_repeats), with_features(stats)
+    forest = fit_forest(*training_rows(stats.where(~failed), labels, label_col, train_rows, id_col), **forest)
     shown = ["doc_id", *S.COUNTS[:5]]
 
     def judge(batches):
@@ -168,3 +183,25 @@ def quality_rules(docs, labels, id_col="doc_id", text_col="text", label_col="qua
     judged = stats.select(*shown, *FEATURES).mapInArrow(judge, ", ".join(f"{c} long" for c in shown) + ", anomaly double")
     return judged.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(forest.threshold)))
+
+
+def keep_good(docs, labels, id_col="doc_id", text_col="text", label_col="quality", min_words=10, max_repeats=20,
+              train_rows=TRAIN_ROWS, **forest):
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps.
+
+    The forest sees the labelled rows first; then one pass over the texts judges and
+    filters them where they are, so no row is moved and rows need no id.
+    """
+    marked = docs.join(F.broadcast(chosen_labels(labels, label_col, train_rows, id_col)), F.col(id_col).cast("long") == F.col("labelled_id"))
+    stats = with_features(S.statistics(marked.select(F.col("labelled_id").alias("doc_id"), F.col(text_col).alias("text"))))
+    failed = base_rule(min_words, max_repeats)
+    forest = fit_forest(*training_rows(stats.where(~failed), labels, label_col, train_rows, id_col), **forest)
+
+    def judge(batches):
+        for batch in pieces(batches, text_col):
+            n = dict(zip(S.COUNTS, S.counts(batch.column(text_col))))
+            rows = np.column_stack([n[part] / (n[of] + more) for part, of, more in FEATURES.values()])
+            bad = (n["n_words"] < min_words) | (100 * n["n_repeat_words"] > max_repeats * n["n_words"])
+            yield batch.filter(pa.array(~bad & (forest.scores(rows) <= forest.threshold)))
+
+    return docs.mapInArrow(judge, docs.schema)

@@ -56,7 +56,7 @@ def kept_lines(text, keep):
     return "\n".join(compress(lines, np.unpackbits(np.frombuffer(zlib.decompress(keep), dtype=np.uint8))))
 
 
-def dedup_lines(docs, min_chars=20, min_docs=3, id_col="doc_id", text_col="text", with_text=True, **sizes):
+def dedup_lines(docs, min_chars=20, min_docs=3, id_col="doc_id", text_col="text", with_text=True, carry=(), **sizes):
     """Drop lines whose key is in ``min_docs`` documents, but not from the largest id.
 
     A key is a line without blanks at both ends, A-Z lower-cased; keys below ``min_chars``
@@ -65,10 +65,11 @@ def dedup_lines(docs, min_chars=20, min_docs=3, id_col="doc_id", text_col="text"
     document that keeps the line. Returns doc_id, n_lines, n_dropped, keep (a compressed
     bitmap, see ``kept_lines``), kept_text (null unless ``with_text``) and kept_sha256, one
     row per input row. Null and empty texts have one empty line. Rows without an id
-    keep all lines and count for none; rows with equal ids are one document. Other
-    columns are not read.
+    keep all lines and count for none; rows with equal ids are one document. The columns
+    in ``carry`` are returned in a struct ``carried``; others are not read.
     """
-    frame, buckets, _ = X.blocks(docs, id_col, text_col, **sizes)
+    extra, extra_schema = X.carried(docs, carry)
+    frame, buckets, _ = X.blocks(docs, id_col, text_col, keep=extra, **sizes)
 
     def send(block, table):
         ids, active = X.ids_of(table)
@@ -118,8 +119,9 @@ def dedup_lines(docs, min_chars=20, min_docs=3, id_col="doc_id", text_col="text"
             bitmaps.append(bitmap(own))
             hashes.append(K.sha256(text))
             texts.append(text.decode() if with_text else None)
-        return pa.table({"doc_id": table.column("doc_id"), "n_lines": np.diff(first), "n_dropped": pa.array(dropped, pa.int64()),
-                         "keep": pa.array(bitmaps, pa.binary()), "kept_text": pa.array(texts, pa.string()),
-                         "kept_sha256": pa.array(hashes, pa.string())})
+        out = {"doc_id": table.column("doc_id"), "n_lines": np.diff(first), "n_dropped": pa.array(dropped, pa.int64()),
+               "keep": pa.array(bitmaps, pa.binary()), "kept_text": pa.array(texts, pa.string()),
+               "kept_sha256": pa.array(hashes, pa.string())}
+        return pa.table(out | ({"carried": table.column("carried")} if carry else {}))
 
-    return X.answer(frame, X.resolve(X.emit(frame, send), choose), drop, SCHEMA)
+    return X.answer(frame, X.resolve(X.emit(frame, send), choose), drop, SCHEMA + extra_schema)

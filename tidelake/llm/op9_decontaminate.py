@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidelake.llm import kernels as K
+from tidelake.llm.exchange import carried
 from tidelake.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -18,6 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SLICE_BYTES = 32 << 20
 PIECE_BYTES = 1 << 20
 HITS = "doc_id long, text string, spans array<struct<low:long,high:long>>, items array<string>"
+KEPT = ["doc_id", "text", "spans", "items"]
 SCHEMA = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
           "spans array<struct<low:long,high:long>>, clean_text string")
 
@@ -89,7 +91,7 @@ def merged(spans):
     return out
 
 
-def scan(frame, items, size):
+def scan(frame, items, size, extra):
     """Add the spans (word numbers) and items that one slice of the test set hits."""
     grams = Grams(items, size)  # goes to every task with the function
 
@@ -107,11 +109,12 @@ def scan(frame, items, size):
                 spans[i] = [{"low": low, "high": high} for low, high in merged(mine)]
                 names[i] = sorted(set(names[i]).union(*(held for _, _, held in hits)))
             spans = pa.array(spans, batch.schema.field("spans").type)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), spans,
-                                              pa.array(names, batch.schema.field("items").type)],
-                                             names=["doc_id", "text", "spans", "items"])
+            more = batch.schema.names[len(KEPT):]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text"), spans, pa.array(names, batch.schema.field("items").type),
+                 *map(batch.column, more)], names=[*KEPT, *more])
 
-    return frame.mapInArrow(run, HITS)
+    return frame.mapInArrow(run, HITS + extra)
 
 
 def report(with_text):
@@ -134,8 +137,10 @@ def report(with_text):
                 [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(hit, pa.int64()),
                  pa.array([len(n) for n in names], pa.int64()),
                  pa.array([K.sha256(",".join(n).encode()) for n in names], pa.string()),
-                 pa.array([n > 0 for n in hit], pa.bool_()), batch.column("spans"), pa.array(texts, pa.string())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "clean_text"])
+                 pa.array([n > 0 for n in hit], pa.bool_()), batch.column("spans"), pa.array(texts, pa.string()),
+                 *map(batch.column, batch.schema.names[len(KEPT):])],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "clean_text",
+                       *batch.schema.names[len(KEPT):]])
 
     return run
 
@@ -153,7 +158,7 @@ def slices_of(benchmark, item_col, text_col, slice_bytes):
 
 
 def decontaminate(docs, benchmark, size=10, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",
-                  with_text=True, slice_bytes=SLICE_BYTES):
+                  with_text=True, carry=(), slice_bytes=SLICE_BYTES):
     """Words of documents inside any window of ``size`` words of a test item.
 
     Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z
@@ -163,11 +168,13 @@ def decontaminate(docs, benchmark, size=10, id_col="doc_id", text_col="text", it
     items_sha256 (their ids, sorted as text, joined by commas), contaminated, spans (word
     numbers [low, high) of hit runs) and clean_text (the text without these spans; null
     unless ``with_text``), one row per input row. Null texts have no words and give a
-    null clean_text; items without an id or text hit nothing. Other columns are not read.
+    null clean_text; items without an id or text hit nothing. The columns in ``carry`` are
+    returned in a struct ``carried``; others are not read.
     """
+    row, extra = carried(docs, carry)
     none = F.expr("CAST(array() AS array<struct<low:long,high:long>>)")
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                        none.alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"))
+                        none.alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"), *row)
     for k, items in enumerate(slices_of(benchmark, item_col, item_text_col, slice_bytes)):
-        frame = scan(materialize(frame, "decontaminate") if k else frame, items, size)
-    return frame.mapInArrow(report(with_text), SCHEMA)
+        frame = scan(materialize(frame, "decontaminate") if k else frame, items, size, extra)
+    return frame.mapInArrow(report(with_text), SCHEMA + extra)
