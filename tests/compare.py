@@ -55,7 +55,7 @@ def compare(spark, connection, folder, query, sql):
 
 def main():
     import __spark_entry__ as entry
-    from tidelake.session import build_session
+    from tidelake.session import build_session, clear_runs
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session(master="local[8]", conf={
@@ -74,6 +74,7 @@ def main():
               f"{'' if name in sql else '(no SQL) '}{problem or ''}", flush=True)
         if problem:
             bad.append(name)
+        clear_runs(spark)
     print("bad:", bad)
 
 

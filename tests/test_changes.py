@@ -35,9 +35,8 @@ def test_insert_if_absent_keeps_maps_and_arrays(spark):
 
 def test_insert_if_absent_refuses_a_null_key(spark):
     source = spark.createDataFrame([(None, 1)], "k int, ord int")
-    new_rows, _ = changes.insert_if_absent(spark.createDataFrame([], "k int"), source, "k", "ord")
     with pytest.raises(PySparkException, match="NULL in key column"):
-        new_rows.collect()
+        changes.insert_if_absent(spark.createDataFrame([], "k int"), source, "k", "ord")
 
 
 KEYED = st.lists(st.tuples(st.integers(0, 6), st.integers(0, 99)), max_size=12)
@@ -115,3 +114,12 @@ def test_versions_model(spark, log, v):
     empty = spark.createDataFrame([], "k int, v int")
     applied = changes.apply_changes(empty, frame.filter(F.col("version") <= v), "k", "version", "op")
     assert {r["k"]: r["v"] for r in applied.collect()} == want
+
+
+def test_one_of_equal_source_rows_is_reported_as_inserted(spark):
+    target = spark.createDataFrame([(9, "x")], "k int, v string")
+    source = spark.createDataFrame([(1, "a", 5), (1, "b", 5), (1, "a", 5), (2, "c", None), (9, "d", 1)], "k int, v string, o int")
+    new, report = changes.insert_if_absent(target, source, "k", "o")
+    assert sorted(tuple(r) for r in new.collect()) == [(1, "a"), (2, "c")]
+    told = sorted((r["k"], r["status"]) for r in report.collect())
+    assert told == [(1, "inserted"), (1, "skipped"), (1, "skipped"), (2, "inserted"), (9, "skipped")]

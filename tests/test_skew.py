@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.operators import features, retrieval, skew
@@ -25,7 +26,61 @@ def events(spark, small):
 
 def test_hot_groups_are_found(events):
     found = skew.hot_groups(events, ["user_id"], 200)
-    assert [r["user_id"] for r in found] == [7]
+    assert [r["user_id"] for r in found.collect()] == [7]
+
+
+def test_thousands_of_heavy_keys_are_all_cut(spark):
+    rows = spark.range(60_000).select((F.col("id") % 5000).alias("k"), F.col("id").alias("t"))
+    cut = skew.slice_groups(rows, ["k"], "t", min_rows=10)
+    assert cut.hot and cut.df.filter("NOT _hot").isEmpty()
+    # slices are ranges of about as many rows, whoever they belong to
+    assert cut.df.groupBy("_slice").count().agg(F.max("count")).first()[0] < 60
+    out = skew.scan(rows, ["k"], ["t"], sums={"n": F.lit(1)}, min_rows=10)
+    assert out.filter(F.col("n") != F.floor(F.col("t") / 5000) + 1).isEmpty()
+
+
+@pytest.mark.parametrize("descending", [(), ("v",)])
+def test_ranking_with_nan(spark, descending):
+    rows = spark.range(2000).select(F.lit(1).alias("k"), "id", F.when(F.col("id") % 400 == 0, F.lit(float("nan"))).when(
+        F.col("id") % 401 == 0, None).otherwise((F.col("id") % 90).cast("double")).alias("v"))
+
+    def run(min_rows):
+        return skew.ranking(rows, ["k"], ["v", "id"], descending, ntile=5, min_rows=min_rows)
+
+    assert same(run(None), run(100))
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_rows_of_one_time_see_each_other(spark, limit):
+    rows = spark.createDataFrame([(1, 0, 1.0, 1), (1, 0, 2.0, 2), (1, 5, 4.0, 3), (2, 0, 8.0, 4), (1, 5, None, 5)],
+                                 "k int, s int, v double, id int").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    frame = Window.partitionBy("k").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_000_000, 0)
+    want = rows.select("id", F.count("*").over(frame).alias("count_h"), F.coalesce(F.sum("v").over(frame), F.lit(0.0)).alias("sum_h"))
+    got = features.rolling_features(rows, "k", "ts", "v", {"h": 3}, "id", min_rows=limit)
+    assert same(want, got)
+
+
+def test_digits_are_not_dropped(spark):
+    rows = spark.createDataFrame([(1, 1.23456789)], "k int, v double").withColumn("ts", F.current_timestamp())
+    with pytest.raises(Exception, match="decimal places"):
+        features.rolling_features(rows, "k", "ts", "v", {"h": 3}, "v").collect()
+    fits = rows.withColumn("v", F.lit(0.1) + F.lit(0.2))
+    assert features.rolling_features(fits, "k", "ts", "v", {"h": 3}, "v").first()["sum_h"] == 0.3
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_null_keys_and_times_match_nothing(spark, limit):
+    times = {None: None, 0: "2024-01-01", 1: "2024-01-02"}
+    def frame(rows):
+        return spark.createDataFrame([(k, times[t], kind, i) for k, t, kind, i in rows], "k int, t string, kind string, i int").withColumn(
+            "ts", F.col("t").cast("timestamp_ntz")).drop("t")
+    labels = frame([(None, 1, "l", 1), (1, 1, "l", 2), (2, 1, "l", 3), (1, None, "l", 4)])
+    found = frame([(None, 0, "f", 10), (1, 0, "f", 11), (2, None, "f", 12)])
+    got = features.point_in_time_join(labels, found, "k", "ts", "ts", ["i"], "i", min_rows=limit).collect()
+    assert {r["i"]: r["feature_i"] for r in got} == {1: None, 2: 11, 3: None, 4: None}
+    steps = frame([(None, 0, "a", 1), (None, 1, "b", 2), (1, None, "a", 3), (1, 1, "b", 4), (1, 0, "a", 5), (2, 0, "a", 6), (2, None, "b", 7)])
+    got = features.followed(steps, "k", "ts", "kind", "a", "b", "i", min_rows=limit).collect()
+    assert {r["i"]: r["next_id"] for r in got} == {1: None, 3: None, 5: 4, 6: None}
 
 
 @pytest.mark.parametrize("key", ["user_id", "event_type"])

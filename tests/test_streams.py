@@ -57,14 +57,16 @@ def test_quarantine_splits_and_null_keys_stay(spark):
         ("b", b"no json"), ("c", None)]
 
 
-def test_offsets_go_on_across_batches_and_a_batch_replaces_itself(spark):
+def test_writers_append_and_only_a_replay_replaces_itself(spark):
     place, frame = backend(spark), raw(spark, [(f"k{i}", f'{{"id": {i}}}') for i in range(20)])
-    for batch in (0, 1, 1):
-        topics.write_topic(frame, "t", place, batch=batch)
-    rows = topics.read_topic(spark, "t", place, streaming=False)
-    assert rows.count() == 40
-    for part in rows.groupBy("partition").agg(F.collect_list("offset").alias("o")).collect():
-        assert sorted(part["o"]) == list(range(len(part["o"])))
+    for _ in range(2):
+        topics.write_topic(frame, "t", place)
+    topics.write_topic(frame.limit(5), "in", place)
+    jobs.topic_job(spark, "in", "t", place, run_dir(spark, "state")).awaitTermination()
+    assert topics.read_topic(spark, "t", place, streaming=False).count() == 45
+    for _ in range(2):
+        topics.append(frame, "t", place, "stream-7")
+    assert topics.read_topic(spark, "t", place, streaming=False).count() == 65
 
 
 def test_topic_job_changes_messages_and_reports_delivery(spark):
@@ -80,7 +82,7 @@ def test_topic_job_changes_messages_and_reports_delivery(spark):
     jobs.topic_job(spark, "in", "out", place, run_dir(spark, "state"), upper, on_batch=keep).awaitTermination()
     out = topics.read_topic(spark, "out", place, streaming=False)
     assert sorted(bytes(r["value"]) for r in out.collect()) == [b'{"ID": 1}', b'{"ID": 2}']
-    assert sorted((r["topic"], r["offset"], r["error"]) for r in reports) == [("out", 0, None), ("out", 1, None)]
+    assert [(r["topic"], r["messages"]) for r in reports] == [("out", 2)]
 
 
 def test_generators(spark):
@@ -133,31 +135,68 @@ def test_batch_sessions_of_a_hot_key(spark, small):
         assert native.exceptAll(ours).isEmpty() and ours.exceptAll(native).isEmpty() and native.count() > 100
 
 
-def test_open_patterns_are_carried_and_forgotten(spark):
-    base = datetime.datetime(2024, 1, 1)
+BASE = datetime.datetime(2024, 1, 1)
+
+
+def event_rows(spark, *items):
+    return spark.createDataFrame([(i, k, BASE + datetime.timedelta(hours=h), kind, v) for i, k, h, kind, v in items],
+                                 "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")
 
-    def rows(*items):
-        return spark.createDataFrame([(i, 1, base + datetime.timedelta(hours=h), kind, 1.0) for i, h, kind in items],
-                                     "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")
 
-    place, out = backend(spark), run_dir(spark, "matched")
-    state, mark = run_dir(spark, "open"), run_dir(spark, "mark")
-    left = []
-    for n, step in enumerate([rows((1, 0, "view"), (2, 1, "view"), (3, 2, "click")),
-                              rows((4, 6.5, "purchase"), (5, 7, "view")), rows((6, 20, "click"))]):
-        topics.write_topic(streams.messages(step), "events", place, batch=n)
+def run_steps(spark, steps, make):
+    place, path, mark = backend(spark), run_dir(spark, "out"), run_dir(spark, "mark")
+    for step in steps:
+        topics.write_topic(streams.messages(step), "events", place)
         live = streams.decoded(topics.read_topic(spark, "events", place))
-        jobs.match_stream(live, out, state, mark, "user_id", "ts", "event_type", "view", "purchase", "6 HOURS",
-                          "event_id").awaitTermination()
-        left.append({r["event_id"] for r in spark.read.parquet(f"{state}/batch={n}").collect()})
-    # the view at 0 h is too far from the purchase at 6.5 h
-    assert {(r["event_id"], r["next_id"]) for r in spark.read.parquet(out).collect()} == {(2, 4)}
-    assert left == [{1, 2}, {5}, set()]
+        jobs.stream_to_table(make(live), path, mark).awaitTermination()
+    return spark.read.parquet(path).collect()
+
+
+def test_patterns_wait_for_rows_out_of_order(spark):
+    def make(live):
+        return jobs.match_stream(live, "user_id", "ts", "event_type", "view", "purchase", "6 hours", "event_id", "3 hours")
+
+    steps = [event_rows(spark, (1, 1, 0, "view", 1.0), (4, 1, 6.5, "purchase", 1.0), (7, None, 1, "view", 1.0)),
+             # comes later but lies between the two; then a row far behind the watermark
+             event_rows(spark, (2, 1, 4, "view", 1.0), (5, 1, 7, "view", 1.0), (8, None, 2, "purchase", 1.0)),
+             event_rows(spark, (6, 1, 20, "click", 1.0), (9, 1, 20, "view", 1.0)),
+             event_rows(spark, (10, 1, 7.5, "purchase", 1.0), (11, 1, 40, "view", 1.0))]
+    # the view at 0 h is too far from the purchase at 6.5 h; the purchase at 7.5 h is too late
+    assert {(r["event_id"], r["next_id"]) for r in run_steps(spark, steps, make)} == {(2, 4)}
+
+
+def test_anomalies_wait_for_rows_out_of_order(spark):
+    def make(live):
+        return jobs.anomaly_stream(live.select("event_id", "user_id", "ts", "value"), "user_id", "ts", "value", 3, 2.0,
+                                   "event_id", "3 hours")
+
+    values = [1.0, 2.0, None, 1.5, 50.0, 1.0, 2.0]
+    rows = [(i, 1, float(i), "x", v) for i, v in enumerate(values)]
+    steps = [event_rows(spark, *rows[1:3]), event_rows(spark, rows[0], rows[4], rows[3]), event_rows(spark, *rows[5:]),
+             event_rows(spark, (99, 2, 30.0, "x", 1.0))]
+    got = {r["event_id"]: (r["mean_before"], r["is_anomaly"]) for r in run_steps(spark, steps, make)}
+    assert got == {0: (None, False), 1: (1.0, False), 2: (1.5, False), 3: (1.5, False), 4: (1.75, True), 5: (25.75, False),
+                   6: (17.5, False)}
+
+
+def test_the_highest_sequence_wins_across_batches(spark):
+    target = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 0.0)], "k int, v double")
+    schema = "k int, v double, seq long, op string"
+    place, log, mark = backend(spark), run_dir(spark, "log"), run_dir(spark, "mark")
+    wanted = [{1: 50.0, 3: 0.0}, {1: 50.0, 3: 0.0}, {1: 50.0, 2: 9.0, 3: 0.0, 4: 1.0}]
+    for step, want in zip([[(1, 50.0, 5, "upsert"), (2, None, 6, "delete")], [(1, 30.0, 3, "upsert"), (2, 7.0, 4, "upsert")],
+                           [(2, 9.0, 8, "upsert"), (4, 1.0, 1, "upsert")]], wanted):
+        frame = spark.createDataFrame(step, schema)
+        topics.write_topic(topics.encode(frame, "k"), "changes", place)
+        live = topics.decode(topics.read_topic(spark, "changes", place), frame.schema).select(*frame.columns)
+        jobs.apply_changes_stream(live, log, mark, "k", "seq").awaitTermination()
+        table = jobs.with_changes(target, log, "k", "seq", "op")
+        assert {r["k"]: r["v"] for r in table.collect()} == want
 
 
 def test_late_rows_are_reported(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
-    seen, rest = streams.days(events, 3, 31), streams.days(events, 1, 2)
+    seen, rest = streams.days(events, 3), streams.days(events, 1, 2)
     newest = seen.agg(F.max("ts")).first()[0]
     assert windows.late_rows(rest, "ts", newest, "1 HOUR").count() == rest.count() > 0
 
@@ -174,12 +213,50 @@ def test_dedup_in_batch_and_stream(spark, small):
     assert streams.landed(windows.dedup(live, "event_id", "ts", "1 day"), "dedup").count() == events.count()
 
 
-def test_enrich_with_a_large_dimension_is_salted(spark, small):
+def test_dedup_looks_at_the_time_between_copies(spark):
+    rows = [("a", 0), ("a", 5), ("a", 30), ("b", 0), ("b", 23), ("b", 47), ("c", None), ("c", None), (None, 1), (None, 2)]
+    frame = spark.createDataFrame([(k, None if h is None else BASE + datetime.timedelta(hours=h), i) for i, (k, h) in enumerate(rows)],
+                                  "k string, ts timestamp_ntz, i int")
+    for limit in (None, 1):
+        kept = windows.dedup(frame, "k", "ts", "1 day", min_rows=limit).groupBy("k").count().collect()
+        # 30 h is 25 h after the copy before it; 23 h and 47 h are within a day of theirs
+        assert {r["k"]: r["count"] for r in kept} == {"a": 2, "b": 1, "c": 1, None: 1}
+
+
+def test_sessions_leave_out_rows_without_time(spark):
+    frame = spark.createDataFrame([(BASE, 1), (None, 1), (None, 1)], "ts timestamp_ntz, k int")
+    out = windows.window_agg(frame, "ts", ["k"], [F.count("*").alias("n")], gap="1 minute").collect()
+    assert [r["n"] for r in out] == [1]
+
+
+def test_the_newest_of_equal_times_is_the_largest(spark):
+    frame = spark.createDataFrame([("a", 3.0, BASE), ("a", 9.0, BASE), ("a", 5.0, BASE)], "k string, v double, ts timestamp_ntz")
+    assert windows.running_count(frame, "k", "v", "ts").first()["last_value"] == 9.0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_enrich_gives_one_answer_however_large_the_dimension(spark, small, how):
+    events = spark.read.parquet(f"{small}/events.parquet").select("event_id", "user_id")
+    customers = spark.read.parquet(f"{small}/customer.parquet").select("c_custkey", "c_mktsegment").filter("c_custkey % 2 = 0")
+    same = customers.withColumnRenamed("c_custkey", "user_id")
+    for side, key in ((customers, "c_custkey"), (same, "user_id")):
+        plain = windows.enrich(events, side, "user_id", key, how)
+        for hot in ((), (2, 4, 6)):
+            wide = windows.enrich(events, side, "user_id", key, how, small_bytes=0, hot=hot, salts=4)
+            assert wide.columns == plain.columns
+            assert wide.exceptAll(plain).isEmpty() and plain.exceptAll(wide).isEmpty() and not plain.isEmpty()
+
+
+def test_enrich_in_a_stream_and_what_it_refuses(spark, small):
     customers = spark.read.parquet(f"{small}/customer.parquet").select("c_custkey", "c_mktsegment")
     stream = streams.event_stream(spark, small)
-    wide = streams.landed(windows.enrich(stream, customers, "user_id", "c_custkey", small_rows=10, salts=4), "salted")
+    wide = streams.landed(windows.enrich(stream, customers, "user_id", "c_custkey", small_bytes=0, hot=[7]), "salted")
     narrow = streams.landed(windows.enrich(stream, customers, "user_id", "c_custkey"), "plain")
     assert wide.exceptAll(narrow).isEmpty() and wide.count() == narrow.count() == 1000
+    with pytest.raises(ValueError, match="right"):
+        windows.enrich(stream, customers, "user_id", "c_custkey", "right")
+    with pytest.raises(ValueError, match="value"):
+        windows.enrich(stream, customers.withColumn("value", F.lit(1)), "user_id", "c_custkey")
 
 
 @pytest.mark.parametrize("mode", ["file", "batch"])
@@ -195,15 +272,15 @@ def test_restart_adds_no_duplicates_and_goes_on(spark, small, mode):
     first = streams.days(events, 1, 10)
     topics.write_topic(streams.messages(first), "events", place)
     assert run() == run() == first.count()
-    topics.write_topic(streams.messages(streams.days(events, 11, 31)), "events", place, batch=1)
+    topics.write_topic(streams.messages(streams.days(events, 11)), "events", place)
     assert run() == events.count()
 
 
 def test_progress_is_reported_every_few_polls(spark, small):
     said, place = [], backend(spark)
     events = spark.read.parquet(f"{small}/events.parquet")
-    for batch, (a, b) in enumerate([(1, 10), (11, 20), (21, 31)]):
-        topics.write_topic(streams.messages(streams.days(events, a, b).coalesce(1)), "events", place, batch=batch)
+    for a, b in [(1, 10), (11, 20), (21, None)]:
+        topics.write_topic(streams.messages(streams.days(events, a, b).coalesce(1)), "events", place)
     progress = jobs.ConsumerProgress(every=2, report=said.append)
     spark.streams.addListener(progress)
     try:

@@ -98,7 +98,7 @@ def test_scores_are_computed_in_bounded_blocks(monkeypatch):
     rng = np.random.default_rng(1)
     questions, corpus = rng.normal(size=(7, 4)), rng.normal(size=(300, 4))
     ids = pd.Series(range(300))
-    part = [(ids, corpus, lambda at: pd.DataFrame({"id": np.asarray(at)}))]
+    part = [(ids, corpus, np.linalg.norm(corpus, axis=1), lambda at: pd.DataFrame({"id": np.asarray(at)}))]
     whole = kernels.top_rows(part, questions, list(range(7)), 4, "dot", ["id"], False)
     monkeypatch.setattr(kernels, "SCORE_CELLS", 100)
     cut = kernels.top_rows(part, questions, list(range(7)), 4, "dot", ["id"], False)
@@ -143,3 +143,45 @@ def test_only_probed_cells_are_read(spark, embeddings):
     found = vectors.ann_topk(query, path, "vec_id", "embedding", 3, probes=2)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan and plan.count("cell#") and found.first()["vec_id"] == 3
+
+
+def test_vectors_of_mixed_lengths(spark):
+    queries = spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, v array<double>")
+    longer = spark.createDataFrame([(1, [1.0, 2.0, 99.0]), (2, [3.0, 4.0])], "id int, v array<double>")
+    got = vectors.topk(queries, longer, "id", "v", 2, "dot").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(2, 7.0), (1, 3.0)]
+    shorter = longer.union(spark.createDataFrame([(3, [5.0])], longer.schema))
+    with pytest.raises(Exception, match="shorter"):
+        vectors.topk(queries, shorter, "id", "v", 2, "dot").collect()
+    ragged = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0])], "query_id int, v array<double>")
+    with pytest.raises(Exception, match="lengths"):
+        vectors.topk(ragged, longer, "id", "v", 2, "dot").collect()
+
+
+def test_distances_of_long_vectors_do_not_cancel(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=64) * 5000
+    rows = [(i, (base + (i * 1e-4) * (np.arange(64) == 0)).tolist()) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "id int, v array<double>").repartition(3)
+    queries = spark.createDataFrame([(1, base.tolist())], "query_id int, v array<double>")
+    got = vectors.topk(queries, corpus, "id", "v", 5, "l2").orderBy("rank").collect()
+    assert [r["id"] for r in got] == [0, 1, 2, 3, 4]
+    assert [r["score"] for r in got] == pytest.approx([i * 1e-4 for i in range(5)], abs=1.1e-6)
+
+
+def test_carried_columns_keep_nulls_and_types(spark):
+    corpus = spark.createDataFrame([(1, [1.0], 1 << 60), (2, [2.0], None)], "id int, v array<double>, extra long")
+    queries = spark.createDataFrame([(1, [1.0])], "query_id int, v array<double>")
+    got = vectors.topk(queries, corpus, "id", "v", 2, "dot", carry=["extra"]).orderBy("rank").collect()
+    assert [r["extra"] for r in got] == [None, 1 << 60]
+
+
+def test_approximate_search_fills_k_and_recalls(spark, small):
+    rows, path = spark.read.parquet(f"{small}/embeddings.parquet"), run_dir(spark, "index")
+    cells = vectors.build_index(rows, "vec_id", "embedding", path)
+    asked = rows.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = vectors.topk(asked, rows, "vec_id", "embedding", 10, "l2").select("query_id", "vec_id")
+    near = vectors.ann_topk(asked, path, "vec_id", "embedding", 10, probes=-(-3 * cells // 4))
+    assert near.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
+    few = vectors.ann_topk(asked, path, "vec_id", "embedding", 120, probes=1)
+    assert few.groupBy("query_id").count().filter("count <> 120").isEmpty()

@@ -89,35 +89,55 @@ def hashed_texts(texts, dim):
     return pa.ListArray.from_arrays(starts, pa.array(flat), mask=texts.is_null())
 
 
-def stack_vectors(column):
-    """A matrix from an Arrow list column of equal-length vectors."""
+def stack_vectors(column, dim=None):
+    """(matrix, length of each whole vector) from an Arrow list column.
+
+    The first ``dim`` positions count, as in ``vector.dot``; a shorter vector raises.
+    """
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    dim = int(size[0]) if dim is None and len(size) else dim or 0
+    if (size < dim).any():
+        raise ValueError("second vector is shorter than the first")
+    first = np.cumsum(size) - size
+    length = np.sqrt(np.add.reduceat(np.append(flat * flat, 0.0), first)) if len(size) else np.empty(0)
+    length[size == 0] = 0.0
+    return flat[first[:, None] + np.arange(dim)], length
 
 
-def score_matrix(questions, corpus, metric):
-    """Scores to 6 places, larger is nearer (distances are negated)."""
+def score_matrix(questions, corpus, metric, lengths):
+    """Scores, larger is nearer (distances are negated); distances are near the exact ones only."""
     if metric == "l2":
         squares = (questions ** 2).sum(1)[:, None] + (corpus ** 2).sum(1)[None, :] - 2.0 * questions @ corpus.T
-        return -np.round(np.sqrt(np.maximum(squares, 0.0)), 6)
+        return -np.sqrt(np.maximum(squares, 0.0))
+    scores = questions @ corpus.T
     if metric == "cosine":
-        def unit(m):
-            length = np.linalg.norm(m, axis=1, keepdims=True)
-            return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
-        questions, corpus = unit(questions), unit(corpus)
-    scores = np.round(questions @ corpus.T, 6)
+        whole = np.linalg.norm(questions, axis=1)[:, None] * lengths[None, :]
+        scores = np.divide(scores, whole, out=np.full_like(scores, np.nan), where=whole > 0)
+    scores = np.round(scores, 6)
     return np.where(np.isnan(scores), -np.inf, scores)
 
 
-def better_rows(scores, floor, k):
+def distance_error(questions, corpus):
+    """How far a distance by ``score_matrix`` can be from the exact one: squares cancel."""
+    most = (questions ** 2).sum(1).max(initial=0.0) + (corpus ** 2).sum(1).max(initial=0.0)
+    return 2.0 * np.sqrt(most * questions.shape[1] * 1e-15) + 1e-6
+
+
+def exact_distances(questions, corpus):
+    return -np.round(np.sqrt(((questions - corpus) ** 2).sum(axis=1)), 6)
+
+
+def better_rows(scores, floor, k, slack=0.0):
     """Positions that can still reach the top k of their question.
 
-    ``floor`` holds each question's k-th best score so far; ties are kept.
+    ``floor`` holds each question's k-th best score so far; ties are kept, and whatever
+    ``slack``, the error of a score, may hide.
     """
     if scores.shape[1] > k:
-        best = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        best = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - slack
         floor = np.maximum(floor, best)
-    at = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+    at = np.nonzero((scores + slack >= floor[:, None]) & (scores > -np.inf))
     return at[0], at[1]
 
 
@@ -132,9 +152,10 @@ SCORE_CELLS = 8_000_000
 
 
 def top_rows(batches, questions, names, k, metric, ids, exclude_self):
-    """Best k rows per question over an iterator of (first id column, matrix, take).
+    """Best k rows per question over an iterator of (first id column, matrix, lengths, take).
 
-    ``take`` gives the frame of the rows at the listed positions.
+    ``take`` gives the frame of the rows at the listed positions. Distances are taken
+    again by differences for the rows that may be among the nearest.
     """
     best, pending, waiting = None, [], 0
     floor = np.full(len(names), -np.inf)
@@ -148,19 +169,20 @@ def top_rows(batches, questions, names, k, metric, ids, exclude_self):
         floor[full.index.to_numpy()] = full["min"].to_numpy()
         return found
 
-    for keys, matrix, take in batches:
+    for keys, matrix, lengths, take in batches:
+        slack = distance_error(questions, matrix) if metric == "l2" else 0.0
         for low in range(0, len(matrix), step):
-            scores = score_matrix(questions, matrix[low:low + step], metric)
+            scores = score_matrix(questions, matrix[low:low + step], metric, lengths[low:low + step])
             if exclude_self:
                 own = places.get_indexer(keys[low:low + step])
                 rows = np.nonzero(own >= 0)[0]
                 scores[own[rows], rows] = -np.inf
-            q, r = better_rows(scores, floor, k)
+            q, r = better_rows(scores, floor, k, slack)
             if not len(r):
                 continue
             found = take(r + low)
             found.insert(0, "_q", q)
-            found["score"] = scores[q, r]
+            found["score"] = exact_distances(questions[q], matrix[r + low]) if metric == "l2" else scores[q, r]
             pending.append(found)
             waiting += len(found)
             if best is None or waiting > 2 * len(best):

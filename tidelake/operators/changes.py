@@ -14,25 +14,26 @@ from tidelake.session import materialize
 def insert_if_absent(target: DataFrame, source: DataFrame, key: str, order_col: str):
     """Rows to append, and a report of every source row as inserted or skipped.
 
-    Per key the first source row in ``order_col`` counts, and only when the target
-    lacks the key; existing rows never change. A NULL key raises.
+    Per key the first source row in ``order_col`` counts (NULL first, ties by the other
+    columns), and only when the target lacks the key; existing rows never change. A NULL
+    key raises. The source is written once, so that each of its rows has a fixed number.
     """
     names = [c for c in source.columns if c != order_col]
     checked = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"NULL in key column {key}")).cast(
         source.schema[key].dataType)).otherwise(F.col(key))
-    source = source.withColumn(key, checked)
+    source = materialize(source.withColumn(key, checked).withColumn("_row", F.monotonically_increasing_id()), "source")
     # min of a struct combines inside every task first, so a hot key is no hot task
     ordered = [order_col, *[c for c in names if not isinstance(source.schema[c].dataType, T.MapType)]]
     payload = [c for c in names if isinstance(source.schema[c].dataType, T.MapType)]
     if payload:
-        first = source.groupBy(key).agg(F.min_by(F.struct("*"), F.struct(*ordered)).alias("_f"))
+        first = source.groupBy(key).agg(F.min_by(F.struct("*"), F.struct(*ordered, "_row")).alias("_f"))
     else:
-        first = source.groupBy(key).agg(F.min(F.struct(*ordered)).alias("_f"))
+        first = source.groupBy(key).agg(F.min(F.struct(*ordered, "_row")).alias("_f"))
     present = target.select(key).distinct()
     fresh = first.join(present, key, "left_anti")
     new_rows = fresh.select(*[F.col(f"_f.{c}").alias(c) for c in names])
-    winners = fresh.select(key, F.col(f"_f.{order_col}").alias("_first"))
-    inserted = F.col("_first").isNotNull() & (F.col(order_col) == F.col("_first"))
+    winners = fresh.select(key, F.col("_f._row").alias("_first"))
+    inserted = F.coalesce(F.col("_row") == F.col("_first"), F.lit(False))
     report = source.join(winners, key, "left").select(
         key, order_col, F.when(inserted, F.lit("inserted")).otherwise(F.lit("skipped")).alias("status"))
     return new_rows, report

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,8 +18,10 @@ def point_in_time_join(labels: DataFrame, features: DataFrame, key: str, label_t
     """Every label with the latest feature row at or before its time, per key.
 
     Equal times go to the highest ``tie`` of the features. One union and one walk
-    per key; labels without an earlier feature get NULLs.
+    per key; labels without an earlier feature get NULLs, as do labels without key or
+    time. Features without key or time match nothing.
     """
+    features = features.filter(F.col(key).isNotNull() & F.col(feature_ts).isNotNull())
     packed = F.struct(*feature_cols)
     left = labels.select(
         F.col(key).alias("_key"), F.col(label_ts).alias("_ts"), F.lit(1).alias("_side"),
@@ -41,13 +43,16 @@ def rolling_features(df: DataFrame, key: str, ts_col: str, value: str, horizons:
     """Count and sum over the trailing horizon up to each row, and seconds since the last row.
 
     ``horizons`` maps a name to seconds; a row exactly one horizon old still
-    counts. Every row is added to a running total at its time and taken out again
+    counts, and so do rows of the same time, before or after in the order. Every row is added to a running total at its time and taken out again
     after the horizon, so the work is linear however many rows a horizon holds.
     Values are counted in units of ``10 ** -scale`` as whole numbers, so totals are
-    exact; one that does not fit a long raises.
+    exact; one with more places, or one that does not fit a long, raises. Rows without a time
+    come first and see each other only.
     """
     unit = 10 ** scale
     if isinstance(df.schema[value].dataType, T.DecimalType):
+        if df.schema[value].dataType.scale > scale:
+            raise ValueError(f"{value} has more than {scale} decimal places")
         amount = (F.col(value).cast(f"decimal(38,{scale})") * unit).cast("long")
     else:
         amount = whole_units(value, scale)
@@ -73,6 +78,9 @@ def rolling_features(df: DataFrame, key: str, ts_col: str, value: str, horizons:
     walked = skew.scan(rows, [key], ["_at", "_kind", "_tie"], sums=sums,
                        prev={"_last": F.when(F.col("_kind") == 0, F.col("_at"))}, min_rows=min_rows)
     kept = walked.filter(F.col("_kind") == 0)
+    # the totals of the last row of a time hold for all rows of that time
+    peers = Window.partitionBy(key, "_at")
+    kept = kept.withColumns({name: F.max_by(name, "_tie").over(peers) for name in sums})
     return kept.select(
         *df.columns,
         *[c for name in horizons for c in (F.col(f"count_{name}"), (F.col(f"sum_{name}") / unit).alias(
@@ -87,16 +95,20 @@ def latest_per_key(df: DataFrame, key: str, ts_col: str, tie: str) -> DataFrame:
 
 def followed(df: DataFrame, key: str, ts_col: str, type_col: str, a: str, b: str, tie: str,
              min_rows=None) -> DataFrame:
-    """Each ``a`` with the first strictly later ``b`` of its key as ``next_ts`` and ``next_id``, or NULL."""
-    rows = df.filter(F.col(type_col).isin(a, b))
+    """Each ``a`` with the first strictly later ``b`` of its key as ``next_ts`` and ``next_id``, or NULL.
+
+    Rows without key or time are followed by nothing and follow nothing.
+    """
+    rows = df.filter((F.col(type_col) == a) | ((F.col(type_col) == b) & F.col(key).isNotNull() & F.col(ts_col).isNotNull()))
     # at equal times b comes first, so that the walk from an a meets only later ones
     rows = rows.withColumn("_side", (F.col(type_col) == a).cast("int"))
     found = skew.scan(
         rows, [key], [ts_col, "_side", tie],
         following={"_b": F.when(F.col(type_col) == b, F.struct(F.col(ts_col).alias("ts"), F.col(tie).alias("id")))},
         min_rows=min_rows)
+    timed = F.col(ts_col).isNotNull()
     return found.filter(F.col(type_col) == a).select(
-        *df.columns, F.col("_b.ts").alias("next_ts"), F.col("_b.id").alias("next_id"))
+        *df.columns, F.when(timed, F.col("_b.ts")).alias("next_ts"), F.when(timed, F.col("_b.id")).alias("next_id"))
 
 
 def match_sequence(df: DataFrame, key: str, ts_col: str, type_col: str, a: str, b: str, within: str, tie: str,

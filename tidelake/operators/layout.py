@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake.operators.skew import as_number
 
@@ -24,14 +25,22 @@ def interleave(ranks, bits: int) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
+def leading_bytes(name: str) -> Column:
+    """The first six UTF-8 bytes of a text as a number that sorts the same way; NULL stays NULL."""
+    padded = F.rpad(F.hex(F.col(name).cast("binary")), 12, "0")
+    return F.conv(F.substring(padded, 1, 12), 16, 10).cast("double")
+
+
 def zorder(df: DataFrame, cols, bits: int = 8, partitions: int | None = None) -> DataFrame:
     """The same rows, clustered on several columns by interleaved range ranks.
 
     Ranges hold about equally many rows. Rows that share all ranks are ordered by the
-    columns themselves, so a frequent combination is cut further.
+    columns themselves, so a frequent combination is cut further. Texts are ranked by
+    their first six bytes.
     """
     cols = list(cols)
-    numbers = {f"_n_{c}": as_number(df, c) for c in cols}
+    numbers = {f"_n_{c}": leading_bytes(c) if isinstance(df.schema[c].dataType, T.StringType) else as_number(df, c)
+               for c in cols}
     ranked = df.select("*", *[e.alias(n) for n, e in numbers.items()])
     cuts = [i / 2 ** bits for i in range(1, 2 ** bits)]
     bounds = ranked.approxQuantile(list(numbers), cuts, 0.25 / 2 ** bits)

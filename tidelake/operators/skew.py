@@ -1,13 +1,15 @@
 """Ordered per-key computations that survive a hot key.
 
-A plain window sends every row of a key to one task. Here the keys whose group
-is too big are found first; their timeline is cut into slices at quantiles of
-the order column, each slice is computed on its own, and a small per-slice
-summary carries the state from one slice to the next. Keys of ordinary size
-keep the plain window, and when no key is hot the plan *is* the plain window.
+A plain window sends every row of a key to one task. Here all groups are counted
+first. The rows of groups that are too big for one task are sorted by key and order
+column into ranges of about equal size (Spark's range shuffle); each range is computed
+on its own, and a small summary per key and range carries the state from one range to the
+next. Keys of ordinary size keep the plain window, and when no key is hot the plan
+*is* the plain window.
 
 ``order`` is a list of column names that orders the rows of a key totally. The
-first one must be numeric, a date or a timestamp: slices are ranges of it.
+first one must be numeric, a date or a timestamp: slices are ranges of it. Rows of one
+key with the same value of it stay together.
 """
 
 from __future__ import annotations
@@ -15,21 +17,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.session import estimated_bytes
+from tidelake.session import materialize
 
-# A group up to MIN_ROWS is left to one task. At most MAX_HOT groups are listed,
-# so an unlisted group holds at most 1/MAX_HOT of all rows, and a slice at most
-# about 1/MAX_SLICES of the hot rows.
+# A group up to MIN_ROWS is left to one task; slices hold about as many.
 MIN_ROWS = 2_000_000
-MAX_HOT = 1000
-MAX_SLICES = 4096
-# An input the planner estimates below this size has no group worth looking for.
-SMALL_BYTES = 16 << 20
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -60,54 +55,42 @@ class Sliced:
         return df.drop("_k", "_slice", "_hot")
 
 
-def hot_groups(df: DataFrame, keys, min_rows=None) -> list:
-    """The biggest groups above ``min_rows``, at most MAX_HOT of them (one count pass)."""
+def hot_groups(df: DataFrame, keys, min_rows=None) -> DataFrame:
+    """All groups above ``min_rows`` and their sizes ``_n`` (counts combine before the shuffle)."""
     limit = MIN_ROWS if min_rows is None else min_rows
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return counts.filter(F.col("_n") > limit).orderBy(F.desc("_n")).limit(MAX_HOT).collect()
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
 
 
 def slice_groups(df: DataFrame, keys, by: str, descending=False, min_rows=None) -> Sliced:
     """Cut the hot groups of ``df`` into ranges of ``by``, numbered in scan order."""
     keys = list(keys)
-    if min_rows is None and estimated_bytes(df) < SMALL_BYTES:
-        return Sliced(df, False, keys)
     limit = MIN_ROWS if min_rows is None else min_rows
     if keys:
-        found = hot_groups(df, keys, limit)
-        total = sum(row["_n"] for row in found)
-        hot = bool(found)
+        found = materialize(hot_groups(df, keys, limit), "hot")
+        total = found.agg(F.sum("_n")).first()[0] or 0
     else:
         total = df.count()
-        hot = total > limit
-    if not hot:
+    if total <= limit:
         return Sliced(df, False, keys)
     position = as_number(df, by)
+    # NaN sorts after all numbers, backwards before them
+    position = F.when(F.isnan(position), F.lit(float("inf"))).otherwise(position)
     if descending:
         position = -position
     # NULL sorts first ascending and last descending, as in a Spark window
     position = F.coalesce(position, F.lit(float("inf" if descending else "-inf")))
-    marked = df.withColumn("_k", F.struct(*keys) if keys else F.lit(0)).withColumn("_pos", position)
+    marked = df.withColumn("_k", F.struct(*keys) if keys else F.lit(0))
     if keys:
-        # at most MAX_HOT rows, hence a broadcast
-        schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_hot", T.BooleanType())])
-        listed = df.sparkSession.createDataFrame([tuple(row[k] for k in keys) + (True,) for row in found], schema)
-        listed = listed.select(F.struct(*keys).alias("_k"), "_hot")
-        marked = marked.join(F.broadcast(listed), "_k", "left")
-    else:
-        marked = marked.withColumn("_hot", F.lit(True))
-    count = min(MAX_SLICES, max(2, math.ceil(total / limit)))
-    cuts = [i / count for i in range(1, count)]
-    hot_rows = marked.filter(F.col("_hot") & ~F.col("_pos").isin(float("inf"), float("-inf")))
-    bounds = sorted(set(hot_rows.approxQuantile("_pos", cuts, 0.25 / count)))
-    splits = [-math.inf] + [b for b in bounds if math.isfinite(b)] + [math.inf]
-    if len(splits) < 3:
-        sliced = marked.withColumn("_slice", F.lit(0))
+        listed = found.select(F.struct(*keys).alias("_k"))
+        hot, cold = marked.join(listed, "_k", "left_semi"), marked.join(listed, "_k", "left_anti")
     else:
-        bucket = Bucketizer(splits=splits, inputCol="_pos", outputCol="_b", handleInvalid="keep")
-        sliced = bucket.transform(marked).withColumn(
-            "_slice", F.when(F.col("_hot"), F.col("_b").cast("int")).otherwise(F.lit(0))).drop("_b")
-    return Sliced(sliced.drop("_pos"), True, keys)
+        hot, cold = marked, marked.limit(0)
+    ranged = hot.withColumn("_pos", position).repartitionByRange(math.ceil(total / limit), "_k", "_pos")
+    # written, so that a range keeps its number whoever reads it
+    sliced = materialize(ranged.drop("_pos").withColumn("_slice", F.spark_partition_id()), "slices")
+    rows = cold.withColumn("_slice", F.lit(0)).withColumn("_hot", F.lit(False)).unionByName(
+        sliced.withColumn("_hot", F.lit(True)))
+    return Sliced(rows.select(*df.columns, "_k", "_hot", "_slice"), True, keys)
 
 
 def _ordering(order, backwards=False, descending=()):

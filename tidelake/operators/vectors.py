@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +26,8 @@ METRICS = {"dot": vector.dot, "cosine": vector.cosine, "l2": vector.l2}
 MERGE_BYTES = 64 << 30
 MERGE_SALTS = 1024
 
-# questions up to this many bytes are sent to every task; beyond it both sides
-# are cut into blocks of at most this size
+# questions of at most about this many bytes, ids included, are sent to every task; more of
+# them are answered slice by slice
 BLOCK_BYTES = 32 << 20
 
 
@@ -55,10 +57,20 @@ def centroids(df: DataFrame, group: str, vec_col: str) -> DataFrame:
     return means.groupBy(group).agg(F.transform(parts, lambda p: p["x"]).alias("centroid"))
 
 
-def _size(df: DataFrame, vec_col: str):
-    """Row count and bytes of the vectors of a frame."""
-    row = df.agg(F.count("*").alias("n"), F.sum(F.size(vec_col).cast("long") * 8).alias("b")).first()
-    return row["n"], row["b"] or 0
+def dot_with_first(df: DataFrame, group: str, id_col: str, vec_col: str, a: str = "id_a", b: str = "id_b") -> DataFrame:
+    """Dot product of every row with the row of the smallest id of its group, in one pass over the rows.
+
+    The first rows are one per group; Spark broadcasts them when they are small.
+    """
+    first = df.groupBy(group).agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))).alias("_f"))
+    joined = df.join(materialize(first, "first"), group).filter(F.col(id_col) > F.col("_f.id"))
+    return joined.select(F.col("_f.id").alias(a), F.col(id_col).alias(b), vector.dot(F.col("_f.v"), F.col(vec_col)).alias("dot_product"))
+
+
+def _size(df: DataFrame, vec_col: str, *others: str):
+    """Bytes of the vectors and the other columns of a frame."""
+    size = F.size(vec_col).cast("long") * 8 + F.octet_length(F.concat_ws(",", *[F.col(c).cast("string") for c in others]))
+    return df.agg(F.sum(size)).first()[0] or 0
 
 
 def topk(queries: DataFrame, corpus: DataFrame, id_col, vec_col: str, k: int, metric: str = "cosine",
@@ -69,8 +81,10 @@ def topk(queries: DataFrame, corpus: DataFrame, id_col, vec_col: str, k: int, me
     Scores are rounded to 6 places and ties go to the smaller id. The result has
     ``query_id``, ``rank``, the id column(s), the corpus columns listed in
     ``carry`` and ``score`` (for l2 a distance).
-    Every task returns at most ``k`` rows per query, so the corpus is not shuffled
-    unless the queries exceed ``block_bytes``. Computes the query side eagerly, once.
+    Every task returns at most ``k`` rows per query, so the corpus is never shuffled.
+    Queries beyond ``block_bytes`` are cut into slices, each a pass over the corpus. A corpus
+    vector counts up to the length of the queries; a shorter one raises, as do queries of
+    different lengths. Computes the query side eagerly, once.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -84,11 +98,12 @@ def topk(queries: DataFrame, corpus: DataFrame, id_col, vec_col: str, k: int, me
     query_type = asked.schema[query_id].dataType
     schema = T.StructType([T.StructField(query_id, query_type), *[rows.schema[c] for c in kept],
                            T.StructField("score", T.DoubleType())])
-    count, size = _size(asked, "_v")
-    if size <= block_bytes:
-        part = _broadcast_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_self)
-    else:
-        part = _grid_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_self, size, block_bytes)
+    slices = max(1, math.ceil(_size(asked, "_v", query_id) / block_bytes))
+    # hashed slices are not equally large
+    slices = slices if slices == 1 else 2 * slices
+    part = reduce(DataFrame.unionByName, [
+        _broadcast_top(asked.filter(F.pmod(F.xxhash64(query_id), F.lit(slices)) == i) if slices > 1 else asked,
+                       rows, schema, query_id, ids, kept, k, metric, exclude_self) for i in range(slices)])
     nearest = [F.desc("score"), *ids]
     if estimated_bytes(rows) > MERGE_BYTES:
         # very many tasks return k rows each: groups of tasks are merged first
@@ -105,7 +120,9 @@ def _broadcast_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_
     """Queries of checked size travel to every task."""
     listed = asked.orderBy(query_id).toArrow()
     names = listed.column(query_id).to_pylist()
-    matrix = kernels.stack_vectors(listed.column("_v").combine_chunks()) if names else np.empty((0, 0))
+    if len(pc.unique(pc.list_value_length(listed.column("_v")))) > 1:
+        raise ValueError("queries have different lengths")
+    matrix, _ = kernels.stack_vectors(listed.column("_v").combine_chunks()) if names else (np.empty((0, 0)), None)
     target = to_arrow_schema(schema)
 
     def best_of_partition(batches):
@@ -113,9 +130,11 @@ def _broadcast_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_
             for batch in batches:
                 if batch.num_rows:
                     def take(at, batch=batch):
-                        return pd.DataFrame({c: batch.column(c).take(pa.array(at)).to_pylist() for c in kept})
+                        # as objects: a NULL must not turn whole numbers into floats
+                        return pd.DataFrame({c: pd.Series(batch.column(c).take(pa.array(at)).to_pylist(), dtype=object)
+                                             for c in kept})
 
-                    yield batch.column(ids[0]).to_pandas(), kernels.stack_vectors(batch.column("_v")), take
+                    yield batch.column(ids[0]).to_pandas(), *kernels.stack_vectors(batch.column("_v"), matrix.shape[1]), take
 
         best = kernels.top_rows(parts(), matrix, names, k, metric, ids, exclude_self) if names else None
         if best is not None and len(best):
@@ -127,40 +146,6 @@ def _broadcast_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_
     return rows.mapInArrow(best_of_partition, schema)
 
 
-def _grid_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_self, size, block_bytes):
-    """Both sides cut by id hash into blocks of bounded size that meet pairwise.
-
-    A pair of blocks yields at most k rows per query, not its score matrix.
-    """
-    n_rows, row_bytes = _size(rows, "_v")
-    q_blocks = max(1, math.ceil(size / block_bytes) * 2)
-    c_blocks = max(1, math.ceil(row_bytes / block_bytes) * 2)
-    q_block = F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).cast("int")
-    c_block = F.pmod(F.xxhash64(*ids), F.lit(c_blocks)).cast("int")
-    left = asked.withColumn("_qb", q_block).withColumn(
-        "_cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    right = rows.withColumn("_cb", c_block).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    out_names = schema.fieldNames()
-
-    def best_of_blocks(questions, found):
-        empty = pd.DataFrame({n: [] for n in out_names})
-        if not len(questions) or not len(found):
-            return empty
-        names = questions[query_id].tolist()
-        matrix = np.stack(questions["_v"].to_numpy())
-        part = (found[ids[0]], np.stack(found["_v"].to_numpy()).astype(np.float64),
-                lambda at: found[kept].iloc[at].reset_index(drop=True))
-        best = kernels.top_rows([part], matrix, names, k, metric, ids, exclude_self)
-        if best is None:
-            return empty
-        best.insert(0, query_id, [names[q] for q in best["_q"]])
-        return best[out_names]
-
-    return (left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb"))
-            .applyInPandas(best_of_blocks, schema))
-
-
 def topk_within(queries: DataFrame, corpus: DataFrame, on: str, id_col: str, vec_col: str, k: int,
                 query_vec: str, metric: str = "cosine") -> DataFrame:
     """Top k among the corpus rows that share ``on`` with the query.
@@ -178,42 +163,52 @@ def topk_within(queries: DataFrame, corpus: DataFrame, on: str, id_col: str, vec
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def build_index(corpus: DataFrame, id_col: str, vec_col: str, path: str, cells: int | None = None,
-                train_rows: int = 20_000, seed: int = 7) -> int:
+# folders that a filter on an index names one by one
+MOST_FOLDERS = 10_000
+
+
+def build_index(corpus: DataFrame, id_col: str, vec_col: str, path: str, cells: int | None = None, seed: int = 7) -> int:
     """Write the corpus as ``path/rows``, partitioned by the nearest of ``cells`` centres; gives their number.
 
-    The centres (``path/centres``) are learnt by k-means from about ``train_rows``
-    rows, at least 40 per cell; every row of the corpus is stored. Hot cells are split
-    over several files.
+    The centres (``path/centres``, with the rows in their cell) are learnt by k-means from all
+    rows. Hot cells are split over several files.
     """
     spark, n = corpus.sparkSession, corpus.count()
-    cells = cells or max(4, min(4096, int(math.sqrt(n) / 2)))
+    cells = cells or max(4, int(math.sqrt(n) / 2))
     vectors = corpus.withColumn("_features", array_to_vector(F.col(vec_col).cast("array<double>")))
-    sample = vectors.select("_features").sample(min(1.0, max(train_rows, 40 * cells) / max(1, n)), seed=seed)
-    model = KMeans(k=cells, seed=seed, maxIter=5, initMode="random", featuresCol="_features", predictionCol="cell").fit(sample)
+    model = KMeans(k=cells, seed=seed, maxIter=10, initMode="k-means||", featuresCol="_features", predictionCol="cell").fit(
+        vectors.select("_features"))
     write_table(model.transform(vectors).drop("_features"), f"{path}/rows", partition_by=["cell"], mode="overwrite")
-    centres = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
-    spark.createDataFrame(centres, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
-    return len(centres)
+    sizes = spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.count("*").alias("n"))
+    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
+    centres.join(sizes, "cell").write.mode("overwrite").parquet(f"{path}/centres")
+    return cells
 
 
 def ann_topk(queries: DataFrame, index: str, id_col: str, vec_col: str, k: int, probes: int = 8, metric: str = "l2",
              query_id: str = "query_id") -> DataFrame:
     """Approximate top k: exact within the ``probes`` cells nearest to each query.
 
-    Only the folders of those cells are read, and a row is scored only against
-    the queries that probe its cell. With as many probes as cells it is exact.
+    Further cells are probed until they hold ``k`` rows, so a query gets fewer only if
+    the corpus has fewer. Only the folders of probed cells are read, and a row is scored
+    only against the queries that probe its cell. With as many probes as cells it is exact.
     """
     spark = queries.sparkSession
     asked = materialize(queries.select(query_id, F.col(vec_col).cast("array<double>").alias("_q")), "queries")
-    centres = spark.read.parquet(f"{index}/centres")
-    near = topk(asked, centres, "cell", "centre", probes, "l2", query_id=query_id, query_vec="_q")
+    centres = materialize(spark.read.parquet(f"{index}/centres"), "centres")
+    # the k nearest cells hold k rows at least: none is empty
+    near = topk(asked, centres, "cell", "centre", max(probes, k), "l2", query_id=query_id, query_vec="_q", carry=["n"])
+    before = Window.partitionBy(query_id).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_held", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    near = near.filter((F.col("rank") <= probes) | (F.col("_held") < k))
     visits = materialize(asked.join(near.select(query_id, "cell"), query_id), "visits")
-    # at most as many values as there are cells
-    wanted = [row["cell"] for row in visits.select("cell").distinct().collect()]
-    rows = spark.read.parquet(f"{index}/rows").filter(F.col("cell").isin(wanted))
+    rows = spark.read.parquet(f"{index}/rows").select("cell", id_col, vec_col)
+    wanted = [row["cell"] for row in visits.select("cell").distinct().limit(MOST_FOLDERS + 1).collect()]
+    if len(wanted) <= MOST_FOLDERS:
+        # only these folders are listed; beyond that the join alone picks the rows, with the same result
+        rows = rows.filter(F.col("cell").isin(wanted))
     score = F.round(METRICS[metric]("_q", vec_col), 6)
-    scored = rows.select("cell", id_col, vec_col).join(visits, "cell").select(query_id, id_col, score.alias("score"))
+    scored = rows.join(visits, "cell").select(query_id, id_col, score.alias("score"))
     nearest = F.asc("score") if metric == "l2" else F.desc("score")
     order = Window.partitionBy(query_id).orderBy(nearest, id_col)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

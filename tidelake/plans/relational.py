@@ -109,7 +109,7 @@ def query_tool(spark, sf):
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-                 CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS avg_price, min(l_shipdate) AS first_ship,
+                 CAST(sum(CAST(l_extendedprice AS DECIMAL(28, 10))) AS DOUBLE) / count(*) AS avg_price, min(l_shipdate) AS first_ship,
                  max(l_discount) AS max_discount, count(*) AS n, count(DISTINCT l_suppkey) AS n_suppliers
           FROM lineitem GROUP BY ALL HAVING count(*) > 100""")
 def group_aggregates(spark, sf):
@@ -121,7 +121,7 @@ def group_aggregates(spark, sf):
 
 @query(" UNION ALL ".join(
     f"""SELECT '{form}' AS form, p_brand, p_type, CAST(GROUPING(p_brand, p_type) AS BIGINT) AS level,
-               count(*) AS n, CAST(sum(CAST(p_retailprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS avg_price FROM part GROUP BY {text}"""
+               count(*) AS n, CAST(sum(CAST(p_retailprice AS DECIMAL(28, 10))) AS DOUBLE) / count(*) AS avg_price FROM part GROUP BY {text}"""
     for form, text in (("rollup", "ROLLUP (p_brand, p_type)"), ("cube", "CUBE (p_brand, p_type)"),
                        ("sets", "GROUPING SETS ((p_brand), (p_type))"))))
 def grouping_sets(spark, sf):

@@ -19,23 +19,18 @@ PAYLOAD = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType())])
 FIELDS = PAYLOAD.fieldNames()
+NUMBERED = "(date_diff('day', (SELECT min(ts) FROM events), ts) + 1)"
 SAME = "SELECT event_id, ts, user_id, event_type, value FROM events"
 
-_replayed: dict = {}
-
-
 def messages(events: DataFrame) -> DataFrame:
     return topics.encode(events, "user_id", FIELDS, "ts")
 
 
 def events_topic(spark, sf) -> topics.FolderTopics:
-    """The events as topic ``events``, written once per session and folder."""
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _replayed:
-        backend = topics.FolderTopics(run_dir(spark, "topics"))
-        topics.write_topic(messages(table(spark, sf, "events")), "events", backend)
-        _replayed[at] = backend
-    return _replayed[at]
+    """The events as topic ``events``."""
+    backend = topics.FolderTopics(run_dir(spark, "topics"))
+    topics.write_topic(messages(table(spark, sf, "events")), "events", backend)
+    return backend
 
 
 def decoded(df: DataFrame, zone_less: bool = False) -> DataFrame:
@@ -73,14 +68,25 @@ def staged(spark, steps, run) -> None:
     One checkpoint across the steps makes every step a batch of its own.
     """
     backend = topics.FolderTopics(run_dir(spark, "staged"))
-    for number, step in enumerate(steps):
-        topics.write_topic(messages(step), "events", backend, batch=number)
+    for step in steps:
+        topics.write_topic(messages(step), "events", backend)
         run(backend).awaitTermination()
 
 
-def days(events: DataFrame, first: int, last: int) -> DataFrame:
-    day = F.dayofmonth("ts")
-    return events.filter((day >= first) & (day <= last))
+def days(events: DataFrame, first: int, last: int | None = None) -> DataFrame:
+    """Events of the days ``first`` to ``last``, counted from 1 at the day of the first event."""
+    start = events.agg(F.to_date(F.min("ts"))).first()[0]
+    day = F.date_diff(F.to_date("ts"), F.lit(start)) + 1
+    return events.filter((day >= first) & (day <= last) if last else day >= first)
+
+
+def mixed_up(events: DataFrame, hours: int = 12) -> list:
+    """Four steps in time, where every second event comes up to ``hours`` too early."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    edge = events.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    share = (at - hours * 3_600_000_000 * (F.col("event_id") % 2) - edge["low"]) / (edge["high"] - edge["low"] + 1)
+    step = F.greatest(F.floor(4 * share), F.lit(0))
+    return [events.filter(step == k) for k in range(4)]
 
 
 # -- topics -----------------------------------------------------------------
@@ -105,17 +111,16 @@ def topic_read(spark, sf):
     return rows.select("event_id", "user_id", "key", "topic", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"))
 
 
-@query("SELECT count(*) AS n, count(*) AS n_offsets, count(DISTINCT user_id) AS n_keys, 1 AS homes FROM events")
+@query("""SELECT event_type, 2 * count(*) AS n, count(DISTINCT user_id) AS n_keys FROM events GROUP BY event_type""")
 def topic_write(spark, sf):
-    # offsets are dense per partition and a key always has the same partition
-    backend = topics.FolderTopics(run_dir(spark, "topics"))
-    topics.write_topic(messages(table(spark, sf, "events")), "events", backend)
-    rows = topics.read_topic(spark, "events", backend, streaming=False)
-    tops = rows.groupBy("partition").agg(F.max("offset").alias("top"), F.count("*").alias("n"))
-    homes = rows.groupBy("key").agg(F.count_distinct("partition").alias("homes"))
-    totals = tops.agg(F.sum("n").alias("n"), F.sum(F.col("top") + 1).alias("n_offsets"), F.lit(1).alias("_j"))
-    keys = homes.agg(F.count("*").alias("n_keys"), F.max("homes").cast("int").alias("homes"), F.lit(1).alias("_j"))
-    return totals.join(keys, "_j").drop("_j")
+    # two writers and then a stream append to one topic; nobody replaces anything
+    backend, events = events_topic(spark, sf), table(spark, sf, "events")
+    half = F.col("event_type") == "click"
+    for part in (events.filter(half), events.filter(~half)):
+        topics.write_topic(messages(part), "all", backend)
+    jobs.topic_job(spark, "events", "all", backend, run_dir(spark, "job")).awaitTermination()
+    rows = topics.decode(topics.read_topic(spark, "all", backend, streaming=False), PAYLOAD)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("key").alias("n_keys"))
 
 
 @query(SAME)
@@ -133,23 +138,21 @@ def first_messages(spark, sf):
 @query(SAME)
 def topic_passthrough(spark, sf):
     backend = events_topic(spark, sf)
-    out = run_dir(spark, "passed").rsplit("/", 1)[1]
-    jobs.topic_job(spark, "events", out, backend, run_dir(spark, "job")).awaitTermination()
-    return decoded(topics.read_topic(spark, out, backend, streaming=False), zone_less=True)
+    jobs.topic_job(spark, "events", "passed", backend, run_dir(spark, "job")).awaitTermination()
+    return decoded(topics.read_topic(spark, "passed", backend, streaming=False), zone_less=True)
 
 
-@query("SELECT count(*) AS n_reported, count(*) AS n_offsets, 0::BIGINT AS n_errors FROM events")
+@query("SELECT 'sent' AS topic, count(*) AS messages, min(ts) AS first_sent, max(ts) AS last_sent FROM events")
 def delivery_report(spark, sf):
-    backend, out, reports = events_topic(spark, sf), run_dir(spark, "sent").rsplit("/", 1)[1], run_dir(spark, "reports")
+    backend, reports = events_topic(spark, sf), run_dir(spark, "reports")
 
     def report(written, number):
         topics.delivery_report(written).write.mode("overwrite").parquet(f"{reports}/batch={number}")
 
-    jobs.topic_job(spark, "events", out, backend, run_dir(spark, "job"), on_batch=report).awaitTermination()
-    tops = spark.read.parquet(reports).groupBy("partition").agg(
-        F.count("*").alias("n"), F.max("offset").alias("top"), F.count("error").alias("errors"))
-    return tops.agg(F.sum("n").alias("n_reported"), F.sum(F.col("top") + 1).alias("n_offsets"),
-                    F.sum("errors").alias("n_errors"))
+    jobs.topic_job(spark, "events", "sent", backend, run_dir(spark, "job"), on_batch=report).awaitTermination()
+    return spark.read.parquet(reports).groupBy("topic").agg(
+        F.sum("messages").alias("messages"), F.min("first_sent").cast("timestamp_ntz").alias("first_sent"),
+        F.max("last_sent").cast("timestamp_ntz").alias("last_sent"))
 
 
 @query("""SELECT event_type, CASE WHEN event_type = 'error' THEN 0 ELSE count(*) END AS n_good,
@@ -194,8 +197,8 @@ def stream_to_table(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("""SELECT 1 AS step, count(*) AS n FROM events WHERE day(ts) <= 10
-          UNION ALL SELECT 2, count(*) FROM events WHERE day(ts) <= 20
+@query(f"""SELECT 1 AS step, count(*) AS n FROM events WHERE {NUMBERED} <= 10
+          UNION ALL SELECT 2, count(*) FROM events WHERE {NUMBERED} <= 20
           UNION ALL SELECT 3, count(*) FROM events""")
 def fresh_table_query(spark, sf):
     # batch SQL after every committed batch sees what has arrived so far
@@ -208,7 +211,7 @@ def fresh_table_query(spark, sf):
         seen.append(spark.read.parquet(path).count())
         return started
 
-    staged(spark, [days(events, 1, 10), days(events, 11, 20), days(events, 21, 31)], run)
+    staged(spark, [days(events, 1, 10), days(events, 11, 20), days(events, 21)], run)
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(seen)], "step int, n bigint")
 
 
@@ -226,9 +229,10 @@ def exactly_once_sink(spark, sf):
     # both sinks are started twice on the same checkpoints
     path, state = run_dir(spark, "file"), run_dir(spark, "file-state")
     other, other_state = run_dir(spark, "batch"), run_dir(spark, "batch-state")
+    live = event_stream(spark, sf)
     for _ in range(2):
-        jobs.start_exactly_once(event_stream(spark, sf), path, state).awaitTermination()
-        jobs.start_exactly_once(event_stream(spark, sf), other, other_state, "batch").awaitTermination()
+        jobs.start_exactly_once(live, path, state).awaitTermination()
+        jobs.start_exactly_once(live, other, other_state, "batch").awaitTermination()
     one, two = spark.read.parquet(path), spark.read.parquet(other).select(*FIELDS)
     same = one.join(two.select("event_id").withColumnRenamed("event_id", "_id"), F.col("event_id") == F.col("_id"))
     return same.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c == "ts" else c for c in FIELDS])
@@ -241,7 +245,7 @@ def resume_from_checkpoint(spark, sf):
     def run(backend):
         return jobs.stream_to_table(decoded(topics.read_topic(spark, "events", backend)), path, state)
 
-    staged(spark, [days(events, 1, 15), days(events, 16, 31)], run)
+    staged(spark, [days(events, 1, 15), days(events, 16)], run)
     return spark.read.parquet(path).select(
         *[F.col(c).cast("timestamp_ntz").alias(c) if c == "ts" else c for c in FIELDS])
 
@@ -253,7 +257,7 @@ def _measures():
     return [F.count("*").alias("n"), total.alias("total"), (total / F.count("*")).alias("mean")]
 
 
-TOTAL = "CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE)"
+TOTAL = "CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE)"
 MEASURES = f"count(*) AS n, {TOTAL} AS total, {TOTAL} / count(*) AS mean"
 DAY = "(SELECT *, CAST(date_trunc('day', ts) AS TIMESTAMP) AS d FROM events)"
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -295,7 +299,7 @@ def session_agg(spark, sf):
 
 
 @query(f"""SELECT d AS window_start, d + INTERVAL 1 DAY AS window_end, event_type, {MEASURES}
-           FROM {DAY} WHERE d + INTERVAL 1 DAY <= {CLOSED} AND day(ts) >= 3 GROUP BY d, event_type""")
+           FROM {DAY} WHERE d + INTERVAL 1 DAY <= {CLOSED} AND {NUMBERED} >= 3 GROUP BY d, event_type""")
 def late_data(spark, sf):
     # days 1 and 2 arrive last, far behind the watermark
     events, path, state = table(spark, sf, "events"), run_dir(spark, "late"), run_dir(spark, "late-state")
@@ -304,7 +308,7 @@ def late_data(spark, sf):
         return windows.window_agg(decoded(topics.read_topic(spark, "events", backend)), "ts", ["event_type"],
                                   _measures(), size="1 day", delay="1 hour")
 
-    staged(spark, [days(events, 3, 15), days(events, 16, 31), days(events, 1, 2)],
+    staged(spark, [days(events, 3, 15), days(events, 16), days(events, 1, 2)],
            lambda backend: jobs.stream_to_table(counted(backend), path, state))
     return spark.read.parquet(path)
 
@@ -314,7 +318,7 @@ def message_count(spark, sf):
     return last_result(event_stream(spark, sf).groupBy("event_type").agg(F.count("*").alias("n")), "counts")
 
 
-@query("""SELECT user_id, count(*) AS n, arg_max(value, ts) AS last_value FROM events GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS n, arg_max(value, (ts, value)) AS last_value FROM events GROUP BY user_id""")
 def stateful_counter(spark, sf):
     # the state of the first half of the month carries over into the second
     events, path, state = table(spark, sf, "events"), run_dir(spark, "counter"), run_dir(spark, "counter-state")
@@ -323,7 +327,7 @@ def stateful_counter(spark, sf):
         rows = decoded(topics.read_topic(spark, "events", backend))
         return jobs.write_results(windows.running_count(rows, "user_id", "value", "ts"), path, state, "update")
 
-    staged(spark, [days(events, 1, 15), days(events, 16, 31)], run)
+    staged(spark, [days(events, 1, 15), days(events, 16)], run)
     newest = F.max_by(F.struct("n", "last_value"), "batch").alias("s")
     return spark.read.parquet(path).groupBy("user_id").agg(newest).select("user_id", "s.*")
 
@@ -375,58 +379,58 @@ def sensor_stats(spark, sf):
                           F.round(F.avg("humidity"), 6).alias("humidity")], size="10 minutes", delay="1 minute"), "sensors")
 
 
-# -- tables carried from batch to batch ----------------------------------------
+# -- state per key ---------------------------------------------------------------
 
-def newest_version(spark, path: str) -> DataFrame:
-    written = spark.read.parquet(path)
-    return written.filter(F.col("batch") == written.agg(F.max("batch").alias("b")).scalar()).drop("batch")
+CLOSED_DAY = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
 
 @query(f"""WITH last AS (SELECT * FROM {LOG} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
            SELECT user_id, value FROM last WHERE op <> 'delete'
            UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM last)""")
 def apply_changes_stream(spark, sf):
-    events, state, mark = table(spark, sf, "events"), run_dir(spark, "applied"), run_dir(spark, "applied-state")
+    # the second half of the month arrives first: its sequences still win
+    events, log, mark = table(spark, sf, "events"), run_dir(spark, "applied"), run_dir(spark, "applied-state")
     target = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
     op = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
 
     def run(backend):
         changes = decoded(topics.read_topic(spark, "events", backend)).withColumn("op", op)
-        return jobs.apply_changes_stream(changes, target, state, mark, "user_id", "event_id", "op")
+        return jobs.apply_changes_stream(changes, log, mark, "user_id", "event_id")
 
-    staged(spark, [days(events, 1, 15), days(events, 16, 31)], run)
-    return newest_version(spark, state)
+    staged(spark, [days(events, 16), days(events, 1, 15)], run)
+    return jobs.with_changes(target, log, "user_id", "event_id", "op")
 
 
-@query("""SELECT event_id, user_id, round(m, 6) AS mean_before, round(s, 6) AS sd_before,
+@query(f"""SELECT event_id, user_id, round(m, 6) AS mean_before, round(s, 6) AS sd_before,
                  coalesce(n >= 2 AND abs(value - m) > 2.5 * s, false) AS is_anomaly
           FROM (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s, count(value) OVER w AS n FROM events
-                WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""")
+                WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+          WHERE ts <= date_trunc('millisecond', {CLOSED_DAY})""")
 def anomaly_stream(spark, sf):
-    events = table(spark, sf, "events")
-    out, state, mark = (run_dir(spark, name) for name in ("flagged", "flagged-tails", "flagged-state"))
+    path, mark = run_dir(spark, "flagged"), run_dir(spark, "flagged-state")
 
     def run(backend):
         rows = decoded(topics.read_topic(spark, "events", backend)).select("event_id", "user_id", "ts", "value")
-        return jobs.anomaly_stream(rows, out, state, mark, "user_id", "ts", "value", 20, 2.5, "event_id")
+        found = jobs.anomaly_stream(rows, "user_id", "ts", "value", 20, 2.5, "event_id", "1 day")
+        return jobs.stream_to_table(found, path, mark)
 
-    staged(spark, [days(events, 1, 15), days(events, 16, 31)], run)
-    return spark.read.parquet(out).select("event_id", "user_id", F.round("mean_before", 6).alias("mean_before"),
-                                          F.round("sd_before", 6).alias("sd_before"), "is_anomaly")
+    staged(spark, mixed_up(table(spark, sf, "events")), run)
+    return spark.read.parquet(path).select("event_id", "user_id", F.round("mean_before", 6).alias("mean_before"),
+                                           F.round("sd_before", 6).alias("sd_before"), "is_anomaly")
 
 
-@query("""SELECT a.user_id, a.event_id, min(b.ts) AS next_ts, arg_min(b.event_id, b.ts) AS next_id
+@query(f"""SELECT a.user_id, a.event_id, min(b.ts) AS next_ts, arg_min(b.event_id, (b.ts, b.event_id)) AS next_id
           FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR
-          WHERE a.event_type = 'view' AND b.event_type = 'purchase' GROUP BY 1, 2""")
+          WHERE a.event_type = 'view' AND b.event_type = 'purchase'
+            AND b.ts <= date_trunc('millisecond', {CLOSED_DAY}) GROUP BY 1, 2""")
 def pattern_stream(spark, sf):
-    events = table(spark, sf, "events")
-    out, state, mark = (run_dir(spark, name) for name in ("matched", "matched-open", "matched-state"))
+    path, mark = run_dir(spark, "matched"), run_dir(spark, "matched-state")
 
     def run(backend):
         rows = decoded(topics.read_topic(spark, "events", backend)).select("event_id", "user_id", "ts", "event_type")
-        return jobs.match_stream(rows, out, state, mark, "user_id", "ts", "event_type", "view", "purchase", "6 HOURS",
-                                 "event_id")
+        found = jobs.match_stream(rows, "user_id", "ts", "event_type", "view", "purchase", "6 hours", "event_id", "1 day")
+        return jobs.stream_to_table(found, path, mark)
 
-    staged(spark, [days(events, 1, 15), days(events, 16, 31)], run)
-    return spark.read.parquet(out).select("user_id", "event_id", F.col("next_ts").cast("timestamp_ntz").alias("next_ts"),
-                                          "next_id")
+    staged(spark, mixed_up(table(spark, sf, "events")), run)
+    return spark.read.parquet(path).select("user_id", "event_id", F.col("next_ts").cast("timestamp_ntz").alias("next_ts"),
+                                           "next_id")

@@ -38,10 +38,7 @@ def vector_dot_product(spark, sf):
            JOIN embeddings a ON a.vec_id = f.vec_id JOIN embeddings b ON b.label = f.label AND b.vec_id > f.vec_id""")
 def pairwise_dot(spark, sf):
     # pairs a < b between the first vector of a label and the others of that label
-    rows = table(spark, sf, "embeddings")
-    first = rows.groupBy("label").agg(F.min("vec_id").alias("id_a"))
-    pairs = rows.join(first, "label").filter("vec_id > id_a").select("id_a", F.col("vec_id").alias("id_b"))
-    found = vectors.dot_of_pairs(pairs, rows, "vec_id", "embedding")
+    found = vectors.dot_with_first(table(spark, sf, "embeddings"), "label", "vec_id", "embedding")
     return found.select("id_a", "id_b", F.round("dot_product", 6).alias("dot_product"))
 
 
@@ -104,13 +101,29 @@ def semantic_topk_filtered(spark, sf):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+def label_centres(rows):
+    return vectors.centroids(rows, "label", "embedding").select(
+        F.col("label").alias("query_id"), F.col("centroid").alias("embedding"))
+
+
 @query()
 def ann_topk(spark, sf):
     rows, path = table(spark, sf, "embeddings"), run_dir(spark, "index")
     cells = vectors.build_index(rows, "vec_id", "embedding", path)
-    centres = vectors.centroids(rows, "label", "embedding").select(
-        F.col("label").alias("query_id"), F.col("centroid").alias("embedding"))
-    return vectors.ann_topk(centres, path, "vec_id", "embedding", 5, probes=max(2, cells // 4))
+    return vectors.ann_topk(label_centres(rows), path, "vec_id", "embedding", 5, probes=max(2, -(-3 * cells // 4)))
+
+
+@query(f"""WITH long AS ({LONG}), centre AS (SELECT label, d, avg(x) AS c FROM long GROUP BY label, d),
+           scored AS (SELECT q.label AS query_id, l.vec_id, round(sqrt(sum((q.c - l.x) * (q.c - l.x))), 6) AS score
+                      FROM centre q JOIN long l USING (d) GROUP BY q.label, l.vec_id),
+           ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)
+           SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def ann_topk_all_cells(spark, sf):
+    # with every cell probed the answer is exact
+    rows, path = table(spark, sf, "embeddings"), run_dir(spark, "index")
+    cells = vectors.build_index(rows, "vec_id", "embedding", path)
+    found = vectors.ann_topk(label_centres(rows), path, "vec_id", "embedding", 5, probes=cells)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 
 CHUNK, OVERLAP = 500, 50
@@ -160,6 +173,34 @@ def retrieve_documents(spark, sf):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"""WITH chosen AS (SELECT doc_id, text FROM documents WHERE lang = 'en' AND source = 'src1'),
+           {_embedding_sql('d', 'doc_id', 'chosen')}, {_embedding_sql('q', 'item_id', 'benchmark')},
+           scored AS (SELECT item_id, doc_id, round(sum(q.w * d.w), 6) AS score FROM q JOIN d USING (pos) GROUP BY 1, 2),
+           ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+           SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 3""")
+def retrieve_where(spark, sf):
+    # the search is restricted by columns of the documents themselves
+    asked = retrieval.embed_text(table(spark, sf, "benchmark"), "item_id", "text", 64)
+    docs = retrieval.embed_text(table(spark, sf, "documents").filter("lang = 'en' AND source = 'src1'"), "doc_id", "text", 64)
+    found = vectors.topk(asked, docs, "doc_id", "embedding", 3, "dot", query_id="item_id").filter("score > 0")
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {_embedding_sql('d', 'doc_id', 'documents')}, {_embedding_sql('q', 'item_id', 'benchmark')},
+           scored AS (SELECT item_id, doc_id, round(sum(q.w * d.w), 6) AS score FROM q JOIN d USING (pos) GROUP BY 1, 2),
+           ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored),
+           lengths AS (SELECT r.item_id, r.rank, d.text, sum(length(d.text)) OVER (PARTITION BY r.item_id ORDER BY r.rank) AS used
+                       FROM ranked r JOIN documents d USING (doc_id) WHERE r.rank <= 4),
+           kept AS (SELECT item_id, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
+                    FROM lengths WHERE used <= 6000 GROUP BY item_id)
+           SELECT item_id, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks, coalesce(context, '') AS context
+           FROM (SELECT DISTINCT item_id FROM ranked) LEFT JOIN kept USING (item_id)""")
+def retrieve_whole_documents(spark, sf):
+    # every document is one chunk, so that SQL can rank and cut them
+    chunks = documents(spark, sf).select("doc_id", F.lit(0).alias("chunk_no"), "text")
+    return retrieval.retrieve_context(table(spark, sf, "benchmark"), chunks, 4, 6000, "item_id", ["doc_id", "chunk_no"])
+
+
 @query()
 def retrieve_context(spark, sf):
     chunks = retrieval.split_text(documents(spark, sf), "doc_id", "text", CHUNK, OVERLAP)

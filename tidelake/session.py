@@ -21,6 +21,7 @@ RUNTIME_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+DEFAULT_PARTITIONS = "200"
 FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 
 
@@ -51,15 +52,21 @@ def prepare(spark):
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     context = spark.sparkContext
-    if context.master.startswith("local"):
-        if context.getConf().get("spark.sql.shuffle.partitions") is None:
-            spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
-    elif spark.conf.get(FIRST_PARTITIONS, None) is None:
+    if spark.conf.get("spark.sql.shuffle.partitions") == DEFAULT_PARTITIONS:
+        # nobody has chosen a number yet; stream state is cut into as many, for good
+        cores = context.defaultParallelism
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores if one_process(spark) else max(200, 2 * cores)))
+    if not one_process(spark) and spark.conf.get(FIRST_PARTITIONS, None) is None:
         # shuffles start with many partitions, adaptive execution joins small ones
         spark.conf.set(FIRST_PARTITIONS, str(max(2000, 8 * context.defaultParallelism)))
     return spark
 
 
+def one_process(spark):
+    """Driver and executor are one process (not so for ``local-cluster``)."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def shared_dir(spark):
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
@@ -68,7 +75,7 @@ def shared_dir(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not one_process(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="tidelake-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -77,7 +84,16 @@ def shared_dir(spark):
 
 def run_dir(spark, name):
     """A new folder name for one run of one operator."""
-    return f"{shared_dir(spark)}/tidelake/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tidelake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_runs(spark):
+    """Remove what this application has written to the shared folder between steps.
+
+    Results that are still read from there must be written elsewhere before.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidelake/{spark.sparkContext.applicationId}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df, name):

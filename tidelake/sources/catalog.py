@@ -8,10 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# fixed values: the logical catalogs of the platform
-CATALOGS = ("delta", "hive", "iceberg", "lance", "system")
-
-
 def _loaded(spark, catalog: str) -> bool:
     return spark.conf.get(f"spark.sql.catalog.{catalog}", None) is not None
 
@@ -27,7 +23,10 @@ def table_name(spark, name: str) -> str:
 
 
 def show_catalogs(spark) -> DataFrame:
-    names = {c.name for c in spark.catalog.listCatalogs()} | set(CATALOGS)
+    """Catalogs that are loaded or configured for this session."""
+    prefix = "spark.sql.catalog."
+    configured = {name[len(prefix):] for name in spark.conf.getAll if name.startswith(prefix)}
+    names = {c.name for c in spark.catalog.listCatalogs()} | {n for n in configured if "." not in n}
     return spark.createDataFrame([(n,) for n in sorted(names)], "catalog string")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.operators import skew
+from tidelake.session import materialize
 
 BUILT_IN = ("parquet", "orc", "csv", "json", "text")
 
@@ -63,7 +64,17 @@ def _explained(error, fmt):
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, column: str, path: str) -> None:
-    """Hash-bucketed table at ``path``: equal buckets join on ``column`` without a shuffle."""
+    """Hash-bucketed table at ``path``: equal buckets join on ``column`` without a shuffle.
+
+    Rows are shuffled by the bucket column first, so a bucket is one file; the rows of hot
+    keys are left where they are, a file for each task and key.
+    """
+    hot = materialize(skew.hot_groups(df, [column]).select(column), "hot")
+    if not hot.isEmpty():
+        rest = df.join(hot, df[column].eqNullSafe(hot[column]), "left_anti").repartition(buckets, column)
+        df = rest.unionByName(df.join(hot, df[column].eqNullSafe(hot[column]), "left_semi"))
+    else:
+        df = df.repartition(buckets, column)
     df.write.format("parquet").mode("overwrite").bucketBy(buckets, column).sortBy(column).option(
         "path", path).saveAsTable(table)
 
@@ -71,18 +82,22 @@ def write_bucketed(df: DataFrame, table: str, buckets: int, column: str, path: s
 def join_bucketed(spark, left, right, left_key: str, right_key: str, min_rows=None) -> DataFrame:
     """Inner join of two bucketed tables, each given as (table, path), on their bucket columns.
 
-    A bucket is read by one task, so the hot keys of ``right`` are joined apart from
+    A bucket is read by one task, so the hot keys of either side are joined apart from
     the rest: read as plain files, which split, and shuffled with skew handling.
-    Files are sorted by key, so either part skips the row groups of the other.
     """
-    plain = spark.read.parquet(right[1])
-    hot = [row[right_key] for row in skew.hot_groups(plain, [right_key], min_rows) if row[right_key] is not None]
-    if not hot:
-        return spark.table(left[0]).join(spark.table(right[0]), F.col(left_key) == F.col(right_key))
-    cold = spark.table(left[0]).filter(~F.col(left_key).isin(hot)).join(
-        spark.table(right[0]).filter(~F.col(right_key).isin(hot)), F.col(left_key) == F.col(right_key))
-    few = spark.read.parquet(left[1]).filter(F.col(left_key).isin(hot))
-    return cold.unionByName(few.join(plain.filter(F.col(right_key).isin(hot)), F.col(left_key) == F.col(right_key)))
+    plain = [spark.read.parquet(side[1]) for side in (left, right)]
+    found = [skew.hot_groups(side, [name], min_rows).select(F.col(name).alias("_hot_key"))
+             for side, name in zip(plain, (left_key, right_key))]
+    hot = materialize(found[0].union(found[1]).filter(F.col("_hot_key").isNotNull()).distinct(), "hot")
+    on = F.col(left_key) == F.col(right_key)
+    if hot.isEmpty():
+        return spark.table(left[0]).join(spark.table(right[0]), on)
+
+    def part(side, name, how):
+        return side.join(hot, F.col(name) == F.col("_hot_key"), how)
+
+    cold = part(spark.table(left[0]), left_key, "left_anti").join(part(spark.table(right[0]), right_key, "left_anti"), on)
+    return cold.unionByName(part(plain[0], left_key, "left_semi").join(part(plain[1], right_key, "left_semi"), on))
 
 
 CSV_TEXT = dict(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
@@ -102,10 +117,9 @@ def load_documents(spark, path: str, fmt: str = "csv", schema=None, **options) -
 
 
 def enforce(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """``df`` in the types and order of ``schema``; raises when columns are
-    missing, extra or not castable without loss."""
-    have, want = set(df.columns), set(schema.fieldNames())
-    problems = [f"missing {c}" for c in sorted(want - have)] + [f"extra {c}" for c in sorted(have - want)]
+    """``df`` in the types and order of ``schema``; raises when columns or fields inside
+    them are missing, extra or not castable without loss."""
+    problems = list(_differences(df.schema, schema))
     if problems:
         raise SchemaMismatch(", ".join(problems))
     try:
@@ -114,6 +128,21 @@ def enforce(df: DataFrame, schema: T.StructType) -> DataFrame:
         raise SchemaMismatch(str(error)) from error
 
 
+def _differences(have, want, path=""):
+    """Fields that only one of two types has, at any depth."""
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        old, new = set(have.fieldNames()), set(want.fieldNames())
+        yield from (f"missing {path}{c}" for c in sorted(new - old))
+        yield from (f"extra {path}{c}" for c in sorted(old - new))
+        for c in sorted(old & new):
+            yield from _differences(have[c].dataType, want[c].dataType, f"{path}{c}.")
+    elif isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        yield from _differences(have.elementType, want.elementType, path)
+    elif isinstance(have, T.MapType) and isinstance(want, T.MapType):
+        yield from _differences(have.keyType, want.keyType, path)
+        yield from _differences(have.valueType, want.valueType, path)
+
+
 def union_evolved(*parts: DataFrame) -> DataFrame:
     """Old and new layouts of a table as one; columns an old part lacks read NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -125,11 +154,18 @@ def write_by_time(df: DataFrame, path: str, ts_col: str, part_col: str, unit: st
     write_table(df.withColumn(part_col, part), path, partition_by=[part_col], mode="overwrite")
 
 
-def read_by_time(df: DataFrame, ts_col: str, part_col: str, lo, hi) -> DataFrame:
-    """Rows with ``lo <= ts < hi``; also filters the derived day column, which prunes folders."""
+def read_by_time(df: DataFrame, ts_col: str, part_col: str, lo, hi, unit: str = "day") -> DataFrame:
+    """Rows with ``lo <= ts < hi``; also filters the derived column, which prunes folders.
+
+    ``unit`` is the coarsest unit the table was written with: a month column holds first
+    days, which day values of the same column never precede. A part of a mixed table that
+    lacks the column reads NULL there and is not pruned.
+    """
     lo, hi = F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")
+    first = F.trunc(lo, "month") if unit == "month" else F.to_date(lo)
+    part = F.col(part_col)
     return df.filter((F.col(ts_col) >= lo) & (F.col(ts_col) < hi)
-                     & (F.col(part_col) >= F.to_date(lo)) & (F.col(part_col) <= F.to_date(hi)))
+                     & (part.isNull() | ((part >= first) & (part <= F.to_date(hi)))))
 
 
 def read_layouts(spark, paths, drop=()) -> DataFrame:

@@ -1,12 +1,14 @@
 """Keyed JSON message topics, on Kafka or as a folder of Parquet files.
 
-Both backends share the columns of Spark's Kafka source, so only the place of a
-topic differs. In a folder topic every write is a sub-folder of its own, written
-as a whole: writing the same batch again replaces it.
+Both backends share columns of Spark's Kafka source, so only the place of a topic
+differs. A folder topic is appended to: every write is a sub-folder of its own, and only the
+replay of a stream's batch writes the same sub-folder again.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -15,12 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.functions.times import iso_text
-from tidelake.operators import skew
 
 ENVELOPE = T.StructType([
     T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType()),
-    T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()),
-    T.StructField("offset", T.LongType()), T.StructField("timestamp", T.TimestampType())])
+    T.StructField("topic", T.StringType()), T.StructField("timestamp", T.TimestampType())])
 
 
 class TopicNotFound(Exception):
@@ -79,43 +79,20 @@ def encode(df: DataFrame, key_col, value_cols=None, ts_col=None) -> DataFrame:
                      stamp.alias("timestamp"))
 
 
-def _placed(messages: DataFrame, topic: str, n_partitions: int, first=None) -> DataFrame:
-    """Assign topic, partition (by key) and dense offsets in time order."""
-    part = F.pmod(F.xxhash64(F.coalesce("key", F.lit(b""))), F.lit(n_partitions)).cast("int")
-    placed = messages.withColumn("topic", F.lit(topic)).withColumn("partition", part)
-    placed = placed.withColumn("_tie", F.xxhash64("key", "value"))
-    numbered = skew.scan(placed, ["partition"], ["timestamp", "_tie", "value"], sums={"_at": F.lit(1)})
-    offset = F.col("_at") - 1
-    if first:
-        # one literal per partition of the topic
-        base = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
-        offset = offset + F.coalesce(F.try_element_at(base, "partition"), F.lit(0))
-    return numbered.withColumn("offset", offset.cast("long")).select(*ENVELOPE.fieldNames())
+def append(messages: DataFrame, topic: str, backend: FolderTopics, write: str | None = None):
+    """Add encoded messages to a folder topic; the same ``write`` replaces itself. Gives its path."""
+    path = f"{backend.path(topic)}/write={write or uuid.uuid4().hex}"
+    rows = messages.select("key", "value", F.lit(topic).alias("topic"), "timestamp")
+    rows.write.mode("overwrite" if write else "errorifexists").parquet(path)
+    return path
 
 
-def next_offsets(spark, path: str, before: int) -> dict:
-    """Next free offset of each partition over the batches before ``before``."""
-    try:
-        written = spark.read.parquet(path)
-    except AnalysisException:
-        return {}
-    rows = written.filter(F.col("batch") < before).groupBy("partition").agg(F.max("offset").alias("top")).collect()
-    return {row["partition"]: row["top"] + 1 for row in rows}
-
-
-def append_batch(messages: DataFrame, topic: str, backend: FolderTopics, n_partitions: int = 3, batch: int = 0):
-    """Write one batch of encoded messages; the same batch number replaces itself."""
-    spark, path = messages.sparkSession, backend.path(topic)
-    first = next_offsets(spark, path, batch) if batch else {}
-    _placed(messages, topic, n_partitions, first).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-
-def write_topic(messages: DataFrame, topic: str, backend, n_partitions: int = 3, batch: int = 0,
-                checkpoint: str | None = None, on_batch=None):
+def write_topic(messages: DataFrame, topic: str, backend, checkpoint: str | None = None, on_batch=None):
     """Append ``messages`` (key, value, timestamp) to a topic.
 
     A batch frame is written at once. A stream starts a query that needs a
-    ``checkpoint``; ``on_batch(frame, number)`` sees what each batch delivered.
+    ``checkpoint``; ``on_batch(frame, number)`` sees what each batch delivered. Writers do
+    not share sub-folders, so any number of them can append to a topic.
     """
     if isinstance(backend, KafkaTopics):
         out = messages.select("key", "value", F.lit(topic).alias("topic"))
@@ -125,13 +102,14 @@ def write_topic(messages: DataFrame, topic: str, backend, n_partitions: int = 3,
             **dict(backend.options))
         return writer.start() if messages.isStreaming else writer.save()
     if not messages.isStreaming:
-        append_batch(messages, topic, backend, n_partitions, batch)
+        append(messages, topic, backend)
         return None
+    # a replayed batch of the same stream finds its own sub-folder
+    writer_name = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def deliver(frame, number):
-        append_batch(frame, topic, backend, n_partitions, number)
+        written = append(frame, topic, backend, f"{writer_name}-{number}")
         if on_batch:
-            written = f"{backend.path(topic)}/batch={number}"
             on_batch(frame.sparkSession.read.schema(ENVELOPE).parquet(written), number)
 
     return (messages.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
@@ -139,8 +117,9 @@ def write_topic(messages: DataFrame, topic: str, backend, n_partitions: int = 3,
 
 
 def delivery_report(written: DataFrame) -> DataFrame:
-    """One row per delivered message: topic, partition, offset, and a NULL error."""
-    return written.select("topic", "partition", "offset", F.lit(None).cast("string").alias("error"))
+    """Per topic the messages that were delivered, with their first and last time."""
+    return written.groupBy("topic").agg(F.count("*").alias("messages"), F.min("timestamp").alias("first_sent"),
+                                        F.max("timestamp").alias("last_sent"))
 
 
 class BadMessage(Exception):
@@ -154,21 +133,19 @@ def decode(df: DataFrame, schema: T.StructType, mode: str = "fail"):
     included. ``quarantine`` gives (good, bad); bad rows keep their bytes.
     """
     text = F.col("value").cast("string")
-    envelope = [F.col("topic"), F.col("partition"), F.col("offset"),
-                F.col("key").cast("string").alias("key"), F.col("timestamp").alias("sent_at")]
+    envelope = [F.col("topic"), F.col("key").cast("string").alias("key"), F.col("timestamp").alias("sent_at")]
     if mode == "fail":
         whole = F.when(F.col("value").isNull(), F.raise_error(F.lit("message without a value")).cast("string"))
         parsed = F.from_json(whole.otherwise(text), schema, {"mode": "FAILFAST"})
-        return df.select(*envelope, parsed.alias("_m")).select(
-            "topic", "partition", "offset", "key", "sent_at", "_m.*")
+        return df.select(*envelope, parsed.alias("_m")).select("topic", "key", "sent_at", "_m.*")
     if mode != "quarantine":
         raise ValueError(f"unknown mode {mode!r}")
     watched = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     parsed = df.select(*envelope, "value", F.from_json(
         text, watched, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_m"))
     broken = F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()
-    good = parsed.filter(~broken).select("topic", "partition", "offset", "key", "sent_at", "_m.*").drop("_corrupt")
-    bad = parsed.filter(broken).select("topic", "partition", "offset", "key", "sent_at", "value")
+    good = parsed.filter(~broken).select("topic", "key", "sent_at", "_m.*").drop("_corrupt")
+    bad = parsed.filter(broken).select("topic", "key", "sent_at", "value")
     return good, bad
 
 

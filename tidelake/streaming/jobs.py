@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import threading
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidelake.operators.changes import apply_changes
-from tidelake.operators.features import flag_anomalies, followed
 from tidelake.sources.topics import read_topic, write_topic
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def topic_job(spark, src: str, dst: str, backend, checkpoint: str, fn=None, n_partitions: int = 3,
-              on_batch=None) -> StreamingQuery:
+
+def topic_job(spark, src: str, dst: str, backend, checkpoint: str, fn=None, on_batch=None) -> StreamingQuery:
     """Start a stateless job that sends every message of ``src`` through ``fn`` into ``dst``."""
     messages = read_topic(spark, src, backend)
     changed = messages.transform(fn) if fn else messages
-    return write_topic(changed.select("key", "value", "timestamp"), dst, backend, n_partitions,
-                       checkpoint=checkpoint, on_batch=on_batch)
+    return write_topic(changed.select("key", "value", "timestamp"), dst, backend, checkpoint, on_batch)
 
 
 def map_elements(df: DataFrame, fn, schema, column: str | None = None) -> DataFrame:
@@ -76,81 +80,98 @@ def start_exactly_once(df: DataFrame, path: str, checkpoint: str, mode: str = "f
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def fold_batches(df: DataFrame, state: str, checkpoint: str, step, out: str | None = None) -> StreamingQuery:
-    """Carry a table from batch to batch: ``step(before, rows)`` gives (after, output).
-
-    ``before`` is None in the first batch. Versions of the table are kept as
-    ``state/batch=n``, outputs as ``out/batch=n``; a repeated batch starts from the same
-    version and replaces what it wrote. A version is removed two batches later.
-    """
-
-    def run(rows, number):
-        spark = rows.sparkSession
-        before = spark.read.parquet(f"{state}/batch={number - 1}") if number else None
-        after, output = step(before, rows)
-        if out and output is not None:
-            output.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        after.write.mode("overwrite").parquet(f"{state}/batch={number}")
-        if number > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/batch={number - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-    return (df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
-def apply_changes_stream(changes: DataFrame, target: DataFrame, state: str, checkpoint: str, keys, seq: str,
-                         op: str) -> StreamingQuery:
-    """Keep ``target`` up to date with a stream of changes; ``state/batch=n`` is its content.
+def apply_changes_stream(changes: DataFrame, log: str, checkpoint: str, keys, seq: str) -> StreamingQuery:
+    """Append the newest change of every key to ``log/batch=n`` whenever it changes.
 
-    Sequences must not go back from one batch to the next.
+    The highest sequence seen is kept in Spark's state, deletes included, so a change
+    that arrives late loses. ``with_changes`` reads the table; no batch rewrites it.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), F.col(seq)).alias("_c"))
+    return write_results(newest.select("_c.*"), log, checkpoint, "update")
 
-    def step(before, rows):
-        return apply_changes(target if before is None else before, rows, keys, seq, op), None
 
-    return fold_batches(changes, state, checkpoint, step)
+def with_changes(target: DataFrame, log: str, keys, seq: str, op: str) -> DataFrame:
+    """``target`` after all changes that ``apply_changes_stream`` has logged."""
+    return apply_changes(target, target.sparkSession.read.parquet(log).drop("batch"), keys, seq, op)
 
 
-def anomaly_stream(df: DataFrame, out: str, state: str, checkpoint: str, key: str, ts_col: str, value: str, n: int,
-                   k: float, tie: str) -> StreamingQuery:
-    """Flag anomalies in a stream as the batch operator does over all of its rows.
+def in_time_order(df: DataFrame, key: str, ts_col: str, tie: str, delay: str, step, schema: str):
+    """Run ``step(rows, memory)`` -> (output, memory) over each key's rows in event-time order.
 
-    The last ``n`` rows of every key are carried into the next batch, whose rows of
-    that key must be newer.
+    Rows wait in Spark's state until the watermark, ``delay`` behind the newest row, has
+    passed them; so rows may arrive out of order by ``delay``. Later ones are left out, as by
+    windows. ``rows`` is a pandas frame, ``memory`` None at first; the rows of a key meet in
+    one task.
     """
-
-    def step(before, rows):
-        names = rows.columns
-        known = rows.withColumn("_new", F.lit(True))
-        if before is not None:
-            known = known.unionByName(before.select(*names).withColumn("_new", F.lit(False)))
-        flagged = flag_anomalies(known, key, ts_col, value, n, k, tie)
-        newest = Window.partitionBy(key).orderBy(F.desc(ts_col), F.desc(tie))
-        tail = known.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).select(*names)
-        return tail, flagged.filter("_new").drop("_new")
-
-    return fold_batches(df, state, checkpoint, step, out)
-
-
-def match_stream(df: DataFrame, out: str, state: str, checkpoint: str, key: str, ts_col: str, type_col: str, a: str,
-                 b: str, within: str, tie: str) -> StreamingQuery:
-    """Match a two-step sequence in a stream as the batch operator does over all of its rows.
-
-    Rows of type ``a`` that still wait for a ``b`` are carried into the next batch,
-    whose rows must be newer, and are forgotten after ``within``. Work is linear in
-    rows: the pairs of a key are never built.
+    names = df.columns
+
+    def run(group, frames, state):
+        memory, waiting = pickle.loads(state.get[0]) if state.exists else (None, pd.DataFrame(columns=names))
+        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        new = [frame[frame[ts_col] > mark] for frame in frames]
+        rows = pd.concat([f for f in [waiting, *new] if len(f)], ignore_index=True) if len(waiting) or any(map(len, new)) else waiting
+        rows = rows.sort_values([ts_col, tie], kind="stable")
+        ready = rows[ts_col] <= mark if len(rows) else np.empty(0, dtype=bool)
+        waiting = rows[~ready] if len(rows) else rows
+        if len(rows) and ready.any():
+            out, memory = step(rows[ready].reset_index(drop=True), memory)
+            yield out
+        state.update((pickle.dumps((memory, waiting)),))
+        if len(waiting):
+            state.setTimeoutTimestamp(int(waiting[ts_col].min().value // 1_000_000) + 1)
+
+    timed = df.filter(F.col(ts_col).isNotNull()).withWatermark(ts_col, delay)
+    return timed.groupBy(key).applyInPandasWithState(run, schema, "memory binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def anomaly_stream(df: DataFrame, key: str, ts_col: str, value: str, n: int, k: float, tie: str, delay: str) -> DataFrame:
+    """Flag anomalies in a stream as the batch operator does, once the watermark has passed a row.
+
+    State holds the last ``n`` values of every key and the rows that still wait.
     """
-
-    def step(before, rows):
-        names, reach = rows.columns, F.col(ts_col) + F.expr(f"INTERVAL {within}")
-        known = rows if before is None else rows.unionByName(before.select(*names))
-        pairs = followed(known, key, ts_col, type_col, a, b, tie)
-        newest = known.agg(F.max(ts_col).alias("t")).scalar()
-        waiting = pairs.filter(F.col("next_ts").isNull() & (reach >= newest)).select(*names)
-        return waiting, pairs.filter(F.col("next_ts") <= reach)
-
-    return fold_batches(df, state, checkpoint, step, out)
+    names = df.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", mean_before double, sd_before double, is_anomaly boolean"
+
+    def step(rows, memory):
+        before = np.full(n, np.nan) if memory is None else memory
+        values = np.concatenate([before, rows[value].astype(float).to_numpy()])
+        seen = np.lib.stride_tricks.sliding_window_view(values[:-1], n)
+        count = (~np.isnan(seen)).sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.nansum(seen, axis=1) / count
+            sd = np.sqrt(np.nansum((seen - mean[:, None]) ** 2, axis=1) / (count - 1))
+            far = np.abs(values[n:] - mean) > k * sd
+        mean, sd = np.where(count > 0, mean, np.nan), np.where(count > 1, sd, np.nan)
+        out = rows[names].assign(mean_before=pd.Series(mean).astype(object).where(count > 0, None),
+                                 sd_before=pd.Series(sd).astype(object).where(count > 1, None), is_anomaly=(count > 1) & far)
+        return out, values[-n:]
+
+    return in_time_order(df, key, ts_col, tie, delay, step, schema)
+
+
+def match_stream(df: DataFrame, key: str, ts_col: str, type_col: str, a: str, b: str, within: str, tie: str,
+                 delay: str) -> DataFrame:
+    """Match a two-step sequence in a stream as the batch operator does, once the watermark has passed the second step.
+
+    State holds the rows of type ``a`` that may still find a ``b``, and the rows that wait.
+    """
+    names, reach = df.columns, pd.Timedelta(within)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + f", next_ts {kinds[ts_col]}, next_id {kinds[tie]}"
+
+    def step(rows, memory):
+        first = rows[rows[type_col] == a]
+        first = first if memory is None else pd.concat([memory, first], ignore_index=True) if len(first) else memory
+        second = rows[rows[type_col] == b]
+        times = second[ts_col].to_numpy()
+        at = np.searchsorted(times, first[ts_col].to_numpy(), side="right")
+        found = np.flatnonzero(at < len(times))
+        pairs = first.iloc[found][names].assign(next_ts=times[at[found]], next_id=second[tie].to_numpy()[at[found]])
+        waiting = first[(at == len(times)) & (first[ts_col] + reach >= rows[ts_col].max()).to_numpy()]
+        return pairs[pairs["next_ts"] - pairs[ts_col] <= reach], waiting
+
+    return in_time_order(df.filter(F.col(type_col).isin(a, b) & F.col(key).isNotNull()), key, ts_col, tie, delay, step, schema)
 
 
 class ConsumerProgress(StreamingQueryListener):

@@ -37,6 +37,7 @@ def window_agg(df: DataFrame, ts_col: str, keys, aggs, size: str | None = None,
 def _batch_sessions(df, ts_col, keys, aggs, gap, min_rows):
     """Sessions numbered along each key's rows, then grouped: a hot key is no hot task."""
     keys, reach = list(keys), F.expr(f"INTERVAL {gap}")
+    df = df.filter(F.col(ts_col).isNotNull())  # as session_window does
     seen = skew.scan(df, keys, [ts_col], prev={"_before": F.col(ts_col)}, min_rows=min_rows)
     joins = F.coalesce(F.col(ts_col) <= F.col("_before") + reach, F.lit(False)).cast("int")
     # at equal times the row that opens the session comes first
@@ -49,16 +50,22 @@ def _batch_sessions(df, ts_col, keys, aggs, gap, min_rows):
                           *keys, *[c for c in grouped.columns if c not in ("_session", "_first", "_last", *keys)])
 
 
-def dedup(df: DataFrame, keys, ts_col: str, within: str) -> DataFrame:
-    """One row per key; in a stream copies arriving within ``within`` of each other are dropped.
+def dedup(df: DataFrame, keys, ts_col: str, within: str, min_rows=None) -> DataFrame:
+    """One row per key and time: a copy no later than ``within`` after the copy before it is dropped.
 
-    Batch frames combine copies inside each task first. In a stream every Arrow batch
+    Batch frames look at each key's rows in time order; rows without a time are copies of one
+    another. In a stream every Arrow batch
     drops its own copies before the shuffle, so a message repeated very often does not
     send all its copies to one task.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if not df.isStreaming:
-        return df.dropDuplicates(keys)
+        rows = df.withColumn("_tie", F.xxhash64(*df.columns))
+        seen = skew.scan(rows, keys, [ts_col, "_tie"], prev={"_before": F.struct(ts_col)}, min_rows=min_rows)
+        before = F.col("_before")[ts_col]
+        late = F.col(ts_col) > before + F.expr(f"INTERVAL {within}")
+        first = F.col("_before").isNull() | (before.isNull() & F.col(ts_col).isNotNull()) | late
+        return seen.filter(F.coalesce(first, F.lit(False))).drop("_tie", "_before")
 
     def local(batches):
         for batch in batches:
@@ -70,11 +77,11 @@ def dedup(df: DataFrame, keys, ts_col: str, within: str) -> DataFrame:
 
 
 def running_count(df: DataFrame, key: str, value: str, ts_col: str) -> DataFrame:
-    """Per key the number of rows and the newest value, kept as state across batches.
+    """Per key the number of rows and the newest value (of equal times the largest), kept as state.
 
     The state is a count and one value, combined inside each task before the shuffle.
     """
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.max_by(value, ts_col).alias("last_value"))
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.max_by(F.col(value), F.struct(ts_col, value)).alias("last_value"))
 
 
 def late_rows(df: DataFrame, ts_col: str, newest, delay: str) -> DataFrame:
@@ -82,24 +89,43 @@ def late_rows(df: DataFrame, ts_col: str, newest, delay: str) -> DataFrame:
     return df.filter(F.col(ts_col).cast("timestamp") < F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}"))
 
 
-# a dimension up to this many rows is sent to every task
-SMALL_ROWS = 100_000
+# a dimension up to this many bytes is sent to every task
+SMALL_BYTES = 32 << 20
 
 
-def enrich(stream: DataFrame, dimension: DataFrame, key: str, dimension_key: str, how: str = "left",
-           small_rows: int = SMALL_ROWS, salts: int = 32) -> DataFrame:
-    """Join a stream with a static table on one key.
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of all rows of a frame as JSON text."""
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    return df.select(size.alias("b")).agg(F.sum("b")).first()[0] or 0
+
 
-    A dimension counted as small is broadcast. Otherwise its rows are repeated
-    ``salts`` times and the stream is spread over the copies, because a running
-    query cannot split the task of a hot key.
+def enrich(stream: DataFrame, dimension: DataFrame, key: str, dimension_key: str, how: str = "left",
+           small_bytes: int = SMALL_BYTES, hot=(), salts: int = 32) -> DataFrame:
+    """Join a stream with a static table on one key, ``inner`` or ``left``.
+
+    Gives the stream's columns, then the dimension's; a dimension key of the same name
+    is left out, other equal names raise. A dimension of at most ``small_bytes`` is
+    broadcast. A larger one is shuffled by key; the dimension rows of the values listed
+    in ``hot`` are repeated ``salts`` times and the stream's rows of these values spread over
+    the copies, because a running query cannot split the task of a hot key.
     """
-    if dimension.limit(small_rows + 1).count() <= small_rows:
-        return stream.join(F.broadcast(dimension), stream[key] == dimension[dimension_key], how)
-    spread = stream.withColumn("_salt", F.pmod(F.xxhash64(*stream.columns), F.lit(salts)).cast("int"))
-    copies = dimension.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = (F.col(key) == F.col(dimension_key)) & (F.col("_salt") == F.col("_copy"))
-    return spread.join(copies, on, how).drop("_salt", "_copy")
+    if how not in ("inner", "left"):
+        raise ValueError(f"a stream is joined 'inner' or 'left', not {how!r}")
+    extra = [c for c in dimension.columns if not (c == dimension_key == key)]
+    if set(extra) & set(stream.columns):
+        raise ValueError(f"columns on both sides: {sorted(set(extra) & set(stream.columns))}")
+    side = dimension.select(F.col(dimension_key).alias("_key"), *[F.col(c).alias(f"_d_{c}") for c in extra])
+    given = [*stream.columns, *[F.col(f"_d_{c}").alias(c) for c in extra]]
+    if row_bytes(dimension) <= small_bytes:
+        return stream.join(F.broadcast(side), F.col(key) == F.col("_key"), how).select(*given)
+    hot = list(hot)
+    salt, copy = F.lit(0), F.lit(0)
+    if hot:
+        salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*stream.columns), F.lit(salts)).cast("int")).otherwise(0)
+        copy = F.explode(F.when(F.col("_key").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    spread, copies = stream.withColumn("_salt", salt), side.withColumn("_copy", copy)
+    joined = spread.join(copies, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy")), how)
+    return joined.select(*given)
 
 
 def alerts(windowed: DataFrame, column: str, threshold) -> DataFrame:
