@@ -34,6 +34,15 @@ class CoverAnchors:
             raise ValueError("not a difference cover")
         self.period, self.cover, self.width = period, cover, window - period + 1
 
+    # an anchor is long enough to be the only key of the windows around it
+    parts = 1
+
+    def keys(self, items, place, part):
+        return items.once("anchors", lambda: K.window_hashes(items.h, self.width))[place]
+
+    def fitting(self, items, place, part):
+        return place
+
     def anchors(self, items, active):
         rest = (np.arange(len(items.h)) - items.offsets[items.owner]) % self.period
         chosen = np.isin(np.arange(self.period), self.cover)[rest]
@@ -41,11 +50,17 @@ class CoverAnchors:
         # up to the last anchor inside the last window
         chosen &= K.covered(low, high + self.period - 1, len(items.h))
         place = np.flatnonzero(chosen)
-        return place, K.window_hashes(items.h, self.width)[place]
+        return place, self.keys(items, place, 0)
+
+    def around(self, items, active, place, part):
+        """(window starts, index of the anchor) of all windows that have one of the anchors in reach."""
+        at = place[:, None] - np.arange(self.period)
+        start = items.offsets[items.owner[place]]
+        row, _ = np.nonzero(at >= start[:, None])
+        return at[at >= start[:, None]], row
 
-    def near(self, items, active, place, shared):
-        """Mask of window starts that have one of the given anchors in reach."""
-        return K.covered(np.maximum(place - self.period + 1, 0), place + 1, len(items.h))
+    def whole(self, items, at):
+        return items.once("windows", lambda: K.window_hashes(items.h, items.window))[at]
 
 
 def read_words(table, window):

@@ -7,9 +7,12 @@ an equal anchor at the same place. Steps, each linear in the text:
    The answer names the smallest document with it and its place there.
 2. Anchors that follow each other on one diagonal of one smaller document extend to a
    longer match without looking at that document; windows inside are found. Other windows
-   at shared anchors are hashed whole and sent. (The smallest holder of a window is never
-   itself found, so its windows are always sent.)
-3. A sent window is found if the smallest document that sent it has a smaller id.
+   with an anchor in a smaller document stay open. Holders of shared anchors send keys that
+   all windows on one side of an anchor have in common, open windows ask for theirs.
+3. Blocks that hold a key that is asked for and shared send the hashes of the windows it
+   stands for, as far as they are not found yet. (The smallest holder of a window is never
+   itself found, so it sends.)
+4. An open window is found if the smallest document that sent it has a smaller id.
 
 Hashes of whole windows have 64 bits: two different windows among n sent ones meet with
 a chance of about n * n / 2**65. Rows without an id are returned, but nothing is removed
@@ -19,7 +22,7 @@ from them and they hold nothing for others; rows with equal ids are the same doc
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import cloudpickle
@@ -29,7 +32,7 @@ from tidelake.llm import kernels as K
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ANCHORS, PROVEN, OPEN = 1, 2, 3
+ANCHORS, PROVEN, OPEN = 1, 2, 3  # kinds of message entries
 # anchors need not be told apart by all 64 bits: a chance meeting only costs a look
 ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 
@@ -38,14 +41,21 @@ ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 class Items:
     """The items (words or bytes) of a block's documents."""
 
-    h: np.ndarray  # a code of each item
+    h: np.ndarray  # a word's hash, or a byte
     offsets: np.ndarray  # first item of each document, and the total
     ids: np.ndarray
     window: int
+    memo: dict = field(default_factory=dict)
+
+    def once(self, name, make):
+        """The value of ``make()``, kept for the next time."""
+        if name not in self.memo:
+            self.memo[name] = make()
+        return self.memo[name]
 
     @property
     def owner(self):
-        return K.owners(self.offsets)
+        return self.once("owner", lambda: K.owners(self.offsets))
 
     def windows(self, active):
         """(first, past the last) window start of each document that has any."""
@@ -79,7 +89,7 @@ def smallest_holders(src, h, doc, more):
 
 def send_anchors(sampler, items, active, block, buckets):
     place, h = sampler.anchors(items, active)
-    h &= ANCHOR_BITS
+    h = h & ANCHOR_BITS
     owner = items.owner[place]
     keys, doc, at, more = first_holders(h, items.ids[owner], place - items.offsets[owner])
     return X.to_buckets(block, ANCHORS, buckets, keys, doc, (at * 2 + more).astype(np.uint64))
@@ -98,79 +108,137 @@ def share_anchors(bucket, table):
     return X.back(bucket, ANCHORS, src[order][shared], h[order][shared], least[shared], at[shared])
 
 
-def extend(sampler, items, active, found, block, buckets):
-    """Matches proven by anchors on one diagonal, and the hashes of windows still open."""
+def shared_anchors(sampler, items, active, found):
+    """(all places, index of shared ones, their hash, smallest holder and place in it)."""
     _, h, x, y = X.gather(found, ANCHORS)
-    if not len(h):
-        return []
     order = np.argsort(h, kind="stable")
     h, least, at = h[order], x.view(np.int64)[order], y.astype(np.int64)[order]
     place, own = sampler.anchors(items, active)
-    hit = K.lookup(own & ANCHOR_BITS, h)
+    own = own & ANCHOR_BITS
+    hit = K.lookup(own, h)
     k = np.flatnonzero(hit >= 0)
-    p, hit = place[k], hit[k]
+    return place, k, own[k], least[hit[k]], at[hit[k]]
+
+
+def extend(sampler, items, active, found, block, buckets):
+    """Matches proven by anchors on one diagonal; shared anchors, marked where windows stay open."""
+    if not found.num_rows:
+        return []
+    place, k, h, least, at = shared_anchors(sampler, items, active, found)
+    if not len(k):
+        return []
+    p = place[k]
     owner = items.owner[p]
-    good = least[hit] < items.ids[owner]
-    diagonal = p - items.offsets[owner] - at[hit]
+    good = least < items.ids[owner]
+    diagonal = p - items.offsets[owner] - at
     joined = np.zeros(len(k), dtype=bool)
-    joined[1:] = ((k[1:] == k[:-1] + 1) & (owner[1:] == owner[:-1]) & good[1:] & good[:-1]
-                  & (least[hit][1:] == least[hit][:-1]) & (diagonal[1:] == diagonal[:-1])
-                  & (p[1:] - p[:-1] <= sampler.width))
+    joined[1:] = ((k[1:] == k[:-1] + 1) & (owner[1:] == owner[:-1]) & good[1:] & good[:-1] & (least[1:] == least[:-1])
+                  & (diagonal[1:] == diagonal[:-1]) & (p[1:] - p[:-1] <= sampler.width))
     heads = np.flatnonzero(~joined)
     tails = np.append(heads[1:], len(k)) - 1
-    long = good[heads] & (p[tails] + sampler.width - p[heads] >= items.window) if len(k) else good
-    starts, ends = p[heads][long], p[tails][long] + sampler.width
+    long = good[heads] & (p[tails] + sampler.width - p[heads] >= items.window)
+    starts, ends = p[heads][long], p[tails][long] + sampler.width - items.window + 1
     n = items.offsets[-1]
-    low, high = items.windows(active)
-    open_ = sampler.near(items, active, p, h) & K.covered(low, high, n) & ~K.covered(
-        starts, ends - items.window + 1, n)
+    free = K.covered(*items.windows(active), n) & ~K.covered(starts, ends, n)
+    open_, keys, doc, asks = np.zeros(n, dtype=bool), [], [], []
+    for part in range(sampler.parts):
+        at, anchor = sampler.around(items, active, p, part)
+        at, anchor = at[free[at]], anchor[free[at]]
+        open_[at[good[anchor]]] = True
+        held = np.unique(anchor)
+        keys.append(sampler.keys(items, p[held], part) & ANCHOR_BITS)
+        doc.append(items.ids[owner[held]])
+        asks.append(good[held])
+    keys, doc, asks = np.concatenate(keys), np.concatenate(doc), np.concatenate(asks)
+    order = np.argsort(keys, kind="stable")
+    cuts = K.group_starts(keys[order])
+    out = []
+    if len(keys):
+        several = np.minimum.reduceat(doc[order], cuts) != np.maximum.reduceat(doc[order], cuts)
+        marks = np.logical_or.reduceat(asks[order], cuts) + 2 * several
+        out.extend(X.to_buckets(block, ANCHORS, buckets, keys[order][cuts], marks.astype(np.uint64)))
     run_starts, run_ends = K.runs(open_)
-    at_open = np.flatnonzero(open_)
-    whole = K.window_hashes(items.h, items.window)[at_open]
-    keys, doc, _, _ = first_holders(whole, items.ids[items.owner[at_open]], at_open)
-    out = list(X.to_buckets(block, ANCHORS, buckets, keys, doc))
-    for kind, s, e in ((PROVEN, starts, ends - items.window + 1), (OPEN, run_starts, run_ends)):
+    for kind, s, e in ((PROVEN, starts, ends), (OPEN, run_starts, run_ends)):
         if len(s):
             out.append((block % buckets, block, kind, s.astype(np.uint64), (e - s).astype(np.uint64), None))
     return out
 
 
-def settle(bucket, table):
+def passed_on(bucket, table):
+    """Entries that a block sent to itself."""
+    for row in table.select(["src", "kind", "n", "h", "x"]).to_pylist():
+        if row["kind"] != ANCHORS:
+            yield (row["src"], bucket, row["kind"], K.unpack_sorted(row["h"], row["n"]), K.unpack(row["x"], row["n"]), None)
+
+
+def asked(bucket, table):
+    """Every holder of a key that some block asks for and two documents have."""
     src, h, x, _ = X.gather(table, ANCHORS)
+    out = list(passed_on(bucket, table))
+    if len(h):
+        order = np.argsort(h, kind="stable")
+        cuts = K.group_starts(h[order])
+        sizes = np.diff(np.append(cuts, len(h)))
+        marks = np.bitwise_or.reduceat(x[order], cuts)
+        wanted = np.repeat((marks % np.uint64(2) > 0) & ((sizes > 1) | (marks > 1)), sizes)
+        out.extend(X.back(bucket, ANCHORS, src[order][wanted], h[order][wanted]))
+    return out
+
+
+def spans(found, kind):
+    _, s, length, _ = X.gather(found, kind)
+    order = np.argsort(s, kind="stable")
+    s, length = s[order].astype(np.int64), length[order].astype(np.int64)
+    return s, s + length
+
+
+def send_windows(sampler, items, active, found, block, buckets):
+    """Hashes of the windows that wanted keys stand for and that are not proven."""
     out = []
+    for kind in (PROVEN, OPEN):
+        s, e = spans(found, kind)
+        if len(s):
+            out.append((block % buckets, block, kind, s.astype(np.uint64), (e - s).astype(np.uint64), None))
+    _, h, _, _ = X.gather(found, ANCHORS)
     if len(h):
-        doc = x.view(np.int64)
-        order, least, _, _, _ = smallest_holders(src, h, doc, np.zeros(len(h), dtype=bool))
-        later = doc[order] > least
+        place, _ = sampler.anchors(items, active)
+        n, h = items.offsets[-1], np.sort(h)
+        some = np.zeros(n, dtype=bool)
+        for part in range(sampler.parts):
+            fits = sampler.fitting(items, place, part)
+            wanted = fits[K.lookup(sampler.keys(items, fits, part) & ANCHOR_BITS, h) >= 0]
+            some[sampler.around(items, active, wanted, part)[0]] = True
+        at = np.flatnonzero(some & K.covered(*items.windows(active), n) & ~K.covered(*spans(found, PROVEN), n))
+        keys, doc, _, more = first_holders(sampler.whole(items, at), items.ids[items.owner[at]], at)
+        out.extend(X.to_buckets(block, ANCHORS, buckets, keys, doc, more.astype(np.uint64)))
+    return out
+
+
+def settle(bucket, table):
+    """The smallest document of each window, for blocks that hold it in a later one."""
+    src, h, x, y = X.gather(table, ANCHORS)
+    out = list(passed_on(bucket, table))
+    if len(h):
+        doc, more = x.view(np.int64), y > 0
+        order, least, _, _, _ = smallest_holders(src, h, doc, more)
+        later = (doc[order] > least) | more[order]
         out.extend(X.back(bucket, ANCHORS, src[order][later], h[order][later], least[later]))
-    for row in table.select(["src", "kind", "n", "h", "x"]).to_pylist():
-        if row["kind"] != ANCHORS:
-            out.append((row["src"], bucket, row["kind"], K.unpack_sorted(row["h"], row["n"]),
-                        K.unpack(row["x"], row["n"]), None))
     return out
 
 
-def removed(items, found):
+def removed(sampler, items, found):
     """Mask of the items inside a window that also starts in a smaller document."""
-    _, s, length, _ = X.gather(found, PROVEN)
-    starts, ends = [s.astype(np.int64)], [(s + length).astype(np.int64)]
-    _, s, length, _ = X.gather(found, OPEN)
     n = items.offsets[-1]
-    if len(s):
-        at = np.flatnonzero(K.covered(s.astype(np.int64), (s + length).astype(np.int64), n))
-        whole = K.window_hashes(items.h, items.window)[at]
-        ids = items.ids[items.owner[at]]
-        keys, doc, _, _ = first_holders(whole, ids, at)
+    starts, ends = spans(found, PROVEN)
+    at = np.flatnonzero(K.covered(*spans(found, OPEN), n))
+    if len(at):
+        whole = sampler.whole(items, at)
         _, h, x, _ = X.gather(found, ANCHORS)
         order = np.argsort(h, kind="stable")
-        outside = K.lookup(whole, h[order])
-        inside = doc[K.lookup(whole, keys)]
-        found_at = inside < ids
-        if len(h):
-            found_at |= (outside >= 0) & (x.view(np.int64)[order][outside] < ids)
-        starts.append(at[found_at])
-        ends.append(at[found_at] + 1)
-    starts, ends = np.concatenate(starts), np.concatenate(ends)
+        known = K.lookup(whole, h[order])
+        hit = np.zeros(len(at), dtype=bool)
+        hit[known >= 0] = x.view(np.int64)[order][known[known >= 0]] < items.ids[items.owner[at[known >= 0]]]
+        starts, ends = np.concatenate([starts, at[hit]]), np.concatenate([ends, at[hit] + 1])
     return K.covered(starts, ends + items.window - 1, n)
 
 
@@ -189,10 +257,15 @@ def remove_repeats(docs, read, sampler, finish, schema, window, id_col="doc_id",
         _, items = read(table, window)
         return extend(sampler, items, X.ids_of(table)[1], found, block, buckets)
 
+    def third(block, table, found):
+        _, items = read(table, window)
+        return send_windows(sampler, items, X.ids_of(table)[1], found, block, buckets)
+
     def last(block, table, found):
         texts, items = read(table, window)
-        return finish(table, texts, items, removed(items, found))
+        return finish(table, texts, items, removed(sampler, items, found))
 
     shared = X.resolve(X.emit(frame, first), share_anchors)
-    settled = X.resolve(X.answer(frame, shared, second), settle)
+    wanted = X.resolve(X.answer(frame, shared, second), asked)
+    settled = X.resolve(X.answer(frame, wanted, third), settle)
     return X.answer(frame, settled, last, schema)
