@@ -37,6 +37,11 @@ ARROW = pa.schema([("key", pa.int64()), ("src", pa.int64()), ("kind", pa.int32()
                    ("h", pa.binary()), ("x", pa.binary()), ("y", pa.binary())])
 
 
+def small_batches(spark):
+    """Bound an Arrow batch by bytes, not only by rows: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def carried(docs, names):
     """The named columns as one struct ``carried``, with its schema text; nothing if there are none."""
     if not names:
@@ -76,11 +81,11 @@ def ids_of(table):
 
 
 def rows(items):
-    """Message rows from (key, src, kind, h, x, y); ``h`` ascending, x and y may be None."""
+    """Message rows from (key, src, kind, h, x, y); ``h`` ascending, x and y may be None, x raw bytes."""
     out = {name: [] for name in ARROW.names}
     for key, src, kind, h, x, y in items:
         for name, value in zip(ARROW.names, (key, src, kind, len(h), K.pack_sorted(h),
-                                             K.pack(x) if x is not None else None,
+                                             x if x is None or isinstance(x, bytes) else K.pack(x),
                                              K.pack(y) if y is not None else None)):
             out[name].append(value)
     return pa.table(out, schema=ARROW)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidelake.llm import (op1_licenses, op2_substring, op3_suffixes, op4_rules, op5_classes, op6_mixture, op7_jaccard,
                           op8_lines, op9_decontaminate, op10_forest)
+from tidelake.llm.exchange import small_batches
 from tidelake.plans.registry import table
 
 QUERIES, SQL = {}, {}
@@ -12,8 +13,7 @@ QUERIES, SQL = {}, {}
 def query(sql=None):
     def register(fn):
         def run(spark, sf_dir):
-            # long texts: an Arrow batch is bounded by bytes, not only by rows
-            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+            small_batches(spark)
             return fn(spark, sf_dir)
 
         run.__name__ = fn.__name__
@@ -63,7 +63,31 @@ def op5_class_bigrams(spark, sf_dir):
     return op5_classes.score_texts(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+num AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM src),
+w AS (SELECT *, (1 + sid % 3)::DOUBLE AS weight, 3 * source_size AS most, 3 * source_size / (1 + sid % 3)::DOUBLE AS level FROM num),
+c AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY level, sid ROWS BETWEEN UNBOUNDED PRECEDING
+                                                                       AND 1 PRECEDING), 0))::DOUBLE
+                / sum(weight) OVER (ORDER BY level, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS common FROM w),
+g AS (SELECT sid, source, source_size, least(most::DOUBLE, weight * (SELECT arg_min(common, (level, sid)) FROM c WHERE common <= level))
+             AS target FROM c),
+b AS (SELECT sum(source_size)::BIGINT AS total, greatest(1, least(4096, greatest(
+             floor(min(target) FILTER (target > 0) / 500), ceil(sum(source_size)::DOUBLE / 2097152))))::BIGINT AS block FROM g),
+ranges AS (SELECT sid, low, lead(low, 1, 2.0) OVER (ORDER BY low, sid) AS high FROM (
+           SELECT sid, target, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                               / sum(target) OVER () AS low FROM g) WHERE target > 0),
+slots AS (SELECT i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS point
+          FROM b, unnest(range(ceil(total::DOUBLE / block)::BIGINT)) AS t(i)),
+counts AS (SELECT sid, count(*) AS n FROM slots JOIN ranges ON point >= low AND point < high GROUP BY sid),
+streams AS (SELECT g.*, least(coalesce(n, 0) * block, 3 * source_size) AS stream FROM g CROSS JOIN b LEFT JOIN counts ON g.sid = counts.sid),
+laid AS (SELECT s.*, source_size, target, stream, coalesce(sum(size) OVER (PARTITION BY sid ORDER BY md5('mix:' || doc_id), doc_id, size
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+         FROM s JOIN streams ON s.source IS NOT DISTINCT FROM streams.source)
+SELECT doc_id, size, source_size, target, (greatest(0, least(size, stream - start)) + greatest(0, least(size, stream - start - source_size))
+       + greatest(0, least(size, stream - start - 2 * source_size)))::BIGINT AS taken FROM laid
+""")
 def op6_source_mix(spark, sf_dir):
     return op6_mixture.mix(table(spark, sf_dir, "documents"))[0].drop("source")
 
