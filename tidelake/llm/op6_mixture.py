@@ -25,7 +25,7 @@ LEAST_BLOCKS = 500
 # so many slots at most as long as blocks are below BLOCK_WORDS
 SLOTS = 1 << 21
 # rows of one running total; a source with more is cut into ranges of its shuffle order
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 4_000
 
 
 def sizes(docs, id_col="doc_id", text_col="text", source_col="source"):
