@@ -166,3 +166,46 @@ def test_blocks_depend_on_ids_only(spark, odd):
     frame, _, count = X.blocks(odd, block_bytes=500)
     assert count > 3
     assert frame.where("doc_id IS NOT NULL").where(F.col("block") != X.block_of("doc_id", count)).isEmpty()
+
+
+def test_bitmaps_never_differ_by_more_than_the_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for size, other in ((5, 9), (300, 280), (1000, 1100), (1024, 1025)):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.append(a[:len(a) // 2], rng.integers(0, 1 << 63, other - len(a) // 2).astype(np.uint64)))
+        width, maps = op7_jaccard.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        ends = np.cumsum(width // 8)
+        both = op7_jaccard.folded([maps[:ends[0]], maps[ends[0]:ends[1]]])
+        apart = len(np.setxor1d(a, b))
+        assert 0 < np.bitwise_count(both[0] ^ both[1]).sum() <= apart
+        same = op7_jaccard.folded([maps[:ends[0]], maps[:ends[0]]])
+        assert (same[0] == same[1]).all()
+
+
+def test_a_group_whose_smallest_id_is_at_its_edge(spark):
+    import random
+
+    # the original has a large id; its copies link with it, hardly with each other
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1000, " ".join(base))]
+    for i in range(40):
+        words = list(base)
+        for k in rng.sample(range(200), 3):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    want = brute.jaccard(rows, 3, 90)
+    assert len({c for _, _, c in want}) == 1
+    have = op7_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert rows_of(have, "doc_id", "n_shingles", "component_id") == ordered(want)
+
+
+def test_stars_cover_every_member_that_is_near_another():
+    import numpy as np
+
+    near = np.random.default_rng(2).random((30, 20)) < 0.1
+    row, column = op7_jaccard.hubs(near)
+    assert near[row, column].all() and len(row) <= 50 and len(row) >= max(near.any(axis=1).sum(), near.any(axis=0).sum()) // 2
+    assert len(op7_jaccard.hubs(np.zeros((3, 3), dtype=bool))[0]) == 0

@@ -19,12 +19,12 @@ from tidelake.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SETS, KEYS, LINKED, SAME, LIST, SIZE, TRY = 1, 2, 3, 4, 5, 6, 7
+SETS, KEYS, LINKED, SAME, LIST, SIZE, BITMAP = 1, 2, 3, 4, 5, 6, 7
 # sets compared with one centre in one task
 LEAVES = 64
 # members of an undecided list compared in one task
 CHUNK = 1024
-BITS = 1024
+LEAST_BITS = 256
 
 
 @dataclass(frozen=True)
@@ -145,6 +145,35 @@ def part_keys(member, first, chosen, rule):
     return np.concatenate(keys), np.concatenate(texts)
 
 
+# bitmaps that rule pairs out: two sets differ by at least as many members as their bitmaps do in bits
+
+
+def bitmaps(member, first):
+    """(bits of each text's bitmap, all bitmaps one after the other): parity of the members of each remainder.
+
+    A bitmap has at least as many bits as the set has members, a power of two.
+    """
+    size = np.diff(first)
+    width = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(width)])
+    doc = K.owners(first)
+    place = start[doc] + (member & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
+    return width, np.packbits((np.bincount(place, minlength=start[-1]) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(maps):
+    """Bitmaps of different lengths as rows of equal length: halves are added up, as remainders are."""
+    least = min(map(len, maps))
+    out = np.empty((len(maps), least), dtype=np.uint8)
+    for length in set(map(len, maps)):
+        rows = [i for i, m in enumerate(maps) if len(m) == length]
+        part = np.frombuffer(b"".join(maps[i] for i in rows), dtype=np.uint8).reshape(len(rows), -1)
+        while part.shape[1] > least:
+            part = part[:, :part.shape[1] // 2] ^ part[:, part.shape[1] // 2:]
+        out[rows] = part
+    return out.view(np.uint64)
+
+
 # which sets share a key
 
 
@@ -183,11 +212,19 @@ def send_keys(rule, block, table, found, buckets):
     own = use[stands[use] == ids[use]]
     _, one = np.unique(np.column_stack([ids[own].view(np.uint64), key[own]]), axis=0, return_index=True)
     own = np.sort(own[one])
-    out = []
+    by = np.argsort(ids.view(np.uint64), kind="stable")
+    # every row's size, also of rows without an id
+    out = [(block % buckets, block, SIZE, ids[by].view(np.uint64), size[by], (~active[by]).astype(np.uint64))]
     copies = use[stands[use] != ids[use]]
     if len(copies):
         by = np.argsort(ids[copies].view(np.uint64))
         out.append((block % buckets, block, SAME, ids[copies][by].view(np.uint64), stands[copies][by], None))
+    by = own[np.argsort(ids[own].view(np.uint64), kind="stable")]
+    if len(by):
+        bounds = np.concatenate([[0], np.cumsum(size[by])])
+        chosen = np.concatenate([member[first[i]:first[i + 1]] for i in by.tolist()])
+        width, maps = bitmaps(chosen, bounds)
+        out.append((block % buckets, block, BITMAP, ids[by].view(np.uint64), maps, width))
     keys, docs, marks = [], [], []
     for i in own[size[own] < rule.boundary].tolist():
         if rule.spare(int(size[i])):
@@ -208,9 +245,11 @@ def send_keys(rule, block, table, found, buckets):
 def meet(rule, bucket, table):
     """Links that subsets prove, and per list of parts the pairs with its first document."""
     out = []
-    for row in table.select(["src", "kind", "n", "h", "x"]).to_pylist():
-        if row["kind"] == SAME:
-            out.append((row["src"], bucket, SAME, K.unpack_sorted(row["h"], row["n"]), K.unpack(row["x"], row["n"]), None))
+    for row in table.select(["src", "kind", "n", "h", "x", "y"]).to_pylist():
+        if row["kind"] in (SAME, SIZE, BITMAP):  # only passed on
+            x = row["x"] if row["kind"] == BITMAP else K.unpack(row["x"], row["n"])
+            y = K.unpack(row["y"], row["n"]) if row["y"] else None
+            out.append((row["src"], bucket, row["kind"], K.unpack_sorted(row["h"], row["n"]), x, y))
     _, h, x, y = X.gather(table, KEYS)
     if not len(h):
         return out
@@ -252,6 +291,39 @@ def flat(messages, kind, names):
     return messages.where(F.col("kind") == kind).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def flat_bitmaps(messages):
+    """(own, bitmap) of one document per distinct set; ids can repeat."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.select(["n", "h", "x", "y"]).to_pylist():
+                ends = np.cumsum(K.unpack(row["y"], row["n"]).astype(np.int64) // 8).tolist()
+                maps = [row["x"][a:b] for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(K.unpack_sorted(row["h"], row["n"]).view(np.int64)), pa.array(maps, pa.binary())],
+                                                 names=["own", "bitmap"])
+
+    return messages.where(F.col("kind") == BITMAP).mapInArrow(run, "own long, bitmap binary")
+
+
+def may_link(pairs, maps, rule):
+    """The pairs (a, b, size_a, size_b) whose bitmaps do not rule a link out."""
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            for a, b, total in zip(batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist(),
+                                   (batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()).tolist()):
+                both = folded([a, b])
+                apart = int(np.bitwise_count(both[0] ^ both[1]).sum())
+                near.append(apart * (100 + rule.percent) <= (100 - rule.percent) * total)
+            kept = batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield kept
+
+    one, two = (maps.select(F.col("own").alias(f"own_{k}"), F.col("bitmap").alias(f"map_{k}")) for k in "ab")
+    joined = pairs.join(one, F.col("a") == F.col("own_a")).join(two, F.col("b") == F.col("own_b"))
+    return joined.select("a", "b", "size_a", "size_b", "map_a", "map_b").mapInArrow(run, "a long, b long").distinct()
+
+
 # exact comparison of candidate pairs
 
 
@@ -311,59 +383,100 @@ def size_fits(rule):
     return F.col("size_a") * 100 >= F.col("size_b") * rule.percent
 
 
-def undecided(frame, count, lists, labels, rule):
-    """Pairs of documents of one list in different components that may still link.
+def open_lists(maps, lists, labels):
+    """The members of lists that hold several components, with their bitmaps; in chunks that meet pairwise.
 
-    Each document is given a parity bitmap of its set: two sets differ by at least as
-    many members as their bitmaps do in bits, which rules out nearly all pairs that do
-    not link. Lists meet in pairs of chunks of about CHUNK members.
+    Two members have been compared already: one of them is the smallest.
     """
     members = lists.join(labels, lists.doc == labels.node, "left").select(
         "name", "doc", "size", F.coalesce("component", "doc").alias("component"))
     split = members.groupBy("name").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = materialize(members.join(split.where("low < high").select("name", "n"), "name"), "undecided")
-    asked = open_.select("doc").distinct().withColumn("to", X.block_of("doc", count))
-
-    def sketch(key, table, wanted):
-        docs_, maps = [], []
-        if wanted.num_rows and table.num_rows:
-            table = X.in_order(table)
-            ids, _ = X.ids_of(table)
-            some = np.flatnonzero(np.isin(ids, wanted.column("doc").to_numpy()) & ~table.column("doc_id").is_null().to_numpy())
-            member, first = shingle_sets(table.column("text").take(pa.array(some)), rule.shingle)
-            for k, i in enumerate(some.tolist()):
-                bits = np.bincount((member[first[k]:first[k + 1]] % K.U(BITS)).astype(np.int64), minlength=BITS) & 1
-                docs_.append(int(ids[i]))
-                maps.append(np.packbits(bits.astype(np.uint8)).tobytes())
-        return pa.table({"own": pa.array(docs_, pa.int64()), "bitmap": pa.array(maps, pa.binary())})
-
-    maps = frame.groupBy("block").cogroup(asked.groupBy("to")).applyInArrow(sketch, "own long, bitmap binary")
-    rows = open_.join(maps, open_.doc == maps.own).select("name", "doc", "size", "component", "bitmap", "n")
+    left = members.join(split.where("low < high AND n > 2").select("name", "n"), "name")
+    rows = left.join(maps, left.doc == maps.own).select("name", "doc", "size", "component", "bitmap", "n")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc"), chunks).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.withColumn("first", F.least("chunk", "with")).withColumn("second", F.greatest("chunk", "with"))
-
+    return rows.withColumn("first", F.least("chunk", "with")).withColumn("second", F.greatest("chunk", "with"))
+
+
+def near_pairs(table, low, high, rule):
+    """Matrix of the pairs of two chunks in different components that bitmaps do not rule out."""
+    chunk, doc = table.column("chunk").to_numpy(), table.column("doc").to_numpy()
+    size, comp = table.column("size").to_numpy(), table.column("component").to_numpy()
+    bits = folded(table.column("bitmap").to_pylist())
+    left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+    near = np.zeros((len(left), len(right)), dtype=bool)
+    for row, i in enumerate(left.tolist()):
+        apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1).astype(np.int64)
+        # linked: difference <= (1 - t) / (1 + t) * (a + b)
+        near[row] = (apart * (100 + rule.percent) <= (100 - rule.percent) * (size[right] + size[i])) & (comp[right] != comp[i])
+    return doc[left], doc[right], near
+
+
+def hubs(near):
+    """Stars of a matrix of near pairs: (rows, columns) with each member in one star at most, largest first."""
+    near, rows, columns = near.copy(), [], []
+    while near.any():
+        by_row, by_column = near.sum(axis=1), near.sum(axis=0)
+        if by_row.max() >= by_column.max():
+            hub = int(by_row.argmax())
+            found = np.flatnonzero(near[hub])
+            rows.append(np.full(len(found), hub))
+            columns.append(found)
+            near[hub] = False
+            near[:, found] = False
+        else:
+            hub = int(by_column.argmax())
+            found = np.flatnonzero(near[:, hub])
+            rows.append(found)
+            columns.append(np.full(len(found), hub))
+            near[:, hub] = False
+            near[found] = False
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *columns])
+
+
+def undecided(maps, lists, labels, rule, buckets, stars):
+    """Pairs of one list and different components that may link: stars of them, or all.
+
+    A pair is in many lists: lists send packed pairs to hash ranges, where each is told once.
+    """
     def pairs(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        chunk, doc = table.column("chunk").to_numpy(), table.column("doc").to_numpy()
-        size, comp = table.column("size").to_numpy(), table.column("component").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-        left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
-        a, b = [], []
-        for i in left.tolist():
-            other = right[doc[right] > doc[i]] if low == high else right
-            total = size[other] + size[i]
-            other, total = other[comp[other] != comp[i]], total[comp[other] != comp[i]]
-            apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1)
-            # linked: difference <= (1 - t) / (1 + t) * (a + b)
-            near = other[apart * (100 + rule.percent) <= (100 - rule.percent) * total]
-            a.append(np.minimum(doc[near], doc[i]))
-            b.append(np.maximum(doc[near], doc[i]))
-        a, b = (np.concatenate(v) if v else np.empty(0, dtype=np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("name", "first", "second").applyInArrow(pairs, "a long, b long").distinct()
+        left, right, near = near_pairs(table, key[1].as_py(), key[2].as_py(), rule)
+        row, column = hubs(near) if stars else np.nonzero(near)
+        a, b = np.minimum(left[row], right[column]), np.maximum(left[row], right[column])
+        mark = K.mix(K.mix(a.view(np.uint64)) * K.ODD + b.view(np.uint64))
+        _, one = np.unique(mark, return_index=True)
+        return X.rows(X.to_buckets(0, LIST, buckets, mark[one], a[one], b[one]))
+
+    def once(key, table):
+        _, mark, a, b = X.gather(table, LIST)
+        _, one = np.unique(mark, return_index=True)
+        return pa.table({"a": a[one].view(np.int64), "b": b[one].view(np.int64)})
+
+    packed = open_lists(maps, lists, labels).groupBy("name", "first", "second").applyInArrow(pairs, X.MESSAGE)
+    return packed.groupBy("key").applyInArrow(once, "a long, b long")
+
+
+def settle(frame, count, maps, lists, labels, rule, buckets):
+    """Labels after comparing what the first comparison of every list has left open.
+
+    First stars, which join most members of a large group by few comparisons; then all
+    pairs that are left, which are those of texts that are near but do not link.
+    """
+    tried = None
+    for stars in (True, False):
+        pairs = undecided(maps, lists, labels, rule, buckets, stars)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            break  # where no star is left, no pair is
+        links = materialize(compare(frame, count, pairs, rule), "links")
+        if not links.isEmpty():
+            labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "labels")
+        tried = pairs
+    return labels
 
 
 def boundary(docs, shingle, percent, choices=(10, 20, 30)):
@@ -411,26 +524,20 @@ def jaccard_components(docs, shingle=3, percent=90, id_col="doc_id", text_col="t
     links = flat(met, LINKED, ("a", "b"))
     lists = materialize(flat(met, LIST, ("name", "doc", "size")).distinct(), "lists")
     # every list is first compared with its smallest document
+    maps = materialize(flat_bitmaps(met), "bitmaps")
     centre = lists.groupBy("name").agg(F.min(F.struct("doc", "size")).alias("c"))
     tried = lists.join(centre, "name").where("doc != c.doc").select(
         F.col("c.doc").alias("a"), F.col("doc").alias("b"), F.least("c.size", "size").alias("size_a"),
-        F.greatest("c.size", "size").alias("size_b")).where(size_fits(rule)).select("a", "b").distinct()
+        F.greatest("c.size", "size").alias("size_b")).where(size_fits(rule)).distinct()
+    tried = may_link(tried, maps, rule)
     found = materialize(compare(frame, count, materialize(tried, "tried"), rule).union(links), "links")
     labels = materialize(components(found), "labels")
-    more = materialize(undecided(frame, count, lists, labels, rule), "pairs")
-    if not more.isEmpty():
-        extra = compare(frame, count, more, rule)
-        labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "labels")
-    return report(docs, same, labels, shingle)
+    labels = settle(frame, count, maps, lists, labels, rule, buckets)
+    return report(flat(met, SIZE, ("id", "n", "none")), same, labels)
 
 
-def report(docs, same, labels, shingle):
-    def count(batches):
-        for batch in pieces(batches):
-            _, first = shingle_sets(batch.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first))], names=["doc_id", "n_shingles"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_shingles long")
+def report(rows, same, labels):
+    rows = rows.select(F.when(F.col("none") == 0, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"))
     same = same.groupBy("doc").agg(F.min("rep").alias("rep"))
     known = same.join(labels, same.rep == labels.node, "left").select("doc", "rep", F.coalesce("component", "rep").alias("component"))
     known = known.union(labels.select("node", "node", "component").join(same, F.col("node") == same.doc, "left_anti"))
