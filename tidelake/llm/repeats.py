@@ -33,8 +33,15 @@ from tidelake.llm import kernels as K
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ANCHORS, PROVEN, OPEN = 1, 2, 3  # kinds of message entries
-# anchors need not be told apart by all 64 bits: a chance meeting only costs a look
-ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+
+def anchor_mask(size):
+    """The leading bits of anchor hashes that a table of so many bytes needs.
+
+    Anchors need not be told apart by all 64 bits: a chance meeting only costs a look, and at
+    11 bits more than the table has bytes one anchor in some thousands meets another.
+    """
+    bits = min(64, max(32, size.bit_length() + 11))
+    return np.uint64((1 << 64) - (1 << (64 - bits)))
 
 
 @dataclass
@@ -89,7 +96,7 @@ def smallest_holders(src, h, doc, more):
 
 def send_anchors(sampler, items, active, block, buckets):
     place, h = sampler.anchors(items, active)
-    h = h & ANCHOR_BITS
+    h = h & sampler.mask
     owner = items.owner[place]
     keys, doc, at, more = first_holders(h, items.ids[owner], place - items.offsets[owner])
     return X.to_buckets(block, ANCHORS, buckets, keys, doc, (at * 2 + more).astype(np.uint64))
@@ -114,7 +121,7 @@ def shared_anchors(sampler, items, active, found):
     order = np.argsort(h, kind="stable")
     h, least, at = h[order], x.view(np.int64)[order], y.astype(np.int64)[order]
     place, own = sampler.anchors(items, active)
-    own = own & ANCHOR_BITS
+    own = own & sampler.mask
     hit = K.lookup(own, h)
     k = np.flatnonzero(hit >= 0)
     return place, k, own[k], least[hit[k]], at[hit[k]]
@@ -146,7 +153,7 @@ def extend(sampler, items, active, found, block, buckets):
         at, anchor = at[free[at]], anchor[free[at]]
         open_[at[good[anchor]]] = True
         held = np.unique(anchor)
-        keys.append(sampler.keys(items, p[held], part) & ANCHOR_BITS)
+        keys.append(sampler.keys(items, p[held], part) & sampler.mask)
         doc.append(items.ids[owner[held]])
         asks.append(good[held])
     keys, doc, asks = np.concatenate(keys), np.concatenate(doc), np.concatenate(asks)
@@ -206,7 +213,7 @@ def send_windows(sampler, items, active, found, block, buckets):
         some = np.zeros(n, dtype=bool)
         for part in range(sampler.parts):
             fits = sampler.fitting(items, place, part)
-            wanted = fits[K.lookup(sampler.keys(items, fits, part) & ANCHOR_BITS, h) >= 0]
+            wanted = fits[K.lookup(sampler.keys(items, fits, part) & sampler.mask, h) >= 0]
             some[sampler.around(items, active, wanted, part)[0]] = True
         at = np.flatnonzero(some & K.covered(*items.windows(active), n) & ~K.covered(*spans(found, PROVEN), n))
         keys, doc, _, more = first_holders(sampler.whole(items, at), items.ids[items.owner[at]], at)
@@ -247,7 +254,8 @@ def remove_repeats(docs, read, sampler, finish, schema, window, id_col="doc_id",
 
     ``read(table, window)`` gives (texts, Items): how texts are cut into items.
     """
-    frame, buckets, _ = X.blocks(docs, id_col, text_col, **sizes)
+    frame, buckets, count = X.blocks(docs, id_col, text_col, **sizes)
+    sampler.mask = anchor_mask(count * sizes.get("block_bytes", X.BLOCK_BYTES))
 
     def first(block, table):
         _, items = read(table, window)
