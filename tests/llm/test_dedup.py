@@ -113,6 +113,17 @@ def test_every_boundary_gives_the_same_links(spark, odd, odd_rows, boundary, mon
     assert rows_of(have, "doc_id", "component_id") == ordered((i, c) for i, _, c in brute.jaccard(odd_rows, 2, 80))
 
 
+@pytest.mark.parametrize("shingle,percent,size", [(3, 90, 9), (5, 80, 4)])
+def test_a_whole_small_set_inside_a_larger_one(spark, shingle, percent, size):
+    # the smaller set can spare no member; the larger ones link through it only
+    words = [f"w{i}" for i in range(size + shingle + 1)]
+    rows = [(3, " ".join(words[:-1])), (2, " ".join(words[1:-1])), (1, " ".join(words[1:])), (4, " ".join(words[2:]))]
+    want = brute.jaccard(rows, shingle, percent)
+    assert sorted(n for _, n, _ in want) == [size, size, size + 1, size + 1] and {c for _, _, c in want} == {1}
+    have = op7_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle, percent)
+    assert rows_of(have, "doc_id", "n_shingles", "component_id") == ordered(want)
+
+
 def test_linked_sets_share_a_part():
     import numpy as np
 

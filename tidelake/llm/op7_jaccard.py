@@ -227,11 +227,11 @@ def send_keys(rule, block, table, found, buckets):
         out.append((block % buckets, block, BITMAP, ids[by].view(np.uint64), maps, width))
     keys, docs, marks = [], [], []
     for i in own[size[own] < rule.boundary].tolist():
-        if rule.spare(int(size[i])):
-            k, n = subset_keys(member[first[i]:first[i + 1]], rule)
-            keys.append(k)
-            docs.append(np.full(len(k), ids[i]))
-            marks.append((size[i] << 32) + n)
+        # a set that can spare no member has its whole set as key: larger sets may hold it
+        k, n = subset_keys(member[first[i]:first[i + 1]], rule)
+        keys.append(k)
+        docs.append(np.full(len(k), ids[i]))
+        marks.append((size[i] << 32) + n)
     k, text = part_keys(member, first, own[size[own] >= rule.small()], rule)
     keys.append(k)
     docs.append(ids[text])
