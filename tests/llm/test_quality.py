@@ -226,6 +226,21 @@ def test_small_sources_are_full_and_their_excess_goes_on(spark):
     check_mix(docs, [(s, t) for _, s, t in rows])
 
 
+def test_sources_below_a_block_meet_their_targets(spark, monkeypatch):
+    # a total above SLOTS blocks of the smallest target's size; null is the last source
+    monkeypatch.setattr(op6_mixture, "SLOTS", 1 << 11)
+    rows = [(k, "hot", "w " * 1000) for k in range(250)] + [(1000 + k, "z", "w " * 7) for k in range(3)] + [
+        (2000, None, "w " * 20), (3000, "b", "w"), (4000, "c", "w " * 130), (5000, "d", "w " * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    check_mix(docs, [(s, t) for _, s, t in rows])
+    result, pieces = op6_mixture.mix(docs)
+    taken = {r.source: r.t for r in result.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    want = water({"hot": 250000, "z": 21, None: 20, "b": 1, "c": 130, "d": 90})
+    assert taken == {s: max(1, round(goal)) for s, goal in want.items()}
+    sizes = pieces.groupBy("slot").agg(F.sum(F.col("high") - F.col("low")).alias("n")).agg(F.max("n")).first()[0]
+    assert sizes == op6_mixture.block_words(250262, min(want.values()))
+
+
 def test_mix_of_nothing(none, odd):
     assert op6_mixture.mix(none)[0].count() == 0
     empty = op6_mixture.mix(odd.withColumn("text", F.lit(" ")))[0].collect()

@@ -107,12 +107,29 @@ def schedule(spark, goals, total, block):
     return running(held.withColumn("one", F.lit(1)), "one", "rank", chunks, F.col("slot") / F.lit(float(slots)), ["slot"]).drop("one")
 
 
+def fill(slots, quotas, block, count):
+    """The slots of each source so that they hold its quota: surplus ones go, missing ones follow the ``count`` slots.
+
+    A schedule of points is off by a few slots per source, so few are added; the window
+    here runs over those.
+    """
+    had = slots.groupBy("sid").agg(F.count("*").alias("had"))
+    quotas = quotas.join(had, "sid", "left").select(
+        "sid", F.coalesce("had", F.lit(0)).alias("had"), F.ceil(F.col("quota") / block).alias("needed"))
+    kept = slots.join(quotas.select("sid", "needed"), "sid").where("rank < needed").select("slot", "sid", "rank")
+    extra = quotas.where("had < needed").select("sid", F.explode(F.sequence(F.col("had"), F.col("needed") - 1)).alias("rank"))
+    slot = F.row_number().over(Window.orderBy("rank", "sid")) - 1 + count
+    return kept.union(extra.select(slot.cast("long").alias("slot"), "sid", "rank"))
+
+
 def mix(docs, id_col="doc_id", text_col="text", source_col="source", weights=(1, 2, 3), most=3, seed="mix"):
     """(documents with their size, target and taken words; the mix itself), for target weights.
 
     Documents of a source are shuffled by a hash of their id and laid end to end; the
     stream is cut into blocks of equal word count, going round again when it ends. The
-    k-th slot of a source takes its k-th block. The mix has one row per slot and document
+    k-th slot of a source takes its k-th block. Where SLOTS makes blocks too large for the
+    smallest target, each source ends at its own target in words, at least one, with a
+    partial last block. The mix has one row per slot and document
     in it: slot, doc_id, source, low, high (word numbers). No document is taken more than
     ``most`` times. Documents without words are never taken; a source of only such
     documents has target 0; null is a source of its own. Equal ids and repeated rows are
@@ -131,9 +148,15 @@ def mix(docs, id_col="doc_id", text_col="text", source_col="source", weights=(1,
     placed = running(placed, "size", "start", max(1, math.ceil(count / CHUNK_ROWS)), position, ["mark", "doc_id", "size"])
     placed = materialize(placed.drop("mark"), "streams")
     slots = materialize(schedule(spark, goals, total, block), "schedule")
-    taken = F.least(F.col("slots") * block, most * F.col("source_size"))
-    lengths = slots.groupBy("sid").agg(F.count("*").alias("slots"))
-    lengths = lengths.join(goals.select("sid", "source_size"), "sid").select("sid", taken.alias("stream"))
+    if block > max(1, (whole["least"] or 0) // LEAST_BLOCKS):
+        quota = F.greatest(F.lit(1), F.round("target")).cast("long")
+        lengths = materialize(goals.where("target > 0").select("sid", quota.alias("quota")), "quotas")
+        slots = materialize(fill(slots, lengths, block, math.ceil(total / block)), "filled")
+        lengths = lengths.withColumnRenamed("quota", "stream")
+    else:
+        taken = F.least(F.col("slots") * block, most * F.col("source_size"))
+        lengths = slots.groupBy("sid").agg(F.count("*").alias("slots"))
+        lengths = lengths.join(goals.select("sid", "source_size"), "sid").select("sid", taken.alias("stream"))
     # once round the source for every time its stream goes round
     laid = placed.where("size > 0").join(F.broadcast(lengths) if goals.count() <= CHUNK_ROWS else lengths, "sid")
     laid = laid.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
