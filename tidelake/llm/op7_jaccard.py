@@ -512,7 +512,8 @@ def jaccard_components(docs, shingle=3, percent=90, id_col="doc_id", text_col="t
     and representative (smallest id with the very same set), one row per input row.
     A text with fewer words has its whole sequence as one shingle; null and blank texts have
     none and link with nothing. Rows without an id have a null component; rows with equal
-    ids are one document in links. Other columns are not read.
+    ids are one document in links. Other columns are not read. Only components are
+    returned, not the linked pairs: pairs inside one component are not all compared.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rule = Rule(shingle, percent, boundary(docs, shingle, percent))
