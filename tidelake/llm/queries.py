@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelake.llm import (op1_licenses, op2_substring, op3_suffixes, op4_rules, op5_classes, op6_mixture, op7_jaccard,
-                          op8_lines, op9_decontaminate, op10_forest, op11_merkle, op13_interactions)
+                          op8_lines, op9_decontaminate, op10_forest, op11_merkle, op12_packing, op13_interactions)
 from tidelake.llm.exchange import small_batches
 from tidelake.plans.registry import table
 
@@ -194,6 +194,13 @@ def op11_merkle_manifest(spark, sf_dir):
                         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query()
+def op12_nnls_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return op12_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
