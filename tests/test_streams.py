@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidelake.functions.times import parse_event_time
 from tidelake.plans import streams
 from tidelake.session import run_dir
-from tidelake.sources import topics
+from tidelake.sources import places, topics
 from tidelake.streaming import jobs, windows
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
@@ -69,6 +69,80 @@ def test_writers_append_and_only_a_replay_replaces_itself(spark):
     assert topics.read_topic(spark, "t", place, streaming=False).count() == 65
 
 
+def test_a_batch_that_runs_again_adds_nothing_downstream(spark):
+    place, first, second, out = backend(spark), run_dir(spark, "first"), run_dir(spark, "second"), run_dir(spark, "out")
+    read = T.StructType([T.StructField("id", T.LongType())])
+
+    def run():
+        jobs.topic_job(spark, "in", "middle", place, first).awaitTermination()
+        live = topics.decode(topics.read_topic(spark, "middle", place), read)
+        jobs.stream_to_table(live.select("id"), out, second).awaitTermination()
+        return sorted(r["id"] for r in spark.read.parquet(out).collect())
+
+    for step in range(3):
+        topics.write_topic(raw(spark, [(f"k{i}", f'{{"id": {i}}}') for i in range(5 * step, 5 * step + 5)]), "in", place)
+        want = list(range(5 * step + 5))
+        assert run() == want
+        # as after a failure between the write and the commit: the batch is run again
+        places.delete(spark, f"{first}/commits/{step}")
+        assert run() == want
+    assert topics.read_topic(spark, "middle", place, streaming=False).count() == 15
+
+
+def test_a_write_that_did_not_end_is_not_seen(spark):
+    place = backend(spark)
+    frame = raw(spark, [("k", '{"id": 1}')])
+    topics.write_topic(frame, "t", place)
+    frame.write.parquet(f"{place.staging()}/write=x-1")  # a driver that was lost before it named its write
+    assert topics.read_topic(spark, "t", place, streaming=False).count() == 1
+    path = topics.append(frame, "t", place, "x-1")
+    assert path == topics.append(frame, "t", place, "x-1") and path.endswith("seq=1/write=x-1")
+    assert topics.read_topic(spark, "t", place, streaming=False).count() == 2
+
+
+def test_a_taken_place_in_the_sequence_is_left_alone(spark):
+    place = backend(spark)
+    one = topics.append(raw(spark, [("k", '{"id": 1}')]), "t", place)
+    other = place.staging()
+    raw(spark, [("k", '{"id": 2}')]).write.parquet(f"{other}/write=b")
+    assert not places.move_new(spark, other, one.rpartition("/write=")[0])
+    assert places.exists(spark, f"{other}/write=b") and len(places.found(spark, f"{place.path('t')}/seq=*")) == 1
+
+
+def test_partitions_and_offsets(spark):
+    place = topics.FolderTopics(run_dir(spark, "topics"), partitions=3, lanes=2)
+    rows = [(f"k{i % 7}", f'{{"id": {i}}}') for i in range(60)] + [("hot", f'{{"id": {i}}}') for i in range(60, 160)] + [(None, None)]
+    for _ in range(2):
+        topics.write_topic(raw(spark, rows), "t", place)
+    got = topics.read_topic(spark, "t", place, streaming=False).collect()
+    assert len({(r["partition"], r["offset"]) for r in got}) == len(got) == 322
+    assert all(0 <= r["partition"] < 3 for r in got)
+    of = {}
+    for r in got:
+        of.setdefault(r["key"], set()).add(r["partition"])
+    assert all(len(p) == 1 for p in of.values())
+    live = topics.read_topic(spark, "t", place)
+    jobs.stream_to_table(live, run_dir(spark, "o") + "/x", run_dir(spark, "os")).awaitTermination()
+    # from given offsets on: the second write only
+    later = topics.read_topic(spark, "t", place, starting={p: 1 << topics.PLACE_BITS for p in range(3)}, streaming=False)
+    assert later.count() == 161
+    one = topics.read_topic(spark, "t", place, starting={0: 1 << 62}, streaming=False)
+    assert {r["partition"] for r in one.select("partition").distinct().collect()} == {r["partition"] for r in got} - {0}
+
+
+def test_every_message_is_reported(spark):
+    place, reports = backend(spark), []
+    topics.write_topic(raw(spark, [("a", '{"id": 1}'), ("b", '{"id": 2, "v": "' + "x" * 100 + '"}'), (None, None)]), "in", place)
+    messages = topics.read_topic(spark, "in", place).select("key", "value", "timestamp")
+    topics.write_topic(messages, "out", place, run_dir(spark, "state"),
+                       lambda report, number: reports.extend(report.collect()), max_bytes=50).awaitTermination()
+    told = {r["key"] and bytes(r["key"]).decode(): r for r in reports}
+    assert len(reports) == 3 and "50 bytes" in told["b"]["error"] and told["b"]["offset"] is None
+    sent = topics.read_topic(spark, "out", place, streaming=False).collect()
+    assert {(r["partition"], r["offset"]) for r in sent} == {(r["partition"], r["offset"]) for r in reports if not r["error"]}
+    assert len(sent) == 2 and topics.delivery_report(spark.createDataFrame(reports)).first()["messages"] == 2
+
+
 def test_topic_job_changes_messages_and_reports_delivery(spark):
     place, reports = backend(spark), []
     topics.write_topic(raw(spark, [("k", '{"id": 1}'), ("k", '{"id": 2}')]), "in", place)

@@ -129,10 +129,58 @@ def decode_messages(spark, sf):
     return decoded(raw, zone_less=True)
 
 
-@query("SELECT event_id, ts FROM events ORDER BY ts LIMIT 10")
+@query("SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 10")
 def first_messages(spark, sf):
     raw = topics.read_topic(spark, "events", events_topic(spark, sf), streaming=False)
-    return decoded(raw.orderBy("timestamp").limit(10), zone_less=True).select("event_id", "ts")
+    return decoded(raw, zone_less=True).select("event_id", "ts").orderBy("ts", "event_id").limit(10)
+
+
+PARTITION = "CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 4 AS INTEGER)"
+
+
+@query(f"""SELECT {PARTITION} AS "partition", count(*) AS messages, count(*) AS offsets, count(DISTINCT user_id) AS n_keys,
+                  count(*) FILTER (event_id % 2 = 0) AS from_first_half
+           FROM events GROUP BY 1""")
+def message_offsets(spark, sf):
+    # two writes; offsets of a partition are all different, and those of the second write come later
+    backend, events = topics.FolderTopics(run_dir(spark, "offsets")), table(spark, sf, "events")
+    even = F.col("event_id") % 2 == 0
+    for part in (events.filter(even), events.filter(~even)):
+        topics.write_topic(messages(part), "events", backend)
+    rows = topics.read_topic(spark, "events", backend, streaming=False)
+    first = rows.select("partition", "key", (F.col("offset") < (1 << topics.PLACE_BITS)).cast("int").alias("early"), "offset")
+    return first.groupBy("partition").agg(
+        F.count("*").alias("messages"), F.count_distinct("offset").alias("offsets"), F.count_distinct("key").alias("n_keys"),
+        F.sum("early").alias("from_first_half"))
+
+
+@query(f"""SELECT user_id, {PARTITION} AS "partition", count(*) AS n FROM events GROUP BY 1, 2""")
+def delivered_messages(spark, sf):
+    # the report of every message, batch by batch
+    backend, reports = events_topic(spark, sf), run_dir(spark, "reports")
+
+    def keep(report, number):
+        report.write.mode("overwrite").parquet(f"{reports}/batch={number}")
+
+    jobs.topic_job(spark, "events", "sent", backend, run_dir(spark, "job"), on_batch=keep).awaitTermination()
+    rows = spark.read.parquet(reports).filter("error IS NULL").dropDuplicates(["partition", "offset"])
+    return rows.groupBy(F.col("key").cast("string").cast("long").alias("user_id"), "partition").agg(F.count("*").alias("n"))
+
+
+@query(SAME)
+def topic_chain(spark, sf):
+    # two jobs in a row, started anew for every part of the month
+    events, path = table(spark, sf, "events"), run_dir(spark, "chained")
+    first, second, state = run_dir(spark, "first"), run_dir(spark, "second"), run_dir(spark, "chained-state")
+
+    def run(backend):
+        jobs.topic_job(spark, "events", "middle", backend, first).awaitTermination()
+        jobs.topic_job(spark, "middle", "last", backend, second).awaitTermination()
+        return jobs.stream_to_table(decoded(topics.read_topic(spark, "last", backend)), path, state)
+
+    staged(spark, [days(events, 1, 15), days(events, 16)], run)
+    return spark.read.parquet(path).select(
+        *[F.col(c).cast("timestamp_ntz").alias(c) if c == "ts" else c for c in FIELDS])
 
 
 @query(SAME)
@@ -146,8 +194,8 @@ def topic_passthrough(spark, sf):
 def delivery_report(spark, sf):
     backend, reports = events_topic(spark, sf), run_dir(spark, "reports")
 
-    def report(written, number):
-        topics.delivery_report(written).write.mode("overwrite").parquet(f"{reports}/batch={number}")
+    def report(delivered, number):
+        topics.delivery_report(delivered).write.mode("overwrite").parquet(f"{reports}/batch={number}")
 
     jobs.topic_job(spark, "events", "sent", backend, run_dir(spark, "job"), on_batch=report).awaitTermination()
     return spark.read.parquet(reports).groupBy("topic").agg(
