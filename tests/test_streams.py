@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.functions.times import parse_event_time
+from tidelake.operators import features
 from tidelake.plans import streams
 from tidelake.session import run_dir
 from tidelake.sources import places, topics
-from tidelake.streaming import jobs, windows
+from tidelake.streaming import jobs, stateful, windows
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
 
@@ -228,7 +229,7 @@ def run_steps(spark, steps, make):
 
 def test_patterns_wait_for_rows_out_of_order(spark):
     def make(live):
-        return jobs.match_stream(live, "user_id", "ts", "event_type", "view", "purchase", "6 hours", "event_id", "3 hours")
+        return stateful.match_stream(live, "user_id", "ts", "event_type", "view", "purchase", "6 hours", "event_id", "3 hours")
 
     steps = [event_rows(spark, (1, 1, 0, "view", 1.0), (4, 1, 6.5, "purchase", 1.0), (7, None, 1, "view", 1.0)),
              # comes later but lies between the two; then a row far behind the watermark
@@ -241,7 +242,7 @@ def test_patterns_wait_for_rows_out_of_order(spark):
 
 def test_anomalies_wait_for_rows_out_of_order(spark):
     def make(live):
-        return jobs.anomaly_stream(live.select("event_id", "user_id", "ts", "value"), "user_id", "ts", "value", 3, 2.0,
+        return stateful.anomaly_stream(live.select("event_id", "user_id", "ts", "value"), "user_id", "ts", "value", 3, 2.0,
                                    "event_id", "3 hours")
 
     values = [1.0, 2.0, None, 1.5, 50.0, 1.0, 2.0]
@@ -253,6 +254,27 @@ def test_anomalies_wait_for_rows_out_of_order(spark):
                    6: (17.5, False)}
 
 
+def test_a_hot_key_is_cut_by_time_and_given_once(spark):
+    """One key has most rows and equal times; slices of an hour; compared with the batch operators."""
+    rows = [(i, 7 if i % 4 else i % 3, (i * 37 % 500) / 20, "view" if i % 3 else "purchase", float(i * 7919 % 101)) for i in range(600)]
+    events = event_rows(spark, *rows, (900, None, 3.0, "view", 1.0), (901, None, 3.0, "purchase", None), (999, 1, 100.0, "view", 1.0))
+    live = streams.replayed(spark, [events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1")])
+    flagged = streams.landed(stateful.anomaly_stream(
+        live.select("event_id", "user_id", "ts", "value"), "user_id", "ts", "value", 5, 1.5, "event_id", "30 hours", width="1 hour",
+        buckets=3), "hot")
+    want = features.flag_anomalies(events.filter("event_id < 999").select("event_id", "user_id", "ts", "value"), "user_id", "ts",
+                                   "value", 5, 1.5, "event_id")
+    both = [{r["event_id"]: (None if r["mean_before"] is None else round(r["mean_before"], 6), r["is_anomaly"]) for r in f.collect()}
+            for f in (flagged, want)]
+    assert both[0] == both[1] and len(both[0]) == 602 and sum(r[1] for r in both[0].values()) > 10
+    live = streams.replayed(spark, [events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1")])
+    pairs = streams.landed(stateful.match_stream(live, "user_id", "ts", "event_type", "view", "purchase", "6 hours", "event_id", "30 hours",
+                                                 width="1 hour", buckets=3, lanes=2), "pairs")
+    batch = features.match_sequence(events, "user_id", "ts", "event_type", "view", "purchase", "6 HOURS", "event_id")
+    have, want = ([(r["event_id"], r["next_id"]) for r in f.collect()] for f in (pairs, batch))
+    assert sorted(have) == sorted(want) and len(have) > 200
+
+
 def test_the_highest_sequence_wins_across_batches(spark):
     target = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 0.0)], "k int, v double")
     schema = "k int, v double, seq long, op string"

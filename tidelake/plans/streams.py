@@ -12,7 +12,7 @@ from tidelake.plans.lake import LOG
 from tidelake.plans.registry import query, table
 from tidelake.session import run_dir
 from tidelake.sources import topics
-from tidelake.streaming import jobs, windows
+from tidelake.streaming import jobs, stateful, windows
 
 PAYLOAD = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.StringType()),
@@ -73,6 +73,14 @@ def staged(spark, steps, run) -> None:
         run(backend).awaitTermination()
 
 
+def replayed(spark, steps) -> DataFrame:
+    """The steps as one stream; each is a micro-batch of its own."""
+    backend = topics.FolderTopics(run_dir(spark, "replayed"), partitions=1, lanes=1)
+    for step in steps:
+        topics.write_topic(messages(step), "events", backend)
+    return decoded(topics.read_topic(spark, "events", backend, max_files=1))
+
+
 def days(events: DataFrame, first: int, last: int | None = None) -> DataFrame:
     """Events of the days ``first`` to ``last``, counted from 1 at the day of the first event."""
     start = events.agg(F.to_date(F.min("ts"))).first()[0]
@@ -455,16 +463,10 @@ def apply_changes_stream(spark, sf):
                 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
           WHERE ts <= date_trunc('millisecond', {CLOSED_DAY})""")
 def anomaly_stream(spark, sf):
-    path, mark = run_dir(spark, "flagged"), run_dir(spark, "flagged-state")
-
-    def run(backend):
-        rows = decoded(topics.read_topic(spark, "events", backend)).select("event_id", "user_id", "ts", "value")
-        found = jobs.anomaly_stream(rows, "user_id", "ts", "value", 20, 2.5, "event_id", "1 day")
-        return jobs.stream_to_table(found, path, mark)
-
-    staged(spark, mixed_up(table(spark, sf, "events")), run)
-    return spark.read.parquet(path).select("event_id", "user_id", F.round("mean_before", 6).alias("mean_before"),
-                                           F.round("sd_before", 6).alias("sd_before"), "is_anomaly")
+    rows = replayed(spark, mixed_up(table(spark, sf, "events"))).select("event_id", "user_id", "ts", "value")
+    found = landed(stateful.anomaly_stream(rows, "user_id", "ts", "value", 20, 2.5, "event_id", "1 day"), "flagged")
+    return found.select("event_id", "user_id", F.round("mean_before", 6).alias("mean_before"),
+                        F.round("sd_before", 6).alias("sd_before"), "is_anomaly")
 
 
 @query(f"""SELECT a.user_id, a.event_id, min(b.ts) AS next_ts, arg_min(b.event_id, (b.ts, b.event_id)) AS next_id
@@ -472,13 +474,7 @@ def anomaly_stream(spark, sf):
           WHERE a.event_type = 'view' AND b.event_type = 'purchase'
             AND b.ts <= date_trunc('millisecond', {CLOSED_DAY}) GROUP BY 1, 2""")
 def pattern_stream(spark, sf):
-    path, mark = run_dir(spark, "matched"), run_dir(spark, "matched-state")
-
-    def run(backend):
-        rows = decoded(topics.read_topic(spark, "events", backend)).select("event_id", "user_id", "ts", "event_type")
-        found = jobs.match_stream(rows, "user_id", "ts", "event_type", "view", "purchase", "6 hours", "event_id", "1 day")
-        return jobs.stream_to_table(found, path, mark)
-
-    staged(spark, mixed_up(table(spark, sf, "events")), run)
-    return spark.read.parquet(path).select("user_id", "event_id", F.col("next_ts").cast("timestamp_ntz").alias("next_ts"),
-                                           "next_id")
+    rows = replayed(spark, mixed_up(table(spark, sf, "events"))).select("event_id", "user_id", "ts", "event_type")
+    found = landed(stateful.match_stream(rows, "user_id", "ts", "event_type", "view", "purchase", "6 hours", "event_id", "1 day"),
+                   "matched")
+    return found.select("user_id", "event_id", F.col("next_ts").cast("timestamp_ntz").alias("next_ts"), "next_id")

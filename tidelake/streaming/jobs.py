@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import pickle
 import sys
 import threading
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidelake.operators.changes import apply_changes
 from tidelake.sources.topics import read_topic, write_topic
@@ -96,84 +93,6 @@ def with_changes(target: DataFrame, log: str, keys, seq: str, op: str) -> DataFr
     return apply_changes(target, target.sparkSession.read.parquet(log).drop("batch"), keys, seq, op)
 
 
-def in_time_order(df: DataFrame, key: str, ts_col: str, tie: str, delay: str, step, schema: str):
-    """Run ``step(rows, memory)`` -> (output, memory) over each key's rows in event-time order.
-
-    Rows wait in Spark's state until the watermark, ``delay`` behind the newest row, has
-    passed them; so rows may arrive out of order by ``delay``. Later ones are left out, as by
-    windows. ``rows`` is a pandas frame, ``memory`` None at first; the rows of a key meet in
-    one task.
-    """
-    names = df.columns
-
-    def run(group, frames, state):
-        memory, waiting = pickle.loads(state.get[0]) if state.exists else (None, pd.DataFrame(columns=names))
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        new = [frame[frame[ts_col] > mark] for frame in frames]
-        rows = pd.concat([f for f in [waiting, *new] if len(f)], ignore_index=True) if len(waiting) or any(map(len, new)) else waiting
-        rows = rows.sort_values([ts_col, tie], kind="stable")
-        ready = rows[ts_col] <= mark if len(rows) else np.empty(0, dtype=bool)
-        waiting = rows[~ready] if len(rows) else rows
-        if len(rows) and ready.any():
-            out, memory = step(rows[ready].reset_index(drop=True), memory)
-            yield out
-        state.update((pickle.dumps((memory, waiting)),))
-        if len(waiting):
-            state.setTimeoutTimestamp(int(waiting[ts_col].min().value // 1_000_000) + 1)
-
-    timed = df.filter(F.col(ts_col).isNotNull()).withWatermark(ts_col, delay)
-    return timed.groupBy(key).applyInPandasWithState(run, schema, "memory binary", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def anomaly_stream(df: DataFrame, key: str, ts_col: str, value: str, n: int, k: float, tie: str, delay: str) -> DataFrame:
-    """Flag anomalies in a stream as the batch operator does, once the watermark has passed a row.
-
-    State holds the last ``n`` values of every key and the rows that still wait.
-    """
-    names = df.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", mean_before double, sd_before double, is_anomaly boolean"
-
-    def step(rows, memory):
-        before = np.full(n, np.nan) if memory is None else memory
-        values = np.concatenate([before, rows[value].astype(float).to_numpy()])
-        seen = np.lib.stride_tricks.sliding_window_view(values[:-1], n)
-        count = (~np.isnan(seen)).sum(axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mean = np.nansum(seen, axis=1) / count
-            sd = np.sqrt(np.nansum((seen - mean[:, None]) ** 2, axis=1) / (count - 1))
-            far = np.abs(values[n:] - mean) > k * sd
-        mean, sd = np.where(count > 0, mean, np.nan), np.where(count > 1, sd, np.nan)
-        out = rows[names].assign(mean_before=pd.Series(mean).astype(object).where(count > 0, None),
-                                 sd_before=pd.Series(sd).astype(object).where(count > 1, None), is_anomaly=(count > 1) & far)
-        return out, values[-n:]
-
-    return in_time_order(df, key, ts_col, tie, delay, step, schema)
-
-
-def match_stream(df: DataFrame, key: str, ts_col: str, type_col: str, a: str, b: str, within: str, tie: str,
-                 delay: str) -> DataFrame:
-    """Match a two-step sequence in a stream as the batch operator does, once the watermark has passed the second step.
-
-    State holds the rows of type ``a`` that may still find a ``b``, and the rows that wait.
-    """
-    names, reach = df.columns, pd.Timedelta(within)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + f", next_ts {kinds[ts_col]}, next_id {kinds[tie]}"
-
-    def step(rows, memory):
-        first = rows[rows[type_col] == a]
-        first = first if memory is None else pd.concat([memory, first], ignore_index=True) if len(first) else memory
-        second = rows[rows[type_col] == b]
-        times = second[ts_col].to_numpy()
-        at = np.searchsorted(times, first[ts_col].to_numpy(), side="right")
-        found = np.flatnonzero(at < len(times))
-        pairs = first.iloc[found][names].assign(next_ts=times[at[found]], next_id=second[tie].to_numpy()[at[found]])
-        waiting = first[(at == len(times)) & (first[ts_col] + reach >= rows[ts_col].max()).to_numpy()]
-        return pairs[pairs["next_ts"] - pairs[ts_col] <= reach], waiting
-
-    return in_time_order(df.filter(F.col(type_col).isin(a, b) & F.col(key).isNotNull()), key, ts_col, tie, delay, step, schema)
-
-
 class ConsumerProgress(StreamingQueryListener):
     """Counts polls (batches) and messages; calls ``report`` every ``every`` polls and at the end."""
 
