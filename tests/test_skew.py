@@ -180,3 +180,33 @@ def test_history_of_a_hot_conversation(spark, small):
         return retrieval.history(one, "conv_id", "turn", "role", "text", 4, min_rows=min_rows)
 
     assert same(run(None), run(10))
+
+
+KINDS = {"text": "concat('https://host.example/', lpad(CAST(id % 83 AS STRING), 5, '0'))", "binary": "CAST(concat('k', id % 83) AS BINARY)",
+         "decimal": "CAST(id % 83 AS DECIMAL(20, 4)) / 7", "date": "date_add(DATE'2024-01-01', CAST(id % 83 AS INT))", "boolean": "id % 2 = 0"}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("descending", [(), ("v",)])
+def test_ranking_by_a_column_of_any_type(spark, kind, descending):
+    value = F.when(F.col("id") % 97 == 0, None).otherwise(F.expr(KINDS[kind]))
+    rows = spark.range(1500).select((F.col("id") % 2).alias("k"), "id", value.alias("v"))
+
+    def run(min_rows):
+        return skew.ranking(rows, ["k"], ["v", "id"], descending, ntile=4, min_rows=min_rows)
+
+    assert same(run(None), run(100))
+
+
+@pytest.mark.parametrize("kind", ["text", "decimal"])
+def test_walks_in_the_order_of_any_type(spark, kind):
+    rows = spark.range(900).select((F.col("id") % 2).alias("k"), "id", F.expr(KINDS[kind]).alias("v"), (F.col("id") * 7 % 11).alias("x"))
+
+    def scanned(limit):
+        return skew.scan(rows, ["k"], ["v", "id"], sums={"s": F.col("x")}, last={"l": F.when(F.col("x") > 5, F.col("x"))},
+                         prev={"p": F.col("x")}, following={"f": F.col("x")}, min_rows=limit)
+
+    def before(limit):
+        return skew.over_previous(rows, ["k"], ["v", "id"], 7, {"m": lambda w: F.sum("x").over(w)}, min_rows=limit)
+
+    assert same(scanned(None), scanned(60)) and same(before(None), before(60))

@@ -229,6 +229,37 @@ def test_zorder_on_text(spark):
     assert out.exceptAll(rows).isEmpty() and out.count() == rows.count()
 
 
+def test_zorder_cuts_texts_behind_a_common_prefix(spark, tmp_path):
+    rows = spark.range(4000).select(F.concat(F.lit("https://www.example.org/pages/"), F.lpad((F.col("id") * 7919 % 4000).cast("string"), 6, "0"))
+                                    .alias("url"), (F.col("id") * 104729 % 4000).alias("n"))
+    edges = layout.boundaries(rows, ["url", "n"], 16)
+    assert len(edges["url"]) == len(edges["n"]) == 15 and edges["url"] == sorted(edges["url"])
+    share = rows.select(layout.range_rank(F.col("url"), edges["url"]).alias("r")).groupBy("r").count().collect()
+    assert len(share) == 16 and max(r["count"] for r in share) < 300
+    path = str(tmp_path / "z")
+    layout.zorder(rows, ["url", "n"], 4, 16).write.parquet(path)
+
+    def read(condition):
+        """Files that the statistics of their columns cannot rule out."""
+        left = 0
+        for file in glob.glob(path + "/*.parquet"):
+            meta = pq.ParquetFile(file).metadata
+            stats = [meta.row_group(0).column(c).statistics for c in (0, 1)]
+            left += condition(stats)
+        return left
+
+    # a sixteenth of either column lies in few of the 16 files
+    low, high = "https://www.example.org/pages/001000", "https://www.example.org/pages/001249"
+    assert read(lambda s: s[0].min <= high and s[0].max >= low) <= 10
+    assert read(lambda s: s[1].min <= 1249 and s[1].max >= 1000) <= 10
+
+
+def test_boundaries_come_from_a_bounded_sample(spark):
+    rows = spark.range(50_000).select((F.col("id") % 50_000).alias("n"))
+    edges = layout.boundaries(rows, ["n"], 10, sample_rows=2000)["n"]
+    assert len(edges) == 9 and all(abs(e - 5000 * (i + 1)) < 2500 for i, e in enumerate(edges))
+
+
 def test_catalogs_that_are_there(spark):
     names = {r["catalog"] for r in catalog.show_catalogs(spark).collect()}
     assert "spark_catalog" in names and "iceberg" not in names

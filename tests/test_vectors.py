@@ -185,3 +185,33 @@ def test_approximate_search_fills_k_and_recalls(spark, small):
     assert near.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
     few = vectors.ann_topk(asked, path, "vec_id", "embedding", 120, probes=1)
     assert few.groupBy("query_id").count().filter("count <> 120").isEmpty()
+
+
+def test_centres_come_from_a_bounded_sample(spark):
+    rng = np.random.default_rng(2)
+    spots = rng.normal(size=(12, 6)) * 20
+    rows = [(i, (spots[i % 12] + rng.normal(size=6)).tolist()) for i in range(6000)] + [(9000, None)]
+    corpus = spark.createDataFrame(rows, "id int, v array<double>").repartition(4)
+    centres = vectors.learn_centres(corpus, "v", 6001, cells=500, sample_rows=600)
+    # of about 600 rows at most one centre for each 40
+    assert 8 <= len(centres) <= 20 and sorted(centres["cell"]) == list(range(len(centres)))
+    path = run_dir(spark, "index")
+    cells = vectors.build_index(corpus, "id", "v", path, sample_rows=1500)
+    held = spark.read.parquet(f"{path}/rows")
+    assert held.count() == 6000 and spark.read.parquet(f"{path}/centres").agg(F.sum("n")).first()[0] == 6000
+    probes = vectors.choose_probes(corpus.filter("v IS NOT NULL"), path, "id", "v", 5)
+    assert probes < cells
+    asked = corpus.filter("id % 100 = 0 AND v IS NOT NULL").select(F.col("id").alias("query_id"), "v")
+    exact = vectors.topk(asked, corpus, "id", "v", 5, "l2")
+    assert vectors.recall(vectors.ann_topk(asked, path, "id", "v", 5, probes), exact, "id") >= 0.9
+
+
+def test_rows_go_to_the_nearest_centre_of_the_nearest_coarse_one():
+    rng = np.random.default_rng(4)
+    rows, centres = rng.normal(size=(300, 4)), rng.normal(size=(9, 4))
+    members = [np.array([0, 1, 2]), np.array([3, 4]), np.array([5, 6, 7, 8])]
+    tops = np.stack([centres[m].mean(axis=0) for m in members])
+    for row, cell in zip(rows, kernels.nearest_centres(rows, tops, members, centres)):
+        own = members[int(((tops - row) ** 2).sum(axis=1).argmin())]
+        assert cell == own[((centres[own] - row) ** 2).sum(axis=1).argmin()]
+    assert len(kernels.lloyd(np.ones((50, 3)), 5, 1)) == 1

@@ -105,6 +105,37 @@ def stack_vectors(column, dim=None):
     return flat[first[:, None] + np.arange(dim)], length
 
 
+def lloyd(rows, k, seed, rounds=10):
+    """At most ``k`` centres of rows: distinct rows drawn by distance, then moved to the means of their rows."""
+    rng = np.random.default_rng(seed)
+    centres = rows[rng.integers(len(rows))][None, :]
+    far = ((rows - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < min(k, len(rows)) and far.sum() > 0:
+        centres = np.vstack([centres, rows[rng.choice(len(rows), p=far / far.sum())]])
+        far = np.minimum(far, ((rows - centres[-1]) ** 2).sum(axis=1))
+    for _ in range(rounds):
+        own = nearest_rows(rows, centres)
+        count = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+    return centres
+
+
+def nearest_rows(rows, centres):
+    """Number of the nearest centre of each row."""
+    return ((centres ** 2).sum(1)[None, :] - 2.0 * rows @ centres.T).argmin(axis=1)
+
+
+def nearest_centres(rows, tops, members, centres):
+    """The centre next to each row among the ``members`` of its nearest coarse centre."""
+    out, top = np.empty(len(rows), dtype=np.int32), nearest_rows(rows, tops) if len(rows) else np.empty(0, dtype=int)
+    for c in np.unique(top):
+        at = np.flatnonzero(top == c)
+        out[at] = members[c][nearest_rows(rows[at], centres[members[c]])]
+    return out
+
+
 def score_matrix(questions, corpus, metric, lengths):
     """Scores, larger is nearer (distances are negated); distances are near the exact ones only."""
     if metric == "l2":

@@ -7,9 +7,9 @@ on its own, and a small summary per key and range carries the state from one ran
 next. Keys of ordinary size keep the plain window, and when no key is hot the plan
 *is* the plain window.
 
-``order`` is a list of column names that orders the rows of a key totally. The
-first one must be numeric, a date or a timestamp: slices are ranges of it. Rows of one
-key with the same value of it stay together.
+``order`` is a list of column names that orders the rows of a key totally. Slices are
+ranges of the first one, which may be of any type that Spark can sort. Rows of one key
+with the same value of it stay together.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidelake.session import materialize
 
@@ -27,18 +26,6 @@ from tidelake.session import materialize
 MIN_ROWS = 2_000_000
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A column as a double that sorts the same way."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name)).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
-
-
 @dataclass
 class Sliced:
     """A frame with ``_k`` (group) and ``_slice``; ``hot`` tells if any group was cut."""
@@ -72,22 +59,16 @@ def slice_groups(df: DataFrame, keys, by: str, descending=False, min_rows=None)
         total = df.count()
     if total <= limit:
         return Sliced(df, False, keys)
-    position = as_number(df, by)
-    # NaN sorts after all numbers, backwards before them
-    position = F.when(F.isnan(position), F.lit(float("inf"))).otherwise(position)
-    if descending:
-        position = -position
-    # NULL sorts first ascending and last descending, as in a Spark window
-    position = F.coalesce(position, F.lit(float("inf" if descending else "-inf")))
     marked = df.withColumn("_k", F.struct(*keys) if keys else F.lit(0))
     if keys:
         listed = found.select(F.struct(*keys).alias("_k"))
         hot, cold = marked.join(listed, "_k", "left_semi"), marked.join(listed, "_k", "left_anti")
     else:
         hot, cold = marked, marked.limit(0)
-    ranged = hot.withColumn("_pos", position).repartitionByRange(math.ceil(total / limit), "_k", "_pos")
+    # Spark's own order of the column: NULL first and NaN last, the other way round when descending
+    ranged = hot.repartitionByRange(math.ceil(total / limit), F.asc("_k"), F.desc(by) if descending else F.asc(by))
     # written, so that a range keeps its number whoever reads it
-    sliced = materialize(ranged.drop("_pos").withColumn("_slice", F.spark_partition_id()), "slices")
+    sliced = materialize(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
     rows = cold.withColumn("_slice", F.lit(0)).withColumn("_hot", F.lit(False)).unionByName(
         sliced.withColumn("_hot", F.lit(True)))
     return Sliced(rows.select(*df.columns, "_k", "_hot", "_slice"), True, keys)

@@ -167,21 +167,105 @@ def topk_within(queries: DataFrame, corpus: DataFrame, on: str, id_col: str, vec
 MOST_FOLDERS = 10_000
 
 
-def build_index(corpus: DataFrame, id_col: str, vec_col: str, path: str, cells: int | None = None, seed: int = 7) -> int:
-    """Write the corpus as ``path/rows``, partitioned by the nearest of ``cells`` centres; gives their number.
+# rows from which the centres are learnt, rows of the sample per centre, and queries that measure recall
+SAMPLE_ROWS = 200_000
+ROWS_PER_CENTRE = 40
+RECALL_QUERIES = 100
 
-    The centres (``path/centres``, with the rows in their cell) are learnt by k-means from all
-    rows. Hot cells are split over several files.
+
+def sampled(df: DataFrame, total: int, rows: int, salt: str) -> DataFrame:
+    """About ``rows`` of ``total`` rows, chosen by a hash of the whole row."""
+    if total <= rows:
+        return df
+    place = F.pmod(F.xxhash64(F.lit(salt), F.to_json(F.struct("*"))), F.lit(1 << 30))
+    return df.filter(place < int((1 << 30) * rows / total))
+
+
+def learn_centres(corpus: DataFrame, vec_col: str, total: int, cells: int | None = None, seed: int = 7,
+                  sample_rows: int = SAMPLE_ROWS) -> pd.DataFrame:
+    """Centres in two levels (cell, coarse, coarse_centre, centre), learnt from a sample of at most about ``sample_rows`` rows.
+
+    The sample is clustered into about the square root of ``cells`` coarse cells, and the rows of every
+    coarse cell once more in a task of their own. The sample bounds the number of cells.
+    """
+    sample = sampled(corpus.select(F.col(vec_col).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull()), total, sample_rows, "sample")
+    sample = materialize(sample, "sample")
+    size = sample.count()
+    cells = min(cells or max(4, int(math.sqrt(total) / 2)), max(1, size // ROWS_PER_CENTRE) if size > 8 * ROWS_PER_CENTRE else 8, max(1, size))
+    coarse = max(1, round(math.sqrt(cells)))
+    features = sample.withColumn("_features", array_to_vector("_v"))
+    model = KMeans(k=coarse, seed=seed, maxIter=10, initMode="k-means||", featuresCol="_features", predictionCol="coarse").fit(
+        features.select("_features"))
+    tops = [c.tolist() for c in model.clusterCenters()]
+    placed = model.transform(features).select("coarse", "_v")
+    # a coarse cell gets centres by its share of the sample, one at least
+    held = {c: n for c, n in placed.groupBy("coarse").count().collect()}
+    shares = {c: max(1, cells * n // size) for c, n in held.items()}
+    for c in sorted(held, key=lambda c: shares[c] - cells * held[c] / size)[:max(0, cells - sum(shares.values()))]:
+        shares[c] += 1
+
+    def split(key, frame):
+        rows = np.stack(frame["_v"].to_numpy())
+        centres = kernels.lloyd(rows, shares[int(key[0])], seed)
+        return pd.DataFrame({"coarse": int(key[0]), "centre": list(centres)})
+
+    found = placed.groupBy("coarse").applyInPandas(split, "coarse int, centre array<double>")
+    centres = found.toPandas().sort_values("coarse", kind="stable").reset_index(drop=True)
+    centres["coarse_centre"] = [tops[c] for c in centres["coarse"]]
+    return centres.assign(cell=np.arange(len(centres), dtype=np.int32))
+
+
+def build_index(corpus: DataFrame, id_col: str, vec_col: str, path: str, cells: int | None = None, seed: int = 7,
+                sample_rows: int = SAMPLE_ROWS) -> int:
+    """Write the corpus as ``path/rows``, partitioned by cell, and its centres; gives their number.
+
+    Centres come from a bounded sample (``learn_centres``), so their number does not grow with the corpus beyond
+    it; every row is then assigned once, to the nearest coarse centre and the nearest centre inside that. The
+    work is a constant per row. Rows without a vector are left out. Hot cells are split over several files.
     """
     spark, n = corpus.sparkSession, corpus.count()
-    cells = cells or max(4, int(math.sqrt(n) / 2))
-    vectors = corpus.withColumn("_features", array_to_vector(F.col(vec_col).cast("array<double>")))
-    model = KMeans(k=cells, seed=seed, maxIter=10, initMode="k-means||", featuresCol="_features", predictionCol="cell").fit(
-        vectors.select("_features"))
-    write_table(model.transform(vectors).drop("_features"), f"{path}/rows", partition_by=["cell"], mode="overwrite")
+    centres = learn_centres(corpus, vec_col, n, cells, seed, sample_rows)
+    rows = corpus.filter(F.col(vec_col).isNotNull())
+    tops = np.stack([centres.loc[centres["coarse"] == c, "coarse_centre"].iloc[0] for c in sorted(centres["coarse"].unique())])
+    members = [centres.index[centres["coarse"] == c].to_numpy() for c in sorted(centres["coarse"].unique())]
+    matrix = np.stack(centres["centre"].to_numpy())
+    schema = T.StructType([*rows.schema, T.StructField("cell", T.IntegerType())])
+
+    def assign(batches):
+        for batch in batches:
+            vectors_, _ = kernels.stack_vectors(batch.column(vec_col), matrix.shape[1])
+            cell = kernels.nearest_centres(vectors_, tops, members, matrix)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
+
+    write_table(rows.mapInArrow(assign, schema), f"{path}/rows", partition_by=["cell"], mode="overwrite")
     sizes = spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.count("*").alias("n"))
-    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-    centres.join(sizes, "cell").write.mode("overwrite").parquet(f"{path}/centres")
+    known = spark.createDataFrame(list(zip(centres["cell"].tolist(), [list(map(float, c)) for c in centres["centre"]])),
+                                  "cell int, centre array<double>")
+    known.join(sizes, "cell").write.mode("overwrite").parquet(f"{path}/centres")
+    return len(centres)
+
+
+def recall(found: DataFrame, exact: DataFrame, id_col: str, query_id: str = "query_id") -> float:
+    """Share of the exact nearest rows that were found."""
+    hits = exact.select(query_id, id_col).join(found.select(query_id, id_col), [query_id, id_col], "left_semi").count()
+    return hits / max(1, exact.count())
+
+
+def choose_probes(corpus: DataFrame, index: str, id_col: str, vec_col: str, k: int, metric: str = "l2", target: float = 0.95,
+                  queries: int = RECALL_QUERIES) -> int:
+    """The fewest probes, doubling, whose measured recall reaches ``target``.
+
+    Measured with about ``queries`` rows of the corpus as queries, next to the exact answer over all rows; a
+    query is a bounded sample of rows, the search is not.
+    """
+    total = corpus.count()
+    asked = materialize(sampled(corpus.select(F.col(id_col).alias("query_id"), F.col(vec_col)), total, queries, "queries"), "asked")
+    exact = materialize(topk(asked, corpus, id_col, vec_col, k, metric), "exact")
+    cells, probes = corpus.sparkSession.read.parquet(f"{index}/centres").count(), 1
+    while probes < cells:
+        if recall(ann_topk(asked, index, id_col, vec_col, k, probes, metric), exact, id_col) >= target:
+            return probes
+        probes = min(cells, 2 * probes)
     return cells
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.times import micros
 from tidelake.operators import features, retrieval, vectors
 from tidelake.plans.registry import query, table
-from tidelake.session import run_dir, spread
+from tidelake.session import materialize, run_dir, spread
 
 DOT = """round(list_sum(list_transform(range(1, len(a.embedding) + 1),
              lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6)"""
@@ -126,6 +126,25 @@ def ann_topk_all_cells(spark, sf):
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+           scored AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(list_zip(e::DOUBLE[], embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS score
+                      FROM q CROSS JOIN embeddings),
+           best AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored)
+                    WHERE rank <= 10 GROUP BY query_id)
+           SELECT count(*) AS queries, sum(n)::BIGINT AS wanted, true AS recall_reached FROM best""")
+def ann_recall(spark, sf):
+    # every row whose id is divisible by 100 asks all rows; probes were chosen on other queries
+    rows, path = table(spark, sf, "embeddings"), run_dir(spark, "index")
+    vectors.build_index(rows, "vec_id", "embedding", path)
+    probes = vectors.choose_probes(rows, path, "vec_id", "embedding", 10)
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vectors.ann_topk(asked, path, "vec_id", "embedding", 10, probes)
+    exact = materialize(vectors.topk(asked, rows, "vec_id", "embedding", 10, "l2"), "exact")
+    hits = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hits.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"),
+                    (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 CHUNK, OVERLAP = 500, 50
 
 
