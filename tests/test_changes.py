@@ -10,6 +10,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidelake.operators import changes
+from tidelake.session import run_dir
+from tidelake.sources import levels
 
 ORDERS = "order_id int, customer_id int, order_date date, amount decimal(10,2)"
 TWO = [(1, 101, datetime.date(2025, 1, 15), Decimal("99.99")), (2, 102, datetime.date(2025, 1, 16), Decimal("149.50"))]
@@ -123,3 +125,41 @@ def test_one_of_equal_source_rows_is_reported_as_inserted(spark):
     assert sorted(tuple(r) for r in new.collect()) == [(1, "a"), (2, "c")]
     told = sorted((r["k"], r["status"]) for r in report.collect())
     assert told == [(1, "inserted"), (1, "skipped"), (1, "skipped"), (2, "inserted"), (9, "skipped")]
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 9), st.sampled_from(["upsert", "delete"])), max_size=4),
+                min_size=1, max_size=7))
+def test_levelled_log_model(spark, batches):
+    log = levels.Log(run_dir(spark, "log"), ("k",), "seq", fanout=2)
+    states, best = [], {}
+    for n, batch in enumerate(batches):
+        log.add(spark.createDataFrame(batch, "k int, seq int, op string").coalesce(1), n)
+        for k, seq, op in batch:  # equal sequences: the one that sorts last
+            best[k] = max(best.get(k, (-1, "")), (seq, op))
+        states.append(dict(best))
+    for n in {0, len(batches) // 2, len(batches) - 1}:
+        assert {r["k"]: (r["seq"], r["op"]) for r in log.read(spark, n).collect()} == states[n]
+        assert len(log.cover(spark, n)) <= (n + 1).bit_length()
+
+
+def test_a_log_read_names_no_later_folder_and_a_repeated_batch_adds_nothing(spark):
+    log = levels.Log(run_dir(spark, "log"), ("k",), "seq", fanout=3)
+    frame = spark.range(20).select((F.col("id") % 5).alias("k"), F.col("id").alias("seq"), F.lit("upsert").alias("op"))
+    for n in (0, 1, 2, 3, 3):
+        log.add(frame.withColumn("seq", F.col("seq") + 100 * n), n)
+    assert log.runs(spark) == {(0, 0), (1, 1), (2, 2), (0, 2), (3, 3)}
+    files = {f.rpartition("/run=")[2].partition("/")[0] for f in log.read(spark, 1).inputFiles()}
+    assert files == {"0-0", "1-1"}
+    assert {f.rpartition("/run=")[2].partition("/")[0] for f in log.read(spark).inputFiles()} == {"0-2", "3-3"}
+    assert {(r["batch"], r["count"]) for r in log.batches(spark).groupBy("batch").count().collect()} == {(n, 5) for n in range(4)}
+    log.forget(spark, 2)
+    assert log.runs(spark) == {(0, 2), (3, 3)} and log.read(spark).agg(F.min("seq")).first()[0] == 315
+    with pytest.raises(ValueError, match="not in the log"):
+        log.read(spark, 1)
+
+
+def test_equal_sequences_have_one_winner(spark):
+    frame = spark.createDataFrame([(1, 5, "a"), (1, 5, "c"), (1, 5, "b"), (2, 1, None)], "k int, seq int, op string")
+    for parts in (1, 4):
+        assert {r["op"] for r in levels.newest(frame.repartition(parts), ["k"], "seq").collect()} == {"c", None}

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tidelake.operators import skew
 from tidelake.session import materialize
+from tidelake.sources.levels import Log, newest
 
 
 def insert_if_absent(target: DataFrame, source: DataFrame, key: str, order_col: str):
@@ -79,27 +80,27 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.filter(~F.coalesce(predicate, F.lit(False)))
 
 
-def _latest(changes: DataFrame, keys, seq: str) -> DataFrame:
-    """The change with the highest sequence of every key (combines before the shuffle)."""
-    return changes.groupBy(*keys).agg(F.max_by(F.struct("*"), F.col(seq)).alias("_c")).select("_c.*")
-
-
 def as_of(log: DataFrame, keys, version_col: str, op: str, v) -> DataFrame:
     """Table content as of version ``v`` of an append-only change log."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     v = v if isinstance(v, Column) else F.lit(v)
-    return _latest(log.filter(F.col(version_col) <= v), keys, version_col).filter(F.col(op) != "delete")
+    return newest(log.filter(F.col(version_col) <= v), keys, version_col).filter(F.col(op) != "delete")
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, keys, seq: str, op: str) -> DataFrame:
     """Target content after the changes: per key the highest sequence wins, deletes go."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    last = _latest(changes, keys, seq)
+    last = newest(changes, keys, seq)
     untouched = target.join(last.select(*keys), keys, "left_anti")
     written = last.filter(F.col(op) != "delete").select(*target.columns)
     return untouched.unionByName(written)
 
 
+def as_of_batch(log: Log, spark, op: str, batch: int | None = None) -> DataFrame:
+    """Table content as of a batch of a levelled log, from the few runs that end there."""
+    return log.read(spark, batch).filter(F.col(op) != "delete")
+
+
 def list_snapshots(log: DataFrame, keys, version_col: str, op: str, order_col: str | None = None,
                    min_rows=None) -> DataFrame:
     """Per version: inserts, updates, deletes and the rows live afterwards.

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tidelake.operators import changes, layout
 from tidelake.plans.registry import query, table
 from tidelake.session import run_dir
-from tidelake.sources import catalog, tables
+from tidelake.sources import catalog, levels, tables
 
 
 @query("SELECT * FROM part")
@@ -229,6 +229,41 @@ def as_of_version(spark, sf):
     return changes.as_of(log, "user_id", "event_id", "op", half).select("user_id", "event_id", "value")
 
 
+def _levels(spark, sf, batches):
+    """The log cut by id into numbered batches, added one after the other."""
+    rows, log = _log(spark, sf), levels.Log(run_dir(spark, "levels"), ("user_id",), "event_id", fanout=2)
+    size = rows.agg(F.max("event_id")).first()[0] // batches + 1
+    for n in range(batches):
+        log.add(rows.filter((F.col("event_id") >= n * size) & (F.col("event_id") < (n + 1) * size)), n)
+    return log
+
+
+BATCH = "event_id // (SELECT max(event_id) // 5 + 1 FROM events)"
+
+
+@query(f"""SELECT version, user_id, event_id, value FROM (
+             SELECT v AS version, l.* FROM {LOG} l JOIN (SELECT unnest([1, 4]) AS v) ON {BATCH} <= v
+             QUALIFY row_number() OVER (PARTITION BY v, user_id ORDER BY event_id DESC) = 1) WHERE op <> 'delete'""")
+def as_of_batch(spark, sf):
+    # an early and the newest version of a levelled log
+    log = _levels(spark, sf, 5)
+    versions = [changes.as_of_batch(log, spark, "op", v).withColumn("version", F.lit(v)) for v in (1, 4)]
+    return versions[0].unionByName(versions[1]).select("version", "user_id", "event_id", "value")
+
+
+@query(f"""WITH last AS (SELECT {BATCH} AS version, * FROM {LOG}
+                         QUALIFY row_number() OVER (PARTITION BY {BATCH}, user_id ORDER BY event_id DESC) = 1),
+           seen AS (SELECT version, op, coalesce(lag(op) OVER (PARTITION BY user_id ORDER BY version) = 'upsert', false) AS live FROM last),
+           counts AS (
+             SELECT version, count(*) FILTER (op = 'upsert' AND NOT live) AS inserts,
+                    count(*) FILTER (op = 'upsert' AND live) AS updates,
+                    count(*) FILTER (op = 'delete' AND live) AS deletes FROM seen GROUP BY version)
+           SELECT *, CAST(sum(inserts - deletes) OVER (ORDER BY version) AS BIGINT) AS live_rows FROM counts""")
+def batch_snapshots(spark, sf):
+    rows = _levels(spark, sf, 5).batches(spark).withColumnRenamed("batch", "version")
+    return changes.list_snapshots(rows, "user_id", "version", "op")
+
+
 @query(f"""WITH seen AS (
              SELECT event_id // 1000 AS version, op,
                     coalesce(lag(op) OVER (PARTITION BY user_id ORDER BY event_id) = 'upsert', false) AS live

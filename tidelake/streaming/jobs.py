@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidelake.operators.changes import apply_changes
+from tidelake.sources.levels import Log, newest
 from tidelake.sources.topics import read_topic, write_topic
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -78,19 +79,22 @@ def start_exactly_once(df: DataFrame, path: str, checkpoint: str, mode: str = "f
 
 
 def apply_changes_stream(changes: DataFrame, log: str, checkpoint: str, keys, seq: str) -> StreamingQuery:
-    """Append the newest change of every key to ``log/batch=n`` whenever it changes.
+    """Log the newest change of every key whenever it changes, as a levelled log.
 
     The highest sequence seen is kept in Spark's state, deletes included, so a change
     that arrives late loses. ``with_changes`` reads the table; no batch rewrites it.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), F.col(seq)).alias("_c"))
-    return write_results(newest.select("_c.*"), log, checkpoint, "update")
+    state = newest(changes, keys, seq)
+    levels = Log(log, tuple(keys), seq)
+    return (state.writeStream.outputMode("update").foreachBatch(levels.add).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
-def with_changes(target: DataFrame, log: str, keys, seq: str, op: str) -> DataFrame:
-    """``target`` after all changes that ``apply_changes_stream`` has logged."""
-    return apply_changes(target, target.sparkSession.read.parquet(log).drop("batch"), keys, seq, op)
+def with_changes(target: DataFrame, log: str, keys, seq: str, op: str, batch: int | None = None) -> DataFrame:
+    """``target`` after all changes that ``apply_changes_stream`` has logged, or those up to a batch."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return apply_changes(target, Log(log, tuple(keys), seq).read(target.sparkSession, batch), keys, seq, op)
 
 
 class ConsumerProgress(StreamingQueryListener):
