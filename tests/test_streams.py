@@ -297,6 +297,38 @@ def test_late_rows_are_reported(spark, small):
     assert windows.late_rows(rest, "ts", newest, "1 HOUR").count() == rest.count() > 0
 
 
+def test_panes_add_up_to_windows_and_copy_no_row(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    parts = {"n": (F.count("*"), F.sum), "lo": (F.min("value"), F.min), "hi": (F.max("value"), F.max)}
+    panes = windows.pane_agg(events, "ts", ["event_type"], parts, "6 hours", "2 hours")
+    plain = windows.window_agg(events, "ts", ["event_type"], [F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")],
+                               "6 hours", "2 hours")
+    assert plain.exceptAll(panes).isEmpty() and panes.exceptAll(plain).isEmpty() and not panes.isEmpty()
+    # rows become several only above the first aggregation
+    plan = panes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("Aggregate", plan.index("Aggregate") + 1) if "Expand" in plan else "Generate" not in plan
+    live = streams.landed(windows.pane_agg(streams.event_stream(spark, small), "ts", ["event_type"], parts, "6 hours", "2 hours", "1 hour"), "panes")
+    newest = events.agg(F.max("ts")).first()[0] - datetime.timedelta(hours=1)
+    closed = plain.filter(F.col("window_end") <= F.lit(newest).cast("timestamp_ntz"))
+    assert closed.exceptAll(live).isEmpty() and live.exceptAll(closed).isEmpty()
+    with pytest.raises(ValueError):
+        windows.pane_agg(events, "ts", [], parts, "5 hours", "2 hours")
+
+
+def test_late_rows_are_kept_once(spark):
+    place, path, mark = backend(spark), run_dir(spark, "late"), run_dir(spark, "late-state")
+    for n, step in enumerate([event_rows(spark, (1, 1, 10, "a", 1.0), (2, 1, 0, "a", 1.0)), event_rows(spark, (3, 1, 8.5, "a", 1.0), (4, 1, 9.5, "a", 1.0)),
+                              event_rows(spark, (5, 1, 30, "a", 1.0)), event_rows(spark, (6, 1, 10, "a", 1.0))]):
+        topics.write_topic(streams.messages(step), "events", place)
+        for _ in range(2):
+            live = streams.decoded(topics.read_topic(spark, "events", place))
+            windows.keep_late(live, "ts", "1 hour", path, mark).awaitTermination()
+            if _ == 0:
+                places.delete(spark, f"{mark}/commits/{n}")
+    # nothing is late before there is a mark: 9 h after the first step, 29 h after the third
+    assert sorted(r["event_id"] for r in spark.read.parquet(path).collect()) == [3, 6]
+
+
 def test_dedup_in_batch_and_stream(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet").drop("props")
     # one message arrives very often

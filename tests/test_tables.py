@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidelake import session
 from tidelake.session import run_dir
 from tidelake.operators import features, layout
-from tidelake.sources import catalog, tables
+from tidelake.sources import catalog, payloads, tables
 
 
 def plan(df):
@@ -260,6 +260,35 @@ def test_boundaries_come_from_a_bounded_sample(spark):
     assert len(edges) == 9 and all(abs(e - 5000 * (i + 1)) < 2500 for i, e in enumerate(edges))
 
 
+def test_statistics_of_files_are_made_once_and_add_up(spark, tmp_path):
+    path, stats = str(tmp_path / "t"), str(tmp_path / "s")
+    rows = spark.range(30_000).select("id", (F.col("id") % 1000).cast("double").alias("v"), F.when(F.col("id") % 10 > 0, F.concat(
+        F.lit("k"), (F.col("id") % 77).cast("string"))).alias("w"))
+    rows.filter("id < 20000").repartition(3).write.parquet(path)
+    assert tables.add_stats(spark, path, stats, rows.columns) == 3 and tables.add_stats(spark, path, stats, rows.columns) == 0
+    rows.filter("id >= 20000").coalesce(1).write.mode("append").parquet(path)
+    assert tables.add_stats(spark, path, stats, rows.columns) == 1
+    got = {r["column_name"]: r for r in tables.table_stats(spark, stats, (0.1, 0.5)).collect()}
+    assert {c: (r["n_rows"], r["n_nulls"]) for c, r in got.items()} == {"id": (30_000, 0), "v": (30_000, 0), "w": (30_000, 3000)}
+    assert (got["id"]["min_number"], got["id"]["max_number"], got["w"]["min_text"], got["w"]["max_text"]) == (0, 29_999, "k0", "k9")
+    for name, true in (("id", 30_000), ("v", 1000), ("w", 77)):
+        assert abs(got[name]["n_distinct"] / true - 1) < 0.08
+    assert abs(got["id"]["quantile_0_5"] - 15_000) < 1500 and abs(got["v"]["quantile_0_1"] - 100) < 60
+
+
+def test_payloads_of_mixed_shape(spark):
+    bodies = ['{"value": "1.5"}', '{"value": 2}', '{"value": 2.25}', '{"value": "many"}', '{"value": null}', '{"value": [1, 2]}',
+              '{"value": {"a": 1}}', "{}", "no json", None, '{"value": true}']
+    rows = payloads.parsed(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string"), "body")
+    got = {r["i"]: r for r in rows.select("i", payloads.kind("payload", "$.value").alias("k"), payloads.number("payload", "$.value").alias("n"),
+                                          payloads.text("payload", "$.value").alias("t")).collect()}
+    assert [got[i]["k"] for i in range(11)] == ["text", "number", "number", "text", "null", "array", "object", None, None, None, "boolean"]
+    assert [got[i]["n"] for i in range(11)] == [1.5, 2.0, 2.25] + [None] * 8
+    assert got[5]["t"] == "[1,2]" and got[6]["t"] == '{"a":1}' and got[3]["t"] == "many"
+    shape = payloads.shapes(rows.filter("i < 3"), "payload").first()
+    assert (shape["n"], shape["n_bad"]) == (3, 0) and "value" in shape["shape"]
+
+
 def test_catalogs_that_are_there(spark):
     names = {r["catalog"] for r in catalog.show_catalogs(spark).collect()}
     assert "spark_catalog" in names and "iceberg" not in names

@@ -142,6 +142,27 @@ def column_stats(spark, sf):
     return tables.profile(table(spark, sf, "lineitem"), STATS)
 
 
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, CAST(min({c}) AS VARCHAR) AS smallest,
+               true AS distinct_close, true AS median_close FROM lineitem""" for c in ("l_quantity", "l_partkey", "l_returnflag")))
+def merged_column_stats(spark, sf):
+    # a table that grows by a part; each file is read once, estimates next to the exact values
+    lines, path, stats = table(spark, sf, "lineitem").select("l_quantity", "l_partkey", "l_returnflag"), run_dir(spark, "grown"), run_dir(spark, "stats")
+    for part in range(2):
+        lines.filter(F.pmod("l_partkey", F.lit(2)) == part).write.mode("append").parquet(path)
+        tables.add_stats(spark, path, stats, lines.columns)
+    merged = tables.table_stats(spark, stats)
+    exact = tables.profile(lines, lines.columns).select("column_name", F.col("n_distinct").alias("true_distinct"), "min_value")
+    low, high = (F.lit(x) for x in (0.4, 0.6))
+    middle = lines.agg(*[F.percentile(c, F.array(low, high)).alias(c) for c in ("l_quantity", "l_partkey")])
+    middle = middle.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("range")) for c in middle.columns])).alias("m")).select("m.*")
+    both = merged.join(exact, "column_name").join(middle, "column_name", "left")
+    return both.select(
+        "column_name", "n_rows", "n_nulls", F.col("min_value").alias("smallest"),
+        (F.abs(F.col("n_distinct") / F.col("true_distinct") - 1) < 0.08).alias("distinct_close"),
+        F.coalesce(F.col("quantile_0_5").between(F.col("range")[0], F.col("range")[1]), F.lit(True)).alias("median_close"))
+
+
 @query("""SELECT p_partkey, p_name, CASE WHEN p_size > 25 THEN p_brand || ' ' || p_type END AS p_note FROM part""")
 def schema_evolve(spark, sf):
     part = table(spark, sf, "part")

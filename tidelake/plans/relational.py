@@ -11,6 +11,7 @@ from tidelake.functions.exact import exact_sum, whole_units
 from tidelake.functions.times import iso_text, micros, parse_event_time
 from tidelake.operators import features, skew
 from tidelake.plans.registry import query, table, views
+from tidelake.sources import payloads
 
 
 @query("SELECT * FROM orders")
@@ -289,3 +290,25 @@ def scalar_json(spark, sf):
 def semi_structured_scan(spark, sf):
     k = F.from_json("props", "k BIGINT")["k"]
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("sum_k"))
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN event_type IN ('click', 'view') THEN CAST(value * 100 AS BIGINT) END) AS BIGINT) AS cents,
+                 count(*) FILTER (event_type = 'click') AS as_text, count(*) FILTER (event_type = 'view') AS as_number,
+                 count(*) FILTER (event_type = 'error') AS as_object, count(*) FILTER (event_type = 'signup') AS absent,
+                 max(CASE WHEN event_type = 'error' THEN event_id % 7 END) AS largest_code
+          FROM events GROUP BY event_type""")
+def mixed_payloads(spark, sf):
+    # every kind of event sends its value in a shape of its own
+    kind, value = F.col("event_type"), F.col("value").cast("string")
+    inner = F.when(kind == "click", F.concat(F.lit('"value": "'), value, F.lit('"'))).when(
+        kind == "view", F.concat(F.lit('"value": '), value)).when(
+        kind == "error", F.concat(F.lit('"value": {"code": '), (F.col("event_id") % 7).cast("string"), F.lit("}"))).when(
+        kind == "signup", F.lit('"other": 1')).otherwise(F.lit('"value": null'))
+    sent = table(spark, sf, "events").select("event_type", F.concat(F.lit("{"), inner, F.lit("}")).alias("body"))
+    rows = payloads.parsed(sent, "body")
+    shape = payloads.kind("payload", "$.value")
+    return rows.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.sum(F.rint(payloads.number("payload", "$.value") * 100).cast("long")).alias("cents"),
+        F.count(F.when(shape == "text", 1)).alias("as_text"), F.count(F.when(shape == "number", 1)).alias("as_number"),
+        F.count(F.when(shape == "object", 1)).alias("as_object"), F.count(F.when(shape.isNull(), 1)).alias("absent"),
+        F.max(F.try_variant_get("payload", "$.value.code", "long")).alias("largest_code"))

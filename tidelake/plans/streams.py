@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.functions.exact import exact_sum
+from tidelake.functions.exact import exact_sum, whole_units
 from tidelake.functions.times import parse_event_time
 from tidelake.plans.lake import LOG
 from tidelake.plans.registry import query, table
@@ -340,8 +340,11 @@ def tumbling_agg(spark, sf):
            FROM (SELECT *, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY * unnest([0, 1]) AS d FROM events)
            WHERE d + INTERVAL 2 DAY <= {CLOSED} GROUP BY d, event_type""")
 def sliding_agg(spark, sf):
-    return landed(windows.window_agg(event_stream(spark, sf), "ts", ["event_type"], _measures(), size="2 days",
-                                     slide="1 day", delay="1 hour"), "sliding")
+    cents = F.sum(whole_units("value", 2))
+    parts = {"n": (F.count("*"), F.sum), "total": (cents, F.sum)}
+    total = F.col("total") / F.lit(100)
+    return landed(windows.pane_agg(event_stream(spark, sf), "ts", ["event_type"], parts, "2 days", "1 day", "1 hour",
+                                   {"total": total, "mean": total / F.col("n")}), "sliding")
 
 
 @query(f"""WITH gaps AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE,
@@ -369,6 +372,16 @@ def late_data(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(f"SELECT event_type, count(*) AS n, min(ts) AS first_ts FROM events WHERE {NUMBERED} <= 2 GROUP BY event_type")
+def late_rows_kept(spark, sf):
+    # the rows that late_data leaves out
+    events, path, state = table(spark, sf, "events"), run_dir(spark, "kept-late"), run_dir(spark, "kept-late-state")
+    staged(spark, [days(events, 3, 15), days(events, 16), days(events, 1, 2)],
+           lambda backend: windows.keep_late(decoded(topics.read_topic(spark, "events", backend)), "ts", "1 hour", path, state, "1 day"))
+    kept = spark.read.parquet(path).groupBy("event_type")
+    return kept.agg(F.count("*").alias("n"), F.min("ts").cast("timestamp_ntz").alias("first_ts"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def message_count(spark, sf):
     return last_result(event_stream(spark, sf).groupBy("event_type").agg(F.count("*").alias("n")), "counts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidelake.operators import skew
 from tidelake.session import materialize
+from tidelake.sources import places
 
 BUILT_IN = ("parquet", "orc", "csv", "json", "text")
 
@@ -195,6 +197,62 @@ def profile(df: DataFrame, cols=None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# relative error of the sketches: distinct values (HLL with 2 ** LG entries) and ranks of quantiles (KLL)
+HLL_LG, KLL_K = 12, 200
+
+
+def _file_stats(df: DataFrame, cols) -> DataFrame:
+    """Per file and column: rows, nulls, smallest and largest value as text, a sketch of distinct values and one of quantiles."""
+    named = df.select(F.col("_metadata.file_path").alias("file"), *cols)
+    parts = []
+    for c in cols:
+        numeric = isinstance(named.schema[c].dataType, T.NumericType)
+        value = F.col(c)
+        counted = value if isinstance(named.schema[c].dataType, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)) else value.cast("string")
+        kll = F.kll_sketch_agg_double(value.cast("double"), KLL_K) if numeric else F.lit(None).cast("binary")
+        parts.append(named.groupBy("file").agg(
+            F.count("*").alias("n_rows"), (F.count("*") - F.count(c)).alias("n_nulls"), F.min(c).cast("string").alias("min_text"),
+            F.max(c).cast("string").alias("max_text"), F.min(value.cast("double") if numeric else F.lit(None).cast("double")).alias("min_number"),
+            F.max(value.cast("double") if numeric else F.lit(None).cast("double")).alias("max_number"),
+            F.hll_sketch_agg(counted, HLL_LG).alias("distinct_sketch"), kll.alias("quantile_sketch")).select(F.lit(c).alias("column_name"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def add_stats(spark, path: str, stats: str, cols) -> int:
+    """Read the files of a Parquet table that ``stats`` does not know and add their statistics; gives the number of new files.
+
+    Files never change, so a file is read once however often the table grows.
+    """
+    def plain(name):  # file:/a and file:///a are one place
+        return re.sub(r"^(\w+):/+", r"\1:/", name)
+
+    known = set()
+    if places.exists(spark, stats):
+        known = {plain(r["file"]) for r in spark.read.parquet(stats).select("file").distinct().collect()}
+    new = sorted(f for f in spark.read.parquet(path).inputFiles() if plain(f) not in known)
+    if new:
+        _file_stats(spark.read.option("basePath", path).parquet(*new), list(cols)).write.mode("append").parquet(stats)
+    return len(new)
+
+
+def table_stats(spark, stats: str, quantiles=(0.5,)) -> DataFrame:
+    """Per column the exact rows, nulls, smallest and largest value, and estimates of distinct values and quantiles.
+
+    Made of the files' statistics alone. Distinct values are off by 1.6 % (one standard deviation of a sketch of
+    4096 entries), the rank of a quantile by about 1.7 %.
+    """
+    rows = spark.read.parquet(stats)
+    merged = rows.groupBy("column_name").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_nulls").alias("n_nulls"), F.min("min_number").alias("min_number"),
+        F.max("max_number").alias("max_number"), F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("n_distinct"),
+        F.kll_merge_agg_double("quantile_sketch").alias("_k"))
+    number = F.col("max_number").isNotNull()
+    found = [F.when(number, F.kll_sketch_get_quantile_double("_k", F.lit(float(q)))).alias(f"quantile_{str(q).replace('.', '_')}") for q in quantiles]
+    return merged.select("column_name", "n_rows", "n_nulls", "n_distinct", "min_number", "max_number",
+                         F.when(~number, F.col("min_text")).alias("min_text"), F.when(~number, F.col("max_text")).alias("max_text"), *found)
+
+
 def analyze(spark, table: str) -> None:
     """Store table and column statistics for the optimizer."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

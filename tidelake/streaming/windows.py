@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,24 @@ def window_agg(df: DataFrame, ts_col: str, keys, aggs, size: str | None = None,
                           *keys, *[c for c in grouped.columns if c not in ("w", *keys)])
 
 
+def pane_agg(df: DataFrame, ts_col: str, keys, parts: dict, size: str, slide: str, delay: str | None = None, finals: dict | None = None) -> DataFrame:
+    """Aggregate per key and hopping window from panes of ``slide``; no row is copied to the windows it lies in.
+
+    ``parts`` maps a name to (aggregate of rows, function of the pane column that adds panes up), such as
+    ``(F.count("*"), F.sum)``; ``finals`` to columns over these. Every event enters one pane, and a window adds
+    up its panes: state and shuffle hold a row per pane instead of one per window. ``size`` is a whole number of slides.
+    """
+    if pd.Timedelta(size).value % pd.Timedelta(slide).value:
+        raise ValueError("a window is a whole number of panes")
+    timed = with_event_time(df, ts_col, delay)
+    panes = timed.groupBy(F.window(ts_col, slide).alias("_pane"), *keys).agg(*[rows.alias(name) for name, (rows, _) in parts.items()])
+    grouped = panes.groupBy(F.window("_pane", size, slide).alias("w"), *keys).agg(*[add(F.col(name)).alias(name) for name, (_, add) in parts.items()])
+    rest = [c.alias(name) for name, c in (finals or {}).items()]
+    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                          F.col("w.end").cast("timestamp_ntz").alias("window_end"), *keys,
+                          *[F.col(name) for name in parts if name not in (finals or {})], *rest)
+
+
 def _batch_sessions(df, ts_col, keys, aggs, gap, min_rows):
     """Sessions numbered along each key's rows, then grouped: a hot key is no hot task."""
     keys, reach = list(keys), F.expr(f"INTERVAL {gap}")
@@ -89,6 +108,27 @@ def late_rows(df: DataFrame, ts_col: str, newest, delay: str) -> DataFrame:
     return df.filter(F.col(ts_col).cast("timestamp") < F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}"))
 
 
+def keep_late(stream: DataFrame, ts_col: str, delay: str, path: str, checkpoint: str, size: str | None = None):
+    """Start a query that keeps the rows which come behind the watermark, with the watermark they missed.
+
+    The mark of a batch is the one that Spark has written to the query's offset log, so a batch that runs again
+    keeps the same rows. With ``size`` a row is late when its tumbling window is closed, as for ``window_agg``.
+    Rows land in ``path/batch=n``; a batch without late rows writes an empty part.
+    """
+    timed = with_event_time(stream, ts_col, delay)
+    due = F.window(ts_col, size)["end"] if size else F.col(ts_col)
+
+    def save(frame, number):
+        spark = frame.sparkSession
+        lines = spark.read.text(f"{checkpoint}/offsets/{number}").select(
+            F.get_json_object("value", "$.batchWatermarkMs").cast("long").alias("ms"))
+        mark = F.timestamp_millis(F.lit(lines.agg(F.max("ms")).first()[0] or 0))
+        late = due <= mark if size else due < mark
+        frame.filter(late).withColumn("watermark", mark).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (timed.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 # a dimension up to this many bytes is sent to every task
 SMALL_BYTES = 32 << 20
 
