@@ -375,6 +375,20 @@ def test_enrich_gives_one_answer_however_large_the_dimension(spark, small, how):
             assert wide.exceptAll(plain).isEmpty() and plain.exceptAll(wide).isEmpty() and not plain.isEmpty()
 
 
+def test_hot_keys_are_learnt_from_batches(spark, small):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 100 == 1, None).otherwise(F.col("id") % 2000).alias("k"), "id")
+    hot = windows.HotKeys(run_dir(spark, "hot"), "k", share=0.1)
+    for n in (0, 1, 1):
+        hot.learn(rows.filter(F.col("id") % 2 == n), n)
+    hot.learn(rows.limit(0), 2)
+    assert hot.values(spark) == [5]
+    side = spark.range(2000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
+    spread_ = windows.enrich(rows, side, "k", "key", small_bytes=0, hot=hot)
+    plain = windows.enrich(rows, side, "k", "key")
+    assert spread_.exceptAll(plain).isEmpty() and spread_.count() == plain.count() == 9000
+    assert "_salt" in spread_._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_enrich_in_a_stream_and_what_it_refuses(spark, small):
     customers = spark.read.parquet(f"{small}/customer.parquet").select("c_custkey", "c_mktsegment")
     stream = streams.event_stream(spark, small)

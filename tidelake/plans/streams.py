@@ -280,6 +280,22 @@ def stream_static_join(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), "segments")
 
 
+@query("""SELECT c_mktsegment, count(*) AS n, round(sum(value), 2) AS total
+          FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS u, value FROM events) LEFT JOIN customer ON u = c_custkey
+          GROUP BY c_mktsegment""")
+def learnt_hot_join(spark, sf):
+    # one key has a third of all events; the first query learns that, the second spreads it
+    customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")).cast("long")
+    backend = events_topic(spark, sf)
+    live = decoded(topics.read_topic(spark, "events", backend)).withColumn("user_id", user)
+    hot = windows.HotKeys(run_dir(spark, "hot-keys"), "user_id")
+    hot.watch(live, run_dir(spark, "hot-keys-state")).awaitTermination()
+    joined = windows.enrich(live, customers, "user_id", "c_custkey", small_bytes=0, hot=hot)
+    return last_result(joined.groupBy("c_mktsegment").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), "segments")
+
+
 @query(SAME)
 def exactly_once_sink(spark, sf):
     # both sinks are started twice on the same checkpoints

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,15 +141,51 @@ def row_bytes(df: DataFrame) -> int:
     return df.select(size.alias("b")).agg(F.sum("b")).first()[0] or 0
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """The frequent values of a column, from sketches of the batches seen so far below ``path``.
+
+    Each batch adds a sketch of at most ``tracked`` values, made inside every task and merged; a value counts as
+    hot from ``share`` of all rows on. Nothing is collected but the few hot values.
+    """
+
+    path: str
+    key: str
+    share: float = 0.02
+    tracked: int = 10_000
+
+    def learn(self, frame: DataFrame, batch: int = 0):
+        """Add a batch; the same number replaces itself."""
+        # grouped by a constant, for a task without rows has no sketch
+        rows = frame.filter(F.col(self.key).isNotNull()).select(F.col(self.key).alias("k")).groupBy(F.lit(0).alias("all"))
+        sketch = F.expr(f"approx_top_k_accumulate(k, {self.tracked})")
+        rows.agg(sketch.alias("sketch"), F.count("*").alias("n")).drop("all").write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def watch(self, stream: DataFrame, checkpoint: str):
+        """Start a query that learns from every batch of a stream."""
+        return (stream.select(self.key).writeStream.foreachBatch(self.learn).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+
+    def values(self, spark) -> list:
+        """The hot values, most frequent first."""
+        most = max(1, int(1 / self.share))
+        seen = spark.read.parquet(self.path).groupBy(F.lit(0).alias("all"))
+        top = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch), {most})")
+        found = seen.agg(top.alias("top"), F.sum("n").alias("n")).select(
+            F.explode("top").alias("t"), "n").filter(F.col("t.count") >= F.col("n") * self.share)
+        return [r["item"] for r in found.select("t.item", "t.count").orderBy(F.desc("count")).collect()]
+
+
 def enrich(stream: DataFrame, dimension: DataFrame, key: str, dimension_key: str, how: str = "left",
            small_bytes: int = SMALL_BYTES, hot=(), salts: int = 32) -> DataFrame:
     """Join a stream with a static table on one key, ``inner`` or ``left``.
 
     Gives the stream's columns, then the dimension's; a dimension key of the same name
     is left out, other equal names raise. A dimension of at most ``small_bytes`` is
-    broadcast. A larger one is shuffled by key; the dimension rows of the values listed
-    in ``hot`` are repeated ``salts`` times and the stream's rows of these values spread over
-    the copies, because a running query cannot split the task of a hot key.
+    broadcast. A larger one is shuffled by key; the dimension rows of the values in ``hot``, a list or what
+    ``HotKeys`` has learnt when the query starts, are repeated ``salts`` times and the stream's rows of these
+    values spread over the copies, because a running query cannot split the task of a hot key. Rows
+    without a key match nothing and are spread as well.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"a stream is joined 'inner' or 'left', not {how!r}")
@@ -158,10 +196,11 @@ def enrich(stream: DataFrame, dimension: DataFrame, key: str, dimension_key: str
     given = [*stream.columns, *[F.col(f"_d_{c}").alias(c) for c in extra]]
     if row_bytes(dimension) <= small_bytes:
         return stream.join(F.broadcast(side), F.col(key) == F.col("_key"), how).select(*given)
-    hot = list(hot)
-    salt, copy = F.lit(0), F.lit(0)
+    hot = hot.values(stream.sparkSession) if isinstance(hot, HotKeys) else list(hot)
+    spread_, copy = F.pmod(F.xxhash64(*stream.columns), F.lit(salts)).cast("int"), F.lit(0)
+    salt = F.when(F.col(key).isNull(), spread_).otherwise(0)
     if hot:
-        salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*stream.columns), F.lit(salts)).cast("int")).otherwise(0)
+        salt = F.when(F.col(key).isNull() | F.col(key).isin(hot), spread_).otherwise(0)
         copy = F.explode(F.when(F.col("_key").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     spread, copies = stream.withColumn("_salt", salt), side.withColumn("_copy", copy)
     joined = spread.join(copies, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy")), how)
