@@ -45,6 +45,30 @@ def test_forest_finds_bad_documents(spark):
     assert good[~good.base_failed].kept.mean() > 0.97
 
 
+def test_labels_of_other_documents_do_not_displace_their_own(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    foreign = spark.range(10_000_000, 10_050_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    plain, beside = (op10_forest.quality_rules(docs, some, train_rows=300).where("NOT kept AND NOT base_failed").count()
+                     for some in (labels, labels.union(foreign.select(*labels.columns))))
+    assert plain == beside > 30
+    # one label, thousands of rows of its id: one row is looked at
+    one = docs.limit(1).select("doc_id", "text").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n")
+    stats = op10_forest.with_features(op10_forest.S.statistics(one))
+    assert op10_forest.labelled_rows(stats, one.select("doc_id", F.lit(1).alias("quality"))).count() == 1
+
+
+def test_threshold_by_trying_every_limit():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        steps = np.sort(rng.choice(50, 12, replace=False))
+        good, bad = rng.integers(0, 40, 12), rng.integers(0, 9, 12)
+        limit = op10_forest.best_threshold(steps, good, bad, 0.1, 2.0)
+        worth = {x: bad[steps > x].sum() / bad.sum() - 2.0 * good[steps > x].sum() / good.sum() for x in [*steps, 99.0]
+                 if good[steps > x].sum() <= 0.1 * good.sum()}
+        assert abs(bad[steps > limit].sum() / bad.sum() - 2.0 * good[steps > limit].sum() / good.sum() - max(worth.values())) < 1e-9
+
+
 def test_filter_agrees_with_the_rules(spark, small, odd, marks):
     for docs, labels in ((spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")),
                          (odd, marks)):

@@ -26,6 +26,8 @@ FEATURES = {
 }
 # labelled rows the forest is grown on and its threshold set by: those with the smallest hashed ids
 TRAIN_ROWS = 20_000
+# scores are counted in steps of this part of 1
+SCORE_STEPS = 50_000
 
 
 def average_path(n):
@@ -100,52 +102,55 @@ class Forest:
         return 2.0 ** (-mean / max(float(average_path(self.sample)), 1e-9))
 
 
-def best_threshold(scores, good, lost, price):
+def best_threshold(scores, good, bad, lost, price):
     """The limit with the most bad rows above it, less ``price`` times the good rows above it.
 
-    Both count as shares; never more than a share ``lost`` of the good rows.
+    ``good`` and ``bad`` count the rows of each of the ascending ``scores``. Both count as shares; never more
+    than a share ``lost`` of the good rows.
     """
-    if not good.any() or good.all():
+    if not good.sum() or not bad.sum():
         return np.inf
-    values = np.unique(scores)
-    limits = np.append((values[1:] + values[:-1]) / 2, np.inf)
-    good_above = 1 - np.searchsorted(np.sort(scores[good]), limits, side="right") / good.sum()
-    bad_above = 1 - np.searchsorted(np.sort(scores[~good]), limits, side="right") / (~good).sum()
+    limits = np.append((scores[1:] + scores[:-1]) / 2, np.inf)
+    good_above, bad_above = (1 - np.cumsum(n) / n.sum() for n in (good, bad))
     worth = np.where(good_above <= lost, bad_above - price * good_above, -np.inf)
     return float(limits[np.flatnonzero(worth == worth.max())[-1]])
 
 
-def fit_forest(rows, good, trees=100, sample=256, tail=0.001, lost=0.01, price=2.0, seed=10):
+def labelled_rows(stats, labels, label_col="quality", id_col="doc_id"):
+    """(doc_id, good, FEATURES) of every labelled document, one row per id; ``stats`` holds those that pass the base rule."""
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good"))
+    marks = marks.where("doc_id IS NOT NULL AND good IS NOT NULL").groupBy("doc_id").agg((F.max("good") > 0).alias("good"))
+    once = stats.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("f"))
+    return once.join(marks, "doc_id").select("doc_id", "good", "f.*")
+
+
+def fit_forest(rows, train_rows=TRAIN_ROWS, trees=100, sample=256, tail=0.001, lost=0.01, price=2.0, seed=10):
     """A forest on labelled rows, by how far they exceed the range of good ones.
 
-    The usual range of a feature leaves out a share ``tail`` of good rows at both ends.
+    The usual range of a feature leaves out a share ``tail`` of the good rows at both ends. Ranges and the
+    threshold come from all labelled rows; only the trees are grown on ``train_rows`` of them, chosen by hashed id.
     """
-    none = np.zeros(rows.shape[1])
-    if not good.any():
+    rows = materialize(rows, "labelled")
+    ends = rows.where("good").agg(*[F.percentile_approx(f, [tail, 1 - tail], 100_000).alias(f) for f in FEATURES]).first()
+    none = np.zeros(len(FEATURES))
+    if ends[0] is None:
         return Forest([], sample, none, none)
-    forest = Forest([], min(sample, len(rows)), np.quantile(rows[good], tail, axis=0), np.quantile(rows[good], 1 - tail, axis=0))
-    rng, far = np.random.default_rng(seed), forest.excess(rows)
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).orderBy("doc_id").select(*FEATURES).toPandas().to_numpy(float)
+    forest = Forest([], min(sample, len(chosen)), *(np.array([ends[f][i] for f in FEATURES], dtype=float) for i in (0, 1)))
+    rng, far = np.random.default_rng(seed), forest.excess(chosen)
     forest.trees = [grow_tree(far[rng.choice(len(far), forest.sample, replace=False)], rng) for _ in range(trees)]
-    forest.threshold = best_threshold(forest.scores(rows), good, lost, price)
-    return forest
-
-
-def chosen_labels(labels, label_col, limit, id_col):
-    """(labelled_id, good) of ``limit`` labelled documents at most, by hashed id."""
-    marks = labels.select(F.col(id_col).cast("long").alias("labelled_id"), F.col(label_col).cast("int").alias("good"))
-    marks = marks.where("labelled_id IS NOT NULL AND good IS NOT NULL").groupBy("labelled_id").agg(F.max("good").alias("good"))
-    return marks.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(limit)
 
-
-def training_rows(stats, labels, label_col="quality", limit=TRAIN_ROWS, id_col="doc_id"):
-    """(feature rows, mask of good rows) of the chosen labelled documents.
-
-    ``stats`` holds the documents that pass the base rule.
-    """
-    chosen = chosen_labels(labels, label_col, limit, id_col)
-    rows = stats.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
-    rows = rows.orderBy("doc_id", *FEATURES).select("good", *FEATURES).toPandas()
-    return rows[list(FEATURES)].to_numpy(float), rows["good"].to_numpy() > 0
+    def scored(batches):
+        for batch in batches:
+            values = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(np.rint(forest.scores(values) * SCORE_STEPS).astype(np.int64))],
+                                             names=["good", "step"])
+
+    # a row per step of the score at most
+    counts = rows.select("good", *FEATURES).mapInArrow(scored, "good boolean, step long").groupBy("step").agg(
+        F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("bad")).orderBy("step").toPandas()
+    forest.threshold = best_threshold(counts["step"].to_numpy() / SCORE_STEPS, counts["good"].to_numpy(), counts["bad"].to_numpy(), lost, price)
+    return forest
 
 
 def base_rule(min_words, max_repeats):
@@ -163,15 +168,15 @@ def quality_rules(docs, labels, id_col="doc_id", text_col="text", label_col="qua
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (fewer than ``min_words`` words, or more than ``max_repeats`` percent of
     them in repeated 5-word windows), anomaly (0 to 1) and kept: false if the base rule
-    failed or the anomaly is above the threshold. The forest is grown on the FEATURES of those
-    of ``train_rows`` labelled rows that pass the base rule; its threshold sets bad rows apart
+    failed or the anomaly is above the threshold. The forest is grown on the FEATURES of ``train_rows``
+    labelled rows that pass the base rule; its threshold sets all such bad rows apart
     from good ones and rejects at most 1 percent of the good ones. Without labels of both
     kinds it rejects nothing. Null and empty texts have no words, so the base rule fails. One
     row per input row, also without an id. Other columns are not read.
     """
     stats = materialize(S.statistics(docs, id_col, text_col), "rules")
     failed, stats = base_rule(min_words, max_repeats), with_features(stats)
-    forest = fit_forest(*training_rows(stats.where(~failed), labels, label_col, train_rows, id_col), **forest)
+    forest = fit_forest(labelled_rows(stats.where(~failed), labels, label_col, id_col), train_rows, **forest)
     shown = ["doc_id", *S.COUNTS[:5]]
 
     def judge(batches):
@@ -189,13 +194,12 @@ def keep_good(docs, labels, id_col="doc_id", text_col="text", label_col="quality
               train_rows=TRAIN_ROWS, **forest):
     """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps.
 
-    The forest sees the labelled rows first; then one pass over the texts judges and
-    filters them where they are, so no row is moved and rows need no id.
+    One pass over the texts gives the statistics of labelled rows, which are joined with their labels without
+    the texts; a second judges and filters the texts where they are, so no text is moved and rows need no id.
     """
-    marked = docs.join(F.broadcast(chosen_labels(labels, label_col, train_rows, id_col)), F.col(id_col).cast("long") == F.col("labelled_id"))
-    stats = with_features(S.statistics(marked.select(F.col("labelled_id").alias("doc_id"), F.col(text_col).alias("text"))))
+    stats = with_features(S.statistics(docs, id_col, text_col))
     failed = base_rule(min_words, max_repeats)
-    forest = fit_forest(*training_rows(stats.where(~failed), labels, label_col, train_rows, id_col), **forest)
+    forest = fit_forest(labelled_rows(stats.where(~failed), labels, label_col, id_col), train_rows, **forest)
 
     def judge(batches):
         for batch in pieces(batches, text_col):
