@@ -220,3 +220,17 @@ def test_stars_cover_every_member_that_is_near_another():
     row, column = op7_jaccard.hubs(near)
     assert near[row, column].all() and len(row) <= 50 and len(row) >= max(near.any(axis=1).sum(), near.any(axis=0).sum()) // 2
     assert len(op7_jaccard.hubs(np.zeros((3, 3), dtype=bool))[0]) == 0
+
+
+def test_test_windows_take_little_memory():
+    import pickle
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    items = [(str(i), " ".join(rng.choice(words) for _ in range(rng.randrange(3, 400)))) for i in range(900)]
+    size = sum(len(text) for _, text in items)
+    grams = op9_decontaminate.Grams(items, 10)
+    arrays = [grams.data, grams.starts, grams.ends, grams.first, *(x for table in grams.tables.values() for x in table)]
+    # a slice of 32 MB of text stays below 300 MB
+    assert size > 900_000 and sum(a.nbytes for a in arrays) < 6 * size and len(pickle.dumps(grams)) < 7 * size

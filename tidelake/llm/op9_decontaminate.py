@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # test text in one broadcast set; a larger test set is scanned for in several passes
 SLICE_BYTES = 32 << 20
 PIECE_BYTES = 1 << 20
+# windows whose words a task remembers
+KNOWN_WINDOWS = 100_000
 HITS = "doc_id long, text string, spans array<struct<low:long,high:long>>, items array<string>"
 KEPT = ["doc_id", "text", "spans", "items"]
 SCHEMA = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
@@ -35,44 +37,62 @@ def pieces(batches, column="text", size=PIECE_BYTES):
 
 
 class Grams:
-    """The windows of test items: hash, normalised words, and the items that hold them."""
+    """The windows of test items: their sorted hashes and where they stand in the items' text.
+
+    Flat arrays only: about 12 bytes a window beside 8 a word and the text itself, in memory as in the broadcast.
+    Words are compared at the place in the text that a hash names.
+    """
 
     def __init__(self, items, size):
-        texts = pa.array([text for _, text in items], pa.string())
-        data, offsets = K.text_bytes(texts, lower=True)
-        starts, ends, first = K.words(data, offsets, K.ALNUM)
-        h = K.span_hashes(data, starts, ends)
-        held = {}
-        for i, (name, _) in enumerate(items):
-            own, low = h[first[i]:first[i + 1]], first[i]
-            length = min(size, len(own))
-            if length:
-                for j, key in enumerate(K.window_hashes(own, length).tolist()):
-                    words = joined(data, starts, ends, low + j, length)
-                    held.setdefault(length, {}).setdefault((key, words), set()).add(name)
-        self.tables = {}
-        for length, found in held.items():
-            keys = np.array(sorted({key for key, _ in found}), dtype=np.uint64)
-            self.tables[length] = (keys, found, self.sieve(keys))
+        self.names = [name for name, _ in items]
+        self.data, offsets = K.text_bytes(pa.array([text for _, text in items], pa.string()), lower=True)
+        starts, ends, self.first = K.words(self.data, offsets, K.ALNUM)
+        h, counts = K.span_hashes(self.data, starts, ends), np.diff(self.first)
+        self.starts, self.ends = starts.astype(np.uint32), ends.astype(np.uint32)
+        owner, self.tables = K.owners(self.first), {}
+        for length in sorted({min(size, int(n)) for n in np.unique(counts) if n}):
+            window = K.window_hashes(h, length)
+            if length == size:
+                at = np.flatnonzero(owner[:len(window)] == owner[length - 1:][:len(window)])
+            else:
+                at = self.first[:-1][counts == length]
+            at = at[np.argsort(window[at], kind="stable")].astype(np.uint32)
+            self.tables[length] = (window[at], at, self.sieve(window[at]))
+        self.known = {}
 
     @staticmethod
     def sieve(keys):
-        """One bit for the low bits of each hash: most windows are ruled out at once."""
-        bits = max(16, int(len(keys) * 16).bit_length())
+        """A bit for the low bits of each hash: most windows are ruled out at once."""
+        bits = max(16, int(len(keys) * 8).bit_length())
         table = np.zeros(1 << bits, dtype=bool)
         table[(keys & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-        return table
+        return np.packbits(table, bitorder="little")
+
+    def texts(self, length, key):
+        """{words: items} of the windows with a hash; looked at when first hit."""
+        if (length, key) not in self.known:
+            if len(self.known) >= KNOWN_WINDOWS:
+                self.known.clear()
+            keys, at, _ = self.tables[length]
+            low, high = np.searchsorted(keys, [np.uint64(key)], side="left")[0], np.searchsorted(keys, [np.uint64(key)], side="right")[0]
+            held = {}
+            for p in at[low:high].tolist():
+                name = self.names[int(np.searchsorted(self.first, p, side="right")) - 1]
+                held.setdefault(joined(self.data, self.starts, self.ends, p, length), set()).add(name)
+            self.known[length, key] = held
+        return self.known[length, key]
 
     def hits(self, data, starts, ends, first, h):
         """(position, length, items) of every verified occurrence."""
         owner = K.owners(first)
-        for length, (keys, found, sieve) in self.tables.items():
+        for length, (keys, _, sieve) in self.tables.items():
             window = K.window_hashes(h, length)
-            at = np.flatnonzero(sieve[(window & np.uint64(len(sieve) - 1)).astype(np.int64)])
+            bit = (window & np.uint64(8 * len(sieve) - 1)).astype(np.int64)
+            at = np.flatnonzero(sieve[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             at = at[owner[at] == owner[at + length - 1]]
             at = at[K.lookup(window[at], keys) >= 0]
             for p in at.tolist():
-                names = found.get((int(window[p]), joined(data, starts, ends, p, length)))
+                names = self.texts(length, int(window[p])).get(joined(data, starts, ends, p, length))
                 if names is not None:
                     yield p, length, names
 
