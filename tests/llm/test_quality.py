@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ def unigrams(rows):
 def test_unigram_scores(spark, small, odd, odd_rows):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for frame, rows in ((docs, [tuple(r) for r in docs.select("doc_id", "text").collect()]), (odd, odd_rows)):
-        have = op5_classes.score_texts(frame, rounds=1, block_bytes=5000).collect()
+        have = op5_classes.score_texts(frame, rounds=1, parts=2, sweeps=1, block_bytes=5000).collect()
         key = lambda r: (repr(r[:4]), r[4])
         for a, b in zip(sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in have), key=key),
                         sorted(unigrams(rows), key=key)):
@@ -156,10 +157,91 @@ def test_class_bigrams_beat_unigrams_on_held_out_texts(spark):
     assert (rows.score > rows.base_score).mean() > 0.9
 
 
+def class_bigrams(rows, kind, n_classes):
+    """Scores of a class bigram model, word by word, with the class of each word given."""
+    own = [[*brute.words(t, lower=True), None] for _, t in rows]
+    train = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    count, size, kinds, pairs, after, before = Counter(), Counter(), Counter(), Counter(), Counter(), Counter()
+    for words, learns in zip(own, train):
+        if learns:
+            count.update(words)
+            for a, b in zip([None, *words], words):
+                pairs[kind[a], kind[b]] += 1
+                before[kind[a]] += 1
+                after[kind[b]] += 1
+    for w, n in count.items():
+        size[kind[w]] += n
+        kinds[kind[w]] += 1
+    total, out = sum(after.values()), []
+    for words in own:
+        score = 0.0
+        for a, b in zip([None, *words], words):
+            share = (after[kind[b]] + 1) / (total + n_classes)
+            score += math.log10((pairs[kind[a], kind[b]] + share) / (before[kind[a]] + 1))
+            mass = count[b] - 0.5 if count[b] else 0.5 * kinds[kind[b]] + 1
+            score += math.log10(mass / (size[kind[b]] + 1))
+        out.append(score)
+    return out
+
+
+def test_scores_are_those_of_a_class_bigram_model(spark, small, odd, odd_rows):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for frame, rows in ((odd, odd_rows), (docs, [tuple(r) for r in docs.select("doc_id", "text").collect()])):
+        settings = dict(n_classes=8, rounds=2, least=3, head_share=0.01, parts=3, sweeps=2, block_bytes=20000)
+        classes = {r.h: r for r in op5_classes.word_classes(frame, **settings).collect()}
+        names = sorted({w for _, t in rows for w in brute.words(t, lower=True)})
+        kind = {None: 0}
+        for w in names:
+            h = op5_classes.tokens(pa.array([w]))[0]
+            kind[w] = classes[int(h.view(np.int64)[0])]["class"]
+        assert len(classes) == len(names) and all(1 <= kind[w] < 8 for w in names)
+        have = sorted(((repr(r.doc_id), r.score) for r in op5_classes.score_texts(frame, **settings).collect()))
+        want = sorted((repr(i), s) for (i, _), s in zip(rows, class_bigrams(rows, kind, 8)))
+        assert [a for a, _ in have] == [a for a, _ in want]
+        assert np.allclose([b for _, b in have], [b for _, b in want])
+
+
+def test_frequent_words_leave_the_class_of_their_shape(spark):
+    rng = np.random.default_rng(3)
+    # the words of both kinds have one shape and take turns: only their neighbours tell them apart
+    kinds = [[f"a{k}{i}xyz" for i in range(15)] for k in (1, 2)]
+    marks = ["on", "off"]
+    rows = [(d, " ".join(w for _ in range(60) for k in (int(rng.integers(2)),) for w in (marks[k], rng.choice(kinds[k])))) for d in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = {r.h: r["class"] for r in op5_classes.word_classes(frame, n_classes=6, rounds=3, head_share=0.1, parts=8).collect()}
+    found = [{classes[int(op5_classes.tokens(pa.array([w]))[0].view(np.int64)[0])] for w in kind} for kind in kinds]
+    assert not found[0] & found[1]
+
+
+def test_a_move_is_the_best_of_all():
+    rng = np.random.default_rng(2)
+    f = lambda n: np.sum(n * np.log(np.maximum(n, 1)))
+    first, code, count = [0], [], []
+    for _ in range(30):
+        for side in (0, 4):
+            some = rng.choice(4, rng.integers(1, 4), replace=False)
+            parts = rng.multinomial(40, np.ones(len(some)) / len(some))
+            code += [side + int(c) for c in some]
+            count += parts.tolist()
+        first.append(len(code))
+    first, code, count = np.array(first), np.array(code), np.array(count)
+    classes = rng.integers(1, 4, 30)
+    def matrix(own):
+        out = np.zeros((8, 4))
+        np.add.at(out, (code, np.repeat(own, np.diff(first))), count)
+        return out
+    def value(own):
+        return f(matrix(own)) - 2 * f(matrix(own)[:4].sum(0))
+    moved = op5_classes.best_classes(first, code, count, classes, matrix(classes), np.arange(30) % 2 == 0)
+    assert (moved[1::2] == classes[1::2]).all() and (moved != classes).any()
+    for i in range(0, 30, 2):
+        tried = [value(np.where(np.arange(30) == i, k, classes)) for k in (1, 2, 3)]
+        assert tried[moved[i] - 1] == pytest.approx(max(tried))
+
+
 def test_class_probabilities_sum_to_one():
-    units = op5_classes.Units(np.empty(0, dtype=np.uint64))
     size, kinds = np.array([3.0, 100.0, 0.0]), np.array([1.0, 40.0, 0.0])
-    model = op5_classes.ClassModel(units, np.zeros(units.count, dtype=int), np.zeros((3, 3)), size, kinds, 103, 41)
+    model = op5_classes.ClassModel(size, kinds, 103, 41)
     counts = np.array([61.0] + [1.0] * 39)
     known = (10 ** model.word_scores(counts, np.ones(40, dtype=int))).sum()
     unknown = 10 ** model.word_scores(np.array([0.0]), np.array([1]))[0]
@@ -184,7 +266,7 @@ def test_exchange_raises_the_likelihood():
         return f(pairs) - f(pairs.sum(0)) - f(pairs.sum(1))
     before = likelihood(classes)
     for _ in range(4):
-        classes, _ = op5_classes.exchange(tally(classes), classes, 4)
+        classes, _ = op5_classes.exchange(tally(classes), classes, 4, 40)
     assert likelihood(classes) > before and classes[40] == 0
     assert len(set(classes[:40][kind == 0]) & set(classes[:40][kind == 1])) == 0
 
