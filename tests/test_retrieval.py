@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -88,3 +89,23 @@ def test_history_keeps_the_last_turns(spark):
     frame = spark.createDataFrame(turns, "conv int, turn int, role string, text string")
     rows = retrieval.history(frame, "conv", "turn", "role", "text", 2).orderBy("turn").collect()
     assert [(r["turn"], r["history"]) for r in rows] == [(0, ""), (2, "m0\nm1"), (4, "m2\nm3")]
+
+
+def test_a_batch_of_texts_is_hashed_in_slices(monkeypatch):
+    texts = pa.array(["b a b", None, "", "c" * 50, "a  d", "e f g h i j"] * 20)
+    whole, seen, split = kernels.hashed_texts(texts, 16), [], kernels.pc.split_pattern_regex
+    monkeypatch.setattr(kernels, "TEXT_BYTES", 60, raising=False)
+    monkeypatch.setattr(kernels.pc, "split_pattern_regex", lambda t, p: seen.append(t.nbytes) or split(t, p))
+    assert kernels.hashed_texts(texts, 16).equals(whole) and len(whole) == 120
+    assert len(seen) > 20 and len(kernels.hashed_texts(texts[:0], 16)) == 0
+
+
+def test_chunks_leave_a_batch_slice_by_slice(spark, monkeypatch):
+    texts = ["aa bb cc dd " * n for n in range(1, 40)]
+    monkeypatch.setattr(kernels, "TEXT_BYTES", 400, raising=False)
+    parts = [list(p) for p in kernels.chunk_slices(pa.array([None, "", *texts]), 30, 5)]
+    assert len(parts) > 10 and all(sum(len(texts[at - 2]) for at in set(p[0])) <= 480 for p in parts)
+    frame = spark.createDataFrame([(n, "k", t) for n, t in enumerate(texts)] + [(None, "k", "x")], "id int, other string, body string")
+    got = [tuple(r) for r in retrieval.split_text(frame, "id", "body", 30, 5).collect()]
+    want = [(n, i, a, t[a:b]) for n, t in [*enumerate(texts), (None, "x")] for i, (a, b) in enumerate(kernels.chunk_text(t, 30, 5))]
+    assert sorted(got, key=str) == sorted(want, key=str)

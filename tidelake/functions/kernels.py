@@ -65,19 +65,54 @@ def chunk_text(text, size, overlap):
     return merge_pieces(split_pieces(text, size), size, overlap)
 
 
+def chunk_slices(texts, size, overlap):
+    """For each slice of an Arrow array of texts the chunks as columns: place of the text, number, start, chunk."""
+    for first, end in text_slices(texts):
+        rows = [(at, number, start, text[start:stop])
+                for at, text in enumerate(texts.slice(first, end - first).to_pylist(), first) if text is not None
+                for number, (start, stop) in enumerate(chunk_text(text, size, overlap))]
+        if rows:
+            yield zip(*rows)
+
+
 def token_bucket(token, dim):
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
 
 
+# bytes of text that are worked on at once
+TEXT_BYTES = 4 << 20
+
+
+def text_slices(texts):
+    """(start, end) of runs of rows of up to ``TEXT_BYTES`` of text, one row at least."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(size), 0
+    while start < len(size):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right")))
+        yield start, end
+        start = end
+
+
 def hashed_texts(texts, dim):
     """Unit vectors of hashed token counts for an Arrow array of texts; NULL stays NULL.
 
-    Tokens are split, numbered and counted by Arrow and numpy; only distinct tokens
-    of a batch are hashed one by one.
+    The tokens of a batch take several times its bytes, so it is cut into slices.
     """
+    known = {}
+    parts = [_hashed_slice(texts.slice(start, end - start), dim, known) for start, end in text_slices(texts)]
+    return pa.concat_arrays(parts) if parts else _hashed_slice(texts, dim, known)
+
+
+def _hashed_slice(texts, dim, known):
+    """Tokens are split, numbered and counted by Arrow and numpy; only those not yet ``known`` are hashed one by one."""
     lists = pc.split_pattern_regex(pc.utf8_lower(texts), "[ \\t\\r\\n]+")
     coded = lists.flatten().dictionary_encode()
-    buckets = np.array([token_bucket(w, dim) if w else -1 for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    words = coded.dictionary.to_pylist()
+    for word in words:
+        if word not in known:
+            known[word] = token_bucket(word, dim) if word else -1
+    buckets = np.array([known[word] for word in words], dtype=np.int64)
     bucket = buckets[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, dtype=np.int64)
     row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     used = bucket >= 0
@@ -172,6 +207,16 @@ def better_rows(scores, floor, k, slack=0.0):
     return at[0], at[1]
 
 
+# pairs whose vectors are held at once
+PAIRS = 100_000
+
+
+def pair_distances(questions, corpus, q, r):
+    """Exact distances of the listed pairs of rows."""
+    parts = [exact_distances(questions[q[low:low + PAIRS]], corpus[r[low:low + PAIRS]]) for low in range(0, len(q), PAIRS)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def keep_top(frame, k, question, ids):
     """The k best rows of every question, ties by id."""
     frame = frame.sort_values([question, "score", *ids], ascending=[True, False] + [True] * len(ids))
@@ -182,11 +227,12 @@ def keep_top(frame, k, question, ids):
 SCORE_CELLS = 8_000_000
 
 
-def top_rows(batches, questions, names, k, metric, ids, exclude_self):
+def top_rows(batches, questions, names, k, metric, ids, exclude_self, carry=()):
     """Best k rows per question over an iterator of (first id column, matrix, lengths, take).
 
-    ``take`` gives the frame of the rows at the listed positions. Distances are taken
-    again by differences for the rows that may be among the nearest.
+    ``take`` gives the frame of the ids of the rows at the listed positions, or of other columns.
+    Distances are taken again by differences for the rows that may be among the nearest. The
+    columns to ``carry`` are fetched once per row, and only for the best k of a batch.
     """
     best, pending, waiting = None, [], 0
     floor = np.full(len(names), -np.inf)
@@ -213,7 +259,12 @@ def top_rows(batches, questions, names, k, metric, ids, exclude_self):
                 continue
             found = take(r + low)
             found.insert(0, "_q", q)
-            found["score"] = exact_distances(questions[q], matrix[r + low]) if metric == "l2" else scores[q, r]
+            found["score"] = pair_distances(questions, matrix, q, r + low) if metric == "l2" else scores[q, r]
+            if carry:
+                found = keep_top(found.assign(_at=r + low), k, "_q", ids)
+                rows, own = np.unique(found["_at"].to_numpy(), return_inverse=True)
+                held = take(rows, carry).iloc[own].set_axis(found.index)
+                found = pd.concat([found.drop(columns="_at"), held], axis=1)
             pending.append(found)
             waiting += len(found)
             if best is None or waiting > 2 * len(best):
