@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelake.functions import kernels
 from tidelake.operators import skew
@@ -25,14 +26,16 @@ def split_text(df: DataFrame, id_col: str, text_col: str, chunk_size: int, overl
     schema = T.StructType([df.schema[id_col], T.StructField("chunk_no", T.IntegerType()),
                            T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())])
 
+    target = to_arrow_schema(schema)
+
     def chunks(batches):
         for batch in batches:
-            rows = [(key, number, start, text[start:end])
-                    for key, text in zip(batch[id_col], batch[text_col]) if text is not None
-                    for number, (start, end) in enumerate(kernels.chunk_text(text, chunk_size, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "start", "text"])
+            # chunks take several times the bytes of their text: a slice of the batch at a time
+            for place, *columns in kernels.chunk_slices(batch.column(1), chunk_size, overlap):
+                columns = [batch.column(0).take(pa.array(place)), *(pa.array(c, type=t) for c, t in zip(columns, target.types[1:]))]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return df.select(id_col, text_col).mapInPandas(chunks, schema)
+    return df.select(id_col, text_col).mapInArrow(chunks, schema)
 
 
 def embed_text(df: DataFrame, id_cols, text_col: str, dim: int = 64, model=None) -> DataFrame:
