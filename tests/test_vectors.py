@@ -105,6 +105,25 @@ def test_scores_are_computed_in_bounded_blocks(monkeypatch):
     assert whole.reset_index(drop=True).equals(cut.reset_index(drop=True)) and len(cut) == 28
 
 
+def test_carried_columns_are_fetched_once_per_row_of_the_best(spark):
+    """1,000 equal rows: a batch hands on k of them, not one per question and row."""
+    questions, corpus, fetched = np.ones((50, 4)), np.ones((1000, 4)), []
+    columns = {"id": np.arange(1000)[::-1].copy(), "text": np.array([f"t{i}" for i in range(999, -1, -1)], dtype=object)}
+
+    def take(at, names=("id", "text")):
+        if "text" in names:
+            fetched.extend(at)
+        return pd.DataFrame({c: columns[c][at] for c in names})
+
+    part = [(pd.Series(columns["id"]), corpus, np.full(1000, 2.0), lambda at, names=("id",): take(at, names))] * 2
+    best = kernels.top_rows(part, questions, list(range(50)), 3, "cosine", ["id"], False, ["text"])
+    assert len(fetched) <= 6 and len(best) == 150 and set(best["text"]) == {"t0", "t1"}
+    rows = spark.createDataFrame([(i, f"t{i}", [1.0, 0.0]) for i in range(600)], "id int, text string, v array<double>")
+    asked = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(300)], "query_id int, v array<double>")
+    got = vectors.topk(asked, rows.coalesce(1), "id", "v", 2, "dot", carry=["text"]).collect()
+    assert {(r["rank"], r["id"], r["text"]) for r in got} == {(1, 0, "t0"), (2, 1, "t1")} and len(got) == 600
+
+
 def test_topk_with_fewer_rows_than_k_and_no_queries(spark, docs):
     queries = docs.select(F.col("id").alias("query_id"), "embedding")
     assert vectors.topk(queries, docs, "id", "embedding", 10).count() == 9

@@ -30,6 +30,9 @@ MERGE_SALTS = 1024
 # them are answered slice by slice
 BLOCK_BYTES = 32 << 20
 
+# rows that a task hands back at once: they may carry long texts
+ANSWER_ROWS = 256
+
 
 def dot_of_pairs(pairs: DataFrame, vectors: DataFrame, id_col: str, vec_col: str,
                  a: str = "id_a", b: str = "id_b") -> DataFrame:
@@ -129,18 +132,19 @@ def _broadcast_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_
         def parts():
             for batch in batches:
                 if batch.num_rows:
-                    def take(at, batch=batch):
+                    def take(at, columns=ids, batch=batch):
                         # as objects: a NULL must not turn whole numbers into floats
                         return pd.DataFrame({c: pd.Series(batch.column(c).take(pa.array(at)).to_pylist(), dtype=object)
-                                             for c in kept})
+                                             for c in columns})
 
                     yield batch.column(ids[0]).to_pandas(), *kernels.stack_vectors(batch.column("_v"), matrix.shape[1]), take
 
-        best = kernels.top_rows(parts(), matrix, names, k, metric, ids, exclude_self) if names else None
-        if best is not None and len(best):
-            columns = [pa.array([names[q] for q in best["_q"]], type=target.field(0).type)]
-            columns += [pa.array(best[c].tolist(), type=target.field(c).type) for c in kept]
-            columns.append(pa.array(best["score"].to_numpy(), type=pa.float64()))
+        best = kernels.top_rows(parts(), matrix, names, k, metric, ids, exclude_self, kept[len(ids):]) if names else None
+        for low in range(0, 0 if best is None else len(best), ANSWER_ROWS):
+            some = best.iloc[low:low + ANSWER_ROWS]
+            columns = [pa.array([names[q] for q in some["_q"]], type=target.field(0).type)]
+            columns += [pa.array(some[c].tolist(), type=target.field(c).type) for c in kept]
+            columns.append(pa.array(some["score"].to_numpy(), type=pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     return rows.mapInArrow(best_of_partition, schema)
