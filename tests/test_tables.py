@@ -149,6 +149,15 @@ def test_compact(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(dst).collect()) == list(range(1000))
 
 
+def test_compact_shuffles_no_rows(spark, tmp_path, monkeypatch):
+    src, dst = str(tmp_path / "many"), str(tmp_path / "few")
+    spark.range(200_000).repartition(16).write.parquet(src)
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda *args: pytest.fail("rows are shuffled"))
+    target = layout._folder_bytes(spark, src) // 2 + 1
+    assert layout.compact(spark, src, dst, target) == 2 == len(glob.glob(dst + "/*.parquet"))
+    assert spark.read.parquet(dst).selectExpr("count(*)", "sum(id)").first() == (200_000, 199_999 * 100_000)
+
+
 def test_malformed_documents_raise(spark, tmp_path):
     (tmp_path / "d.csv").write_text('doc_id,text\n1,"a\nb ""quoted"" "\nx,y\n')
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])

@@ -94,8 +94,18 @@ def files_for(spark, path: str, target_bytes: int = 256 << 20) -> int:
     return max(1, math.ceil(_folder_bytes(spark, path) / target_bytes))
 
 
+# with this many splits for each file, coalesced files differ by a split at most
+SPLITS_PER_FILE = 2
+
+
 def compact(spark, src: str, dst: str, target_bytes: int = 256 << 20) -> int:
-    """Rewrite the Parquet files under ``src`` as about equal ones at ``dst``; gives their number."""
+    """Rewrite the Parquet files under ``src`` as about equal ones at ``dst``; gives their number.
+
+    A task reads the splits that make up its file, about ``target_bytes`` of Parquet; rows, several times
+    as large outside their files, are shuffled only where the input comes in too few splits to be dealt out.
+    """
     n = files_for(spark, src, target_bytes)
-    spark.read.parquet(src).repartition(n).write.mode("errorifexists").parquet(dst)
+    rows = spark.read.parquet(src)
+    rows = rows.coalesce(n) if n == 1 or rows.rdd.getNumPartitions() >= SPLITS_PER_FILE * n else rows.repartition(n)
+    rows.write.mode("errorifexists").parquet(dst)
     return n
