@@ -12,6 +12,7 @@ Rows may arrive out of order by the watermark's delay; later ones are left out,
 from __future__ import annotations
 
 import sys
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -128,7 +129,11 @@ def run_numbers(rows: pd.DataFrame):
 
 def previous_stats(values: np.ndarray, n: int):
     """(mean, sample deviation, count) of the values among the ``n`` entries before each; the first n entries are the past."""
-    seen = np.lib.stride_tricks.sliding_window_view(values[:-1], n)
+    return window_stats(np.lib.stride_tricks.sliding_window_view(values[:-1], n))
+
+
+def window_stats(seen: np.ndarray):
+    """(mean, sample deviation, count) of the values in each row of a matrix."""
     count = (~np.isnan(seen)).sum(axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):
         mean = np.nansum(seen, axis=1) / count
@@ -139,14 +144,31 @@ def previous_stats(values: np.ndarray, n: int):
 STATS = "flags int, mean double, sd double, n int"
 
 
+# keys of a bucket are remembered in this many parts, each one entry of the state
+PARTS = 256
+
+# windows that are computed at once
+WINDOWS = 50_000
+
+
 class Memory(StatefulProcessor):
-    """Completes the first rows of each slice with the last ``n`` values before it, kept per key in a map."""
+    """Completes the first rows of each slice with the last ``n`` values before it.
+
+    They are kept for a part of the keys in one entry of a map, so a batch asks the state once for
+    each part and not for each key; a part's entry holds its keys' values one after the other.
+    """
 
     def __init__(self, n: int):
         self.n = n
 
     def init(self, handle):
-        self.last = handle.getMapState("last", "k string, missing boolean", "v array<double>")
+        self.last = handle.getMapState("last", "part int", "k array<string>, v array<double>")
+
+    def held(self, part: int) -> dict:
+        if not self.last.containsKey((part,)):
+            return {}
+        keys, values = self.last.getValue((part,))
+        return dict(zip(keys, np.array(values, dtype=float).reshape(len(keys), self.n)))
 
     def handleInputRows(self, key, rows, timerValues):
         flagged = []
@@ -158,24 +180,30 @@ class Memory(StatefulProcessor):
                 flagged.append(frame[~plain])
         if not flagged:
             return
+        n = self.n
         rows = pd.concat(flagged, ignore_index=True).sort_values(["k", "us", "tie"], kind="stable", na_position="first").reset_index(drop=True)
         _, sizes, starts = run_numbers(rows)
-        values, head = rows["v"].to_numpy(dtype=float), (rows["flags"] & 1).to_numpy() == 1
+        names = [k if isinstance(k, str) else None for k in rows["k"].iloc[starts]]
+        parts = [zlib.crc32((name or "").encode()) % PARTS for name in names]
+        known = {part: self.held(part) for part in set(parts)}
+        # the past of each key stands before its rows
+        first = starts + n * np.arange(len(starts))
+        at = np.arange(len(rows)) + n * np.repeat(np.arange(1, len(starts) + 1), sizes[starts])
+        line = np.full(len(rows) + n * len(starts), np.nan)
+        line[at] = rows["v"].to_numpy(dtype=float)
+        for low, part, name in zip(first.tolist(), parts, names):
+            if name in known[part]:
+                line[low:low + n] = known[part][name]
         mean, sd, count = (rows[c].to_numpy(dtype=float, copy=True) for c in ("mean", "sd", "n"))
-        for low in starts.tolist():
-            high = low + int(sizes[low])
-            name = rows["k"].iloc[low]
-            own = (name if isinstance(name, str) else "", not isinstance(name, str))
-            before = np.full(self.n, np.nan)
-            if self.last.containsKey(own):
-                kept = [np.nan if x is None else x for x in self.last.getValue(own)[0]]
-                before[self.n - len(kept):] = kept
-            line = np.concatenate([before, values[low:high]])
-            at = np.flatnonzero(head[low:high])
-            if len(at):
-                m, s, c = previous_stats(line, self.n)
-                mean[low + at], sd[low + at], count[low + at] = m[at], s[at], c[at]
-            self.last.updateValue(own, ([None if np.isnan(x) else float(x) for x in line[-self.n:]],))
+        heads = np.flatnonzero((rows["flags"] & 1).to_numpy() == 1)
+        for low in range(0, len(heads), WINDOWS):
+            some = heads[low:low + WINDOWS]
+            mean[some], sd[some], count[some] = window_stats(line[at[some][:, None] + np.arange(-n, 0)])
+        for end, part, name in zip((first + n + sizes[starts]).tolist(), parts, names):
+            known[part][name] = line[end - n:end]
+        for part, kept in known.items():
+            values = np.concatenate(list(kept.values()))
+            self.last.updateValue((part,), (list(kept), [None if np.isnan(x) else x for x in values.tolist()]))
         yield rows.assign(mean=mean, sd=sd, n=count.astype(np.int32)).drop(columns=["lane"])
 
     def close(self):
