@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import kernels, vector
@@ -234,3 +236,79 @@ def test_rows_go_to_the_nearest_centre_of_the_nearest_coarse_one():
         own = members[int(((tops - row) ** 2).sum(axis=1).argmin())]
         assert cell == own[((centres[own] - row) ** 2).sum(axis=1).argmin()]
     assert len(kernels.lloyd(np.ones((50, 3)), 5, 1)) == 1
+
+
+def test_few_copies_of_a_vector_are_scored():
+    rng = np.random.default_rng(5)
+    corpus = np.concatenate([np.ones((1000, 4)), rng.normal(size=(20, 4))])
+    ids = pa.array([None, *range(1019, 0, -1)], pa.int64())
+    kept = kernels.fewer_copies(corpus, np.linalg.norm(corpus, axis=1), [ids], 3)
+    assert kept.tolist() == [0, 998, 999, *range(1000, 1020)]
+    assert kernels.fewer_copies(corpus[1000:], np.ones(20), [ids[1000:]], 3) is None
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_few_pairs_leave_the_cells(metric):
+    """2,000 rows and 200 questions: a few pairs for each question are handed on, the best ones among them."""
+    rng = np.random.default_rng(6)
+    questions, corpus = rng.normal(size=(200, 8)), rng.normal(size=(2000, 8))
+    corpus[500:1500], cells = corpus[0], np.arange(2000, dtype=np.int32) % 4
+    visits, whole = {c: np.arange(200) for c in (0, 2, 3)}, np.linalg.norm(corpus, axis=1)
+    parts = [(cells[low:low + 500], pa.array(range(low, low + 500)), corpus[low:low + 500], whole[low:low + 500], np.zeros(500, dtype=bool))
+             for low in range(0, 2000, 500)]
+    place, found = [], {}
+
+    def batches():
+        for low, part in zip(range(0, 2000, 500), parts):
+            place[:] = [low]
+            yield part
+
+    pairs = 0
+    for number, row, score, unknown in kernels.near_in_cells(batches(), questions, visits, 5, metric):
+        pairs += len(number)
+        assert not unknown.any() and not (cells[row + place[0]] == 1).any()
+        for q, r, s in zip(number, row + place[0], score):
+            found.setdefault(q, []).append((-s if metric != "l2" else s, r))
+    assert pairs < 20_000
+    asked = np.flatnonzero(cells != 1)
+    for q in range(200):
+        exact = np.round(np.linalg.norm(corpus[asked] - questions[q], axis=1) if metric == "l2" else
+                         -corpus[asked] @ questions[q] / (whole[asked] * np.linalg.norm(questions[q]) if metric == "cosine" else 1.0), 6)
+        want = [r for _, r in sorted(zip(exact, asked))[:5]]
+        assert [r for _, r in sorted((round(s, 6), r) for s, r in found[q])[:5]] == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_approximate_search_scores_as_the_plain_expressions(spark, monkeypatch, metric):
+    """Copies, NULL and infinite positions, NaN and zero vectors; questions in slices."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)] + [(100 + i, [0.5, 0.5, 0.5, 9.0]) for i in range(40)]
+    rows += [(200, [0.0, 0.0, 0.0]), (201, [None, 1.0, 1.0]), (202, [float("nan"), 1.0, 1.0]), (203, [float("inf"), 0.0, 1.0])]
+    corpus = spark.createDataFrame(rows, "id int, v array<double>").withColumn("cell", F.col("id") % 3)
+    path = run_dir(spark, "index")
+    corpus.write.partitionBy("cell").parquet(f"{path}/rows")
+    sizes = corpus.groupBy("cell").agg(F.count("*").alias("n"))
+    sizes.withColumn("centre", F.array(F.col("cell").cast("double"), F.lit(0.0), F.lit(0.0))).write.parquet(f"{path}/centres")
+    asked = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(10)] + [(10, [0.5, 0.5, 0.5]), (11, [0.0, 0.0, 0.0]),
+                                  (12, None), (None, [1.0, 1.0, 1.0])], "query_id int, v array<double>")
+    monkeypatch.setattr(vectors, "BLOCK_QUESTIONS", 4)
+    monkeypatch.setattr(kernels, "SCORE_CELLS", 100)
+    score = F.round(vectors.METRICS[metric]("q", "v"), 6)
+    pairs = asked.filter("query_id IS NOT NULL AND v IS NOT NULL").withColumnRenamed("v", "q").crossJoin(corpus).select("query_id", "id", score.alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.asc("score") if metric == "l2" else F.desc("score"), "id")
+    want = pairs.withColumn("rank", F.row_number().over(order)).filter("rank <= 6")
+    got = vectors.ann_topk(asked, path, "id", "v", 6, probes=3, metric=metric)
+    assert got.columns == want.columns and dict(got.dtypes) == dict(want.dtypes)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 72
+    # pairs are not joined and scored one by one
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
+    ragged = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0])], "query_id int, v array<double>")
+    with pytest.raises(ValueError, match="lengths"):
+        vectors.ann_topk(ragged, path, "id", "v", 2)
+    assert vectors.ann_topk(asked.limit(0), path, "id", "v", 2).isEmpty()
+
+
+def test_cells_are_probed_until_they_hold_k_rows():
+    centres, sizes = np.array([[0.0], [1.0], [2.0], [3.0]]), np.array([1, 1, 5, 9])
+    near = kernels.probed_cells(np.array([[0.1], [3.0], [np.nan]]), centres, sizes, 1, 3)
+    assert [at.tolist() for at in near] == [[0, 1, 2], [3], []]

@@ -194,6 +194,34 @@ def exact_distances(questions, corpus):
     return -np.round(np.sqrt(((questions - corpus) ** 2).sum(axis=1)), 6)
 
 
+def score_error(questions, corpus, metric):
+    """How far a score by ``score_matrix`` can be from the exact one before both are rounded."""
+    if metric == "l2":
+        return distance_error(questions, corpus)
+    most = 1.0 if metric == "cosine" else np.sqrt((questions ** 2).sum(1).max(initial=0.0) * (corpus ** 2).sum(1).max(initial=0.0))
+    return 2e-6 + most * questions.shape[1] * 1e-14
+
+
+def fewer_copies(matrix, lengths, ids, k):
+    """Positions of the rows that can be in a top k: of equal vectors the ``k`` with the smallest ids; None for all.
+
+    ``ids`` are Arrow columns in the order of ties.
+    """
+    if len(matrix) <= k or any(pa.types.is_nested(column.type) for column in ids):
+        return None
+    whole = np.ascontiguousarray(np.column_stack([matrix, lengths]))
+    _, group, count = np.unique(whole.view(np.dtype((np.void, whole.strides[0]))).ravel(), return_inverse=True, return_counts=True)
+    many = count[group] > k
+    if not many.any():
+        return None
+    at = np.flatnonzero(many)
+    crowd = pa.table([pa.array(group[at]), *[column.take(pa.array(at)) for column in ids]], names=[str(i) for i in range(len(ids) + 1)])
+    order = pc.sort_indices(crowd, sort_keys=[(name, "ascending") for name in crowd.column_names], null_placement="at_start").to_numpy()
+    own = group[at][order]
+    first = np.arange(len(own)) - np.searchsorted(own, own) < k
+    return np.sort(np.concatenate([np.flatnonzero(~many), at[order[first]]]))
+
+
 def better_rows(scores, floor, k, slack=0.0):
     """Positions that can still reach the top k of their question.
 
@@ -270,3 +298,73 @@ def top_rows(batches, questions, names, k, metric, ids, exclude_self, carry=()):
             if best is None or waiting > 2 * len(best):
                 best, pending, waiting = merged(), [], 0
     return merged() if pending else best
+
+
+def probed_cells(questions, centres, sizes, probes, k):
+    """For every question the places of the ``probes`` nearest centres, and of further ones until their cells hold ``k`` rows."""
+    out = []
+    for question in questions:
+        distance = -exact_distances(question[None, :], centres)
+        # the k nearest cells hold k rows at least: none is empty
+        near = np.argsort(distance, kind="stable")[:max(probes, k)]
+        near = near[np.isfinite(distance[near])]
+        held = np.cumsum(sizes[near]) - sizes[near]
+        out.append(near[(np.arange(len(near)) < probes) | (held < k)])
+    return out
+
+
+def missing_values(column, dim=None):
+    """Which vectors of an Arrow list column have a NULL among the first ``dim`` positions, or anywhere."""
+    missing = np.zeros(len(column), dtype=bool)
+    if column.flatten().null_count:
+        size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(column)), size)
+        place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+        null = column.flatten().is_null().to_numpy(zero_copy_only=False)
+        missing[row[null & (place < (len(row) if dim is None else dim))]] = True
+    return missing
+
+
+def pair_scores(questions, corpus, lengths, q, r, metric):
+    """Scores of the listed pairs of rows, added up position by position as ``vector.l2`` and the others do."""
+    a, b = questions[q], corpus[r]
+    terms = (a - b) ** 2 if metric == "l2" else a * b
+    total = np.cumsum(terms, axis=1)[:, -1] if terms.shape[1] else np.zeros(len(terms))
+    if metric == "cosine":
+        whole = np.sqrt((a * a).sum(axis=1)) * lengths[r]
+        return np.divide(total, whole, out=np.zeros_like(total), where=whole != 0), whole == 0
+    return np.sqrt(total) if metric == "l2" else total, np.zeros(len(total), dtype=bool)
+
+
+def near_in_cells(batches, questions, visits, k, metric):
+    """Scored pairs that may be among the best ``k`` of a question, over an iterator of (cells, ids, matrix, lengths, missing).
+
+    ``visits`` has the numbers of the questions that probe a cell. Yields lists for up to ``PAIRS`` pairs: question, row of the
+    batch, score and whether it is unknown. The k-th best score so far bounds what is handed on; only these bounds are kept.
+    Rows whose score is not a number are always handed on.
+    """
+    best = np.full((len(questions), k), -np.inf)
+    for cells, ids, matrix, lengths, missing in batches:
+        odd = missing | ~np.isfinite(matrix).all(axis=1)
+        for cell in np.unique(cells):
+            asked = visits.get(int(cell), ())
+            rows = np.flatnonzero(cells == cell) if len(asked) else ()
+            few = fewer_copies(matrix[rows], lengths[rows], [ids.take(pa.array(rows))], k) if len(rows) else None
+            rows = rows if few is None else rows[few]
+            step = max(1, SCORE_CELLS // max(1, len(asked)))
+            for low in range(0, len(rows), step):
+                some = rows[low:low + step]
+                plain = matrix[some] if not odd[some].any() else np.where(odd[some][:, None], 0.0, matrix[some])
+                scores = score_matrix(questions[asked], plain, metric, lengths[some])
+                slack = score_error(questions[asked], plain, metric)
+                scores[:, odd[some]] = -np.inf
+                top = scores - slack
+                if top.shape[1] > k:
+                    top = np.partition(top, top.shape[1] - k, axis=1)[:, -k:]
+                top = np.concatenate([best[asked], top], axis=1)
+                best[asked] = np.partition(top, top.shape[1] - k, axis=1)[:, -k:]
+                q, r = np.nonzero((scores + slack >= best[asked].min(axis=1)[:, None]) | (scores == -np.inf))
+                for start in range(0, len(q), PAIRS):
+                    number, row = asked[q[start:start + PAIRS]], some[r[start:start + PAIRS]]
+                    score, unknown = pair_scores(questions, matrix, lengths, number, row, metric)
+                    yield number, row, score, unknown | missing[row]

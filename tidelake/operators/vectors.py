@@ -30,6 +30,9 @@ MERGE_SALTS = 1024
 # them are answered slice by slice
 BLOCK_BYTES = 32 << 20
 
+# and at most about this many questions, which bounds the pairs that a task scores
+BLOCK_QUESTIONS = 2048
+
 # rows that a task hands back at once: they may carry long texts
 ANSWER_ROWS = 256
 
@@ -70,10 +73,16 @@ def dot_with_first(df: DataFrame, group: str, id_col: str, vec_col: str, a: str
     return joined.select(F.col("_f.id").alias(a), F.col(id_col).alias(b), vector.dot(F.col("_f.v"), F.col(vec_col)).alias("dot_product"))
 
 
-def _size(df: DataFrame, vec_col: str, *others: str):
-    """Bytes of the vectors and the other columns of a frame."""
-    size = F.size(vec_col).cast("long") * 8 + F.octet_length(F.concat_ws(",", *[F.col(c).cast("string") for c in others]))
-    return df.agg(F.sum(size)).first()[0] or 0
+def _slices(df: DataFrame, key: str, block_bytes: int, *arrays: str) -> list[DataFrame]:
+    """The frame in slices of about ``block_bytes`` and ``BLOCK_QUESTIONS`` rows by a hash of ``key``; whole if it is small."""
+    size = sum(F.size(c).cast("long") * 8 for c in arrays) + F.octet_length(F.concat_ws(",", F.col(key).cast("string")))
+    rows, total = df.agg(F.count("*"), F.sum(size)).first()
+    slices = max(math.ceil((total or 0) / block_bytes), math.ceil(rows / BLOCK_QUESTIONS))
+    if slices <= 1:
+        return [df]
+    # hashed slices are not equally large
+    slices = 2 * slices
+    return [df.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == i) for i in range(slices)]
 
 
 def topk(queries: DataFrame, corpus: DataFrame, id_col, vec_col: str, k: int, metric: str = "cosine",
@@ -85,7 +94,7 @@ def topk(queries: DataFrame, corpus: DataFrame, id_col, vec_col: str, k: int, me
     ``query_id``, ``rank``, the id column(s), the corpus columns listed in
     ``carry`` and ``score`` (for l2 a distance).
     Every task returns at most ``k`` rows per query, so the corpus is never shuffled.
-    Queries beyond ``block_bytes`` are cut into slices, each a pass over the corpus. A corpus
+    Queries beyond ``block_bytes`` or ``BLOCK_QUESTIONS`` are cut into slices, each a pass over the corpus. A corpus
     vector counts up to the length of the queries; a shorter one raises, as do queries of
     different lengths. Computes the query side eagerly, once.
     """
@@ -101,12 +110,8 @@ def topk(queries: DataFrame, corpus: DataFrame, id_col, vec_col: str, k: int, me
     query_type = asked.schema[query_id].dataType
     schema = T.StructType([T.StructField(query_id, query_type), *[rows.schema[c] for c in kept],
                            T.StructField("score", T.DoubleType())])
-    slices = max(1, math.ceil(_size(asked, "_v", query_id) / block_bytes))
-    # hashed slices are not equally large
-    slices = slices if slices == 1 else 2 * slices
-    part = reduce(DataFrame.unionByName, [
-        _broadcast_top(asked.filter(F.pmod(F.xxhash64(query_id), F.lit(slices)) == i) if slices > 1 else asked,
-                       rows, schema, query_id, ids, kept, k, metric, exclude_self) for i in range(slices)])
+    part = reduce(DataFrame.unionByName, [_broadcast_top(some, rows, schema, query_id, ids, kept, k, metric, exclude_self)
+                                          for some in _slices(asked, query_id, block_bytes, "_v")])
     nearest = [F.desc("score"), *ids]
     if estimated_bytes(rows) > MERGE_BYTES:
         # very many tasks return k rows each: groups of tasks are merged first
@@ -132,12 +137,17 @@ def _broadcast_top(asked, rows, schema, query_id, ids, kept, k, metric, exclude_
         def parts():
             for batch in batches:
                 if batch.num_rows:
+                    vectors_, lengths = kernels.stack_vectors(batch.column("_v"), matrix.shape[1])
+                    few = kernels.fewer_copies(vectors_, lengths, [batch.column(c) for c in ids], k + bool(exclude_self))
+                    if few is not None:
+                        batch, vectors_, lengths = batch.take(pa.array(few)), vectors_[few], lengths[few]
+
                     def take(at, columns=ids, batch=batch):
                         # as objects: a NULL must not turn whole numbers into floats
                         return pd.DataFrame({c: pd.Series(batch.column(c).take(pa.array(at)).to_pylist(), dtype=object)
                                              for c in columns})
 
-                    yield batch.column(ids[0]).to_pandas(), *kernels.stack_vectors(batch.column("_v"), matrix.shape[1]), take
+                    yield batch.column(ids[0]).to_pandas(), vectors_, lengths, take
 
         best = kernels.top_rows(parts(), matrix, names, k, metric, ids, exclude_self, kept[len(ids):]) if names else None
         for low in range(0, 0 if best is None else len(best), ANSWER_ROWS):
@@ -282,21 +292,69 @@ def ann_topk(queries: DataFrame, index: str, id_col: str, vec_col: str, k: int,
     only against the queries that probe its cell. With as many probes as cells it is exact.
     """
     spark = queries.sparkSession
-    asked = materialize(queries.select(query_id, F.col(vec_col).cast("array<double>").alias("_q")), "queries")
-    centres = materialize(spark.read.parquet(f"{index}/centres"), "centres")
-    # the k nearest cells hold k rows at least: none is empty
-    near = topk(asked, centres, "cell", "centre", max(probes, k), "l2", query_id=query_id, query_vec="_q", carry=["n"])
-    before = Window.partitionBy(query_id).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    near = near.withColumn("_held", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    near = near.filter((F.col("rank") <= probes) | (F.col("_held") < k))
-    visits = materialize(asked.join(near.select(query_id, "cell"), query_id), "visits")
+    asked = queries.select(query_id, F.col(vec_col).cast("array<double>").alias("_q"))
+    asked = materialize(asked.filter(F.col(query_id).isNotNull() & F.col("_q").isNotNull()), "queries")
+    if len(asked.select(F.size("_q")).distinct().limit(2).collect()) > 1:
+        raise ValueError("queries have different lengths")
+    visits = materialize(_visits(asked, spark.read.parquet(f"{index}/centres"), probes, k), "visits")
     rows = spark.read.parquet(f"{index}/rows").select("cell", id_col, vec_col)
-    wanted = [row["cell"] for row in visits.select("cell").distinct().limit(MOST_FOLDERS + 1).collect()]
+    wanted = [row["cell"] for row in visits.select(F.explode("_cells").alias("cell")).distinct().limit(MOST_FOLDERS + 1).collect()]
     if len(wanted) <= MOST_FOLDERS:
-        # only these folders are listed; beyond that the join alone picks the rows, with the same result
+        # only these folders are listed; beyond that the visits alone pick the rows, with the same result
         rows = rows.filter(F.col("cell").isin(wanted))
-    score = F.round(METRICS[metric]("_q", vec_col), 6)
-    scored = rows.join(visits, "cell").select(query_id, id_col, score.alias("score"))
+    schema = T.StructType([visits.schema[query_id], rows.schema[id_col], T.StructField("score", T.DoubleType())])
+    part = reduce(DataFrame.unionByName, [_visited(some, rows, schema, query_id, id_col, vec_col, k, metric)
+                                          for some in _slices(visits, query_id, BLOCK_BYTES, "_q", "_cells")])
+    scored = part.withColumn("score", F.round("score", 6))
     nearest = F.asc("score") if metric == "l2" else F.desc("score")
     order = Window.partitionBy(query_id).orderBy(nearest, id_col)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _visits(asked, centres, probes, k):
+    """The queries with the list of the cells they probe; there are at most as many centres as the sample allows."""
+    known = centres.orderBy("cell").toArrow().combine_chunks()
+    cells, sizes = known.column("cell").to_numpy(), known.column("n").to_numpy()
+    centre = known.column("centre").combine_chunks()
+
+    def visit(batches):
+        for batch in batches:
+            if batch.num_rows:
+                questions, _ = kernels.stack_vectors(batch.column("_q"))
+                near = kernels.probed_cells(questions, kernels.stack_vectors(centre, questions.shape[1])[0], sizes, probes, k)
+                found = pa.array([cells[at].tolist() for at in near], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_cells"])
+
+    return asked.mapInArrow(visit, T.StructType([*asked.schema, T.StructField("_cells", T.ArrayType(T.IntegerType()))]))
+
+
+def _visited(visits, rows, schema, query_id, id_col, vec_col, k, metric):
+    """Queries of checked size travel to every task, which scores the rows of a cell against those that probe it."""
+    listed = visits.orderBy(query_id).toArrow().combine_chunks()
+    names = listed.column(query_id).combine_chunks() if listed.num_rows else None
+    if names is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    matrix, _ = kernels.stack_vectors(listed.column("_q").combine_chunks())
+    lists = listed.column("_cells").combine_chunks()
+    cell, number = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    present, first = np.unique(cell[order], return_index=True)
+    visitors = dict(zip(present.tolist(), np.split(number[order], first[1:])))
+    target = to_arrow_schema(schema)
+
+    def score(batches):
+        held = []
+
+        def parts():
+            for batch in batches:
+                if batch.num_rows:
+                    held[:] = [batch.column(id_col)]
+                    column = batch.column(vec_col)
+                    missing = kernels.missing_values(column, None if metric == "cosine" else matrix.shape[1])
+                    yield batch.column("cell").to_numpy(), held[0], *kernels.stack_vectors(column, matrix.shape[1]), missing
+
+        for question, row, value, unknown in kernels.near_in_cells(parts(), matrix, visitors, k, metric):
+            columns = [names.take(pa.array(question)), held[0].take(pa.array(row)), pa.array(value, mask=unknown)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
+
+    return rows.mapInArrow(score, schema)

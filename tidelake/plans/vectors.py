@@ -139,7 +139,7 @@ def ann_recall(spark, sf):
     probes = vectors.choose_probes(rows, path, "vec_id", "embedding", 10)
     asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = vectors.ann_topk(asked, path, "vec_id", "embedding", 10, probes)
-    exact = materialize(vectors.topk(asked, rows, "vec_id", "embedding", 10, "l2"), "exact")
+    exact = materialize(vectors.topk(asked, spread(rows), "vec_id", "embedding", 10, "l2"), "exact")
     hits = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
     return hits.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"),
                     (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
